@@ -6,10 +6,14 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import scratch_dir
 from .id_files import read_ids, write_ids
+from .secret_scan import KINDS, secret_spans
+from .source_mix import mix_sources
 from .token_counts import token_counts
+from .toxicity import fit_toxicity, toxicity_scores
 from .tree_bpe import bpe_round_trip
 
 
@@ -23,6 +27,29 @@ def op1_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, folder)
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), total=1.5, most=2)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents"))
+
+    def listed(spans: str) -> F.Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind: str) -> F.Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = map(number, KINDS)
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")), threshold=0.7)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
@@ -34,6 +61,34 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(docs, ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_id_files, op6_token_counts, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_id_files, op2_source_mix, op3_secret_scan, op4_toxicity, op6_token_counts, op10_bpe_round_trip)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_source_mix": r"""
+WITH d AS (
+  SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+             (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS turn
+      FROM d GROUP BY source),
+w AS (SELECT source, source_size, 2 * source_size AS most, CASE turn WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
+o AS (SELECT *, 1.5 * sum(source_size) OVER () - coalesce(sum(most) OVER p, 0) AS left_over,
+             sum(weight) OVER () - coalesce(sum(weight) OVER p, 0) AS weight_left,
+             row_number() OVER (ORDER BY most / CAST(weight AS DOUBLE), source NULLS LAST) AS nr
+      FROM w WINDOW p AS (ORDER BY most / CAST(weight AS DOUBLE), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT nr AS first_nr, CAST(left_over AS DOUBLE) / CAST(weight_left AS DOUBLE) AS unit FROM o
+      WHERE CAST(left_over AS DOUBLE) / CAST(weight_left AS DOUBLE) * weight <= most ORDER BY nr LIMIT 1),
+t AS (SELECT source, source_size,
+             CASE WHEN first_nr IS NULL OR nr < first_nr THEN CAST(most AS DOUBLE) ELSE unit * weight END AS target
+      FROM o LEFT JOIN f ON true),
+c AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+             CASE WHEN t.source_size = 0 THEN 0 ELSE CAST(floor(t.target) AS BIGINT) // t.source_size END AS whole,
+             CASE WHEN t.source_size = 0 THEN 0 ELSE CAST(floor(t.target) AS BIGINT) % t.source_size END AS rest,
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.doc_id, d.size
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CAST(whole * size + least(size, greatest(rest - before, 0)) AS BIGINT) AS taken FROM c
+""",
+}
