@@ -50,11 +50,34 @@ class LibraryEncoder:
 
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.cache = UnitCache(self.units)
+        names = self.lib.get_vocab()
+        self.width = np.zeros(1 + max(names.values()), np.int64)  # bytes of each id
+        for name, i in names.items():
+            self.width[i] = len(name)  # byte-level: a character a byte
+        self.cache = UnitCache(self.units, 500_000)
 
     def units(self, texts: list[str]) -> list[bytes]:
-        found = self.lib.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        """Ids of units; those that begin with a space go to the library joined, 500 at a time."""
+        out: list[bytes] = [b""] * len(texts)
+        joins = [i for i, t in enumerate(texts) if t[:1] == " " and not t[1:2].isspace()]
+        whole = set(range(len(texts))).difference(joins)
+        runs = [joins[i : i + 500] for i in range(0, len(joins), 500)]
+        found = self.lib.encode_batch_fast(["".join([texts[i] for i in run]) for run in runs], add_special_tokens=False)
+        for run, enc in zip(runs, found):
+            ids = np.array(enc.ids, "<u4")
+            ends = np.cumsum(self.width[ids])
+            want = np.cumsum([len(texts[i].encode()) for i in run])
+            cuts = np.searchsorted(ends, want, "right")
+            if not len(ends) or not np.array_equal(ends[cuts - 1], want):
+                raise ValueError("the vocabulary isn't byte-level")
+            a = 0
+            for i, b in zip(run, cuts.tolist()):
+                out[i] = ids[a:b].tobytes()
+                a = b
+        whole = sorted(whole)
+        for i, enc in zip(whole, self.lib.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
+            out[i] = np.array(enc.ids, "<u4").tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [[t] if any(s in t for s in self.special) else cut_at_spaces(t) for t in texts]
