@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch_dir
 from .id_files import read_ids, write_ids
+from .near_dup import near_duplicates
 from .secret_scan import KINDS, secret_spans
 from .source_mix import mix_sources
 from .token_counts import token_counts
@@ -50,6 +51,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")), threshold=0.7)
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
@@ -61,9 +66,24 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(docs, ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_id_files, op2_source_mix, op3_secret_scan, op4_toxicity, op6_token_counts, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_id_files, op2_source_mix, op3_secret_scan, op4_toxicity, op5_near_dup, op6_token_counts, op10_bpe_round_trip)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_near_dup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words FROM documents),
+x AS (SELECT doc_id, words, unnest(range(1, greatest(len(words), 2))) AS i FROM w WHERE len(words) > 0),
+s AS (SELECT DISTINCT doc_id, concat_ws(' ', words[i], words[i + 1]) AS shingle FROM x),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a),
+c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+""",
     "op2_source_mix": r"""
 WITH d AS (
   SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place,
