@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import scratch_dir
 from .id_files import read_ids, write_ids
 from .near_dup import near_duplicates
+from .repeats import repeated_bytes
 from .secret_scan import KINDS, secret_spans
 from .source_mix import mix_sources
 from .token_counts import token_counts
@@ -60,13 +61,18 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_bytes(table(spark, sf_dir, "documents"), length=400, keep_first=False)
+    return found.drop("spans")
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe_round_trip(docs, ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_id_files, op2_source_mix, op3_secret_scan, op4_toxicity, op5_near_dup, op6_token_counts, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_id_files, op2_source_mix, op3_secret_scan, op4_toxicity, op5_near_dup, op6_token_counts, op9_repeats, op10_bpe_round_trip)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_near_dup": r"""
