@@ -17,6 +17,7 @@ from .source_mix import mix_sources
 from .token_counts import token_counts
 from .toxicity import fit_toxicity, toxicity_scores
 from .tree_bpe import bpe_round_trip
+from .vector_dup import vector_duplicates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +62,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op8_vector_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_bytes(table(spark, sf_dir, "documents"), length=400, keep_first=False)
     return found.drop("spans")
@@ -72,9 +77,22 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(docs, ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_id_files, op2_source_mix, op3_secret_scan, op4_toxicity, op5_near_dup, op6_token_counts, op9_repeats, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_id_files, op2_source_mix, op3_secret_scan, op4_toxicity, op5_near_dup, op6_token_counts, op8_vector_dup, op9_repeats, op10_bpe_round_trip)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_vector_dup": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+u AS (SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS norm FROM v
+      WHERE x IS NOT NULL AND list_aggregate(x, 'count') = len(x) AND isfinite(list_inner_product(x, x)) AND list_inner_product(x, x) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u AS a JOIN u AS b ON a.vec_id <> b.vec_id
+      AND list_inner_product(a.x, b.x) / (a.norm * b.norm) >= 0.9),
+n AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a),
+r AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, e.b FROM r JOIN e ON r.other = e.a),
+c AS (SELECT vec_id, min(other) AS component_id FROM r GROUP BY vec_id)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
+""",
     "op5_near_dup": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -134,7 +134,7 @@ def encoder(path: str, pattern: str) -> tuple[TreeEncoder, UnitCache, tuple]:
     names = [b"%d," % i for i in range(len(e.lengths))]
     lengths = np.array([len(x) for x in names], np.int64)
     decimal = (np.cumsum(lengths) - lengths, lengths, np.frombuffer(b"".join(names), np.uint8))
-    return e, UnitCache(e.units), decimal
+    return e, UnitCache(e.units, 500_000), decimal
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
