@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch_dir
 from .id_files import read_ids, write_ids
+from .media_store import media_round_trip
 from .near_dup import near_duplicates
 from .repeats import repeated_bytes
 from .secret_scan import KINDS, secret_spans
@@ -62,6 +63,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op7_media_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media_round_trip(table(spark, sf_dir, "documents"), least=256, usual=1024, most=16384)
+    names = "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature"
+    return found.select(*names.split())
+
+
 def op8_vector_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
@@ -77,7 +84,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(docs, ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_id_files, op2_source_mix, op3_secret_scan, op4_toxicity, op5_near_dup, op6_token_counts, op8_vector_dup, op9_repeats, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_id_files, op2_source_mix, op3_secret_scan, op4_toxicity, op5_near_dup, op6_token_counts, op7_media_store, op8_vector_dup, op9_repeats, op10_bpe_round_trip)}
 
 ORACLE_SQL: dict[str, str] = {
     "op8_vector_dup": r"""
