@@ -165,8 +165,9 @@ def near_duplicates(
     chunks: int = 12,
     id_col: str = "doc_id",
     text_col: str = "text",
+    keep_hash: bool = False,
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row.
+    """``doc_id, n_shingles, component_id, kept`` of every row, and ``th``, the text's xxhash64, on request.
 
     Links texts whose sets share at least ``percent`` % of their union.
     """
@@ -233,7 +234,8 @@ def near_duplicates(
     named = named.withColumn("root", F.coalesce("root", "cls"))
     first = named.groupBy("root").agg(F.min("own").alias("component_id"))
     named = named.join(first, "root").select("cls", "component_id")
-    out = rows.drop("keys", "th").join(named, "cls", "left")
+    out = rows.drop("keys").join(named, "cls", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+    hashed = ["th"] if keep_hash else []
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), *hashed)

@@ -108,9 +108,12 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     sources: str | F.Column = "source",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """``doc_id, size, source_size, target, taken, copies, sources`` of every document.
 
+    Columns named in ``keep`` are passed on.
+
     ``sources`` is a column with a document's source or its array of sources.
     Sources by code point, null last, have the weights in turn and share
     ``total`` times all words; ``source_size`` and ``target`` are those of a
@@ -123,7 +126,7 @@ def mix_sources(
     of = F.array_sort(F.array_distinct(of)) if is_array else F.array(of)
     of = F.when(F.coalesce(F.size(of), F.lit(0)) > 0, of).otherwise(F.array(F.lit(None).cast("string")))
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), of.cast("array<string>").alias("sources"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), of.cast("array<string>").alias("sources"), *keep)
     rows = rows.withColumn("at", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     rows = stored(rows, "mix")
     found = rows.groupBy("sources").agg(F.sum("size").alias("size")).collect()  # one row per pattern
@@ -158,4 +161,4 @@ def mix_sources(
     rows = rest.unionByName(ending.withColumn("part", part))
     rows = rows.withColumn("taken", F.col("whole") * F.col("size") + F.col("part"))
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return rows.select("doc_id", "size", "source_size", "target", "taken", copies.alias("copies"), "sources")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", copies.alias("copies"), "sources", *keep)
