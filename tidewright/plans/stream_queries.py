@@ -15,10 +15,10 @@ def str01_tumbling(spark, sf_dir):
 
 
 @query("""WITH w AS (SELECT event_type, value, time_bucket(INTERVAL 3 HOURS, ts) - INTERVAL (3 * k) HOURS AS start FROM events, (VALUES (0), (1)) AS s(k))
-SELECT CAST(start AS VARCHAR) AS start, event_type, round(avg(value), 5) AS mean FROM w GROUP BY 1, 2""", dates="")
+SELECT CAST(start AS VARCHAR) AS start, event_type, round(avg(value), 9) AS mean FROM w GROUP BY 1, 2""", dates="")
 def str02_sliding(spark, sf_dir):
     out = e.run_to_end(e.sliding_means(e.read_events(spark, sf_dir)), "complete")
-    return out.select(F.col("start").cast("string").alias("start"), "event_type", F.round("mean", 5).alias("mean"))
+    return out.select(F.col("start").cast("string").alias("start"), "event_type", F.round("mean", 9).alias("mean"))
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events),
