@@ -119,10 +119,11 @@ class UnitCache:
 
     def ready(self, units: set[str]) -> dict:
         """A dict that holds at least ``units``."""
-        lacking = units - self.young.keys()
+        held = self.young
+        lacking = [u for u in units if u not in held]
         if lacking:
-            if self.young and len(self.young) + len(lacking) > self.limit:
-                self.old, self.young = self.young, {}
+            if held and len(held) + len(lacking) > self.limit:
+                self.old, self.young = held, {}
                 lacking = units
             fresh = []
             for u in lacking:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import UnitCache, id_and_text, slices, stored
-from .tree_bpe import cut_at_spaces
+from .tree_bpe import cut_at_spaces, uncut
 
 RAW = "part int, block int, first long, docs array<long>, ordinals array<long>, shares array<int>, ids binary"
 CODED = "part int, block int, start long, docs array<long>, ordinals array<long>, shares array<int>, n int, checkpoints array<int>, bits binary"
@@ -57,9 +57,10 @@ class LibraryEncoder:
         self.cache = UnitCache(self.units, 500_000)
 
     def units(self, texts: list[str]) -> list[bytes]:
-        """Ids of units; those that begin with a space go to the library joined, 500 at a time."""
+        """Ids of units; those within texts go to the library joined, 500 at a time."""
         out: list[bytes] = [b""] * len(texts)
-        joins = [i for i, t in enumerate(texts) if t[:1] == " " and not t[1:2].isspace()]
+        joins = [i for i, t in enumerate(texts) if t[0] != " "]
+        texts = list(map(uncut, texts))
         whole = set(range(len(texts))).difference(joins)
         runs = [joins[i : i + 500] for i in range(0, len(joins), 500)]
         found = self.lib.encode_batch_fast(["".join([texts[i] for i in run]) for run in runs], add_special_tokens=False)
@@ -80,7 +81,7 @@ class LibraryEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [[t] if any(s in t for s in self.special) else cut_at_spaces(t) for t in texts]
+        cut = [[" " + t] if any(s in t for s in self.special) else cut_at_spaces(t) for t in texts]
         known = self.cache.ready(set().union(*cut))
         return [np.frombuffer(b"".join(map(known.__getitem__, us)), "<u4") for us in cut]
 

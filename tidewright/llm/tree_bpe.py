@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import cache, partial
 
@@ -97,7 +98,7 @@ class TreeEncoder:
         return np.array(ids, "<u4").tobytes()
 
     def units(self, texts: list[str]) -> list[bytes]:
-        return [self.unit(t) for t in texts]
+        return [self.unit(uncut(t)) for t in texts]
 
     def decoded(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of the ids, concatenated."""
@@ -105,19 +106,29 @@ class TreeEncoder:
 
 
 #: A space before a character that no engine takes for white space begins a match.
-CUT = regex.compile(r" (?=[^\s\x1c-\x1f\x85])")
+CUT = re.compile(r" (?=[^\s\x1c-\x1f\x85])")
+#: A space of which that isn't sure.
+OTHER = re.compile(r" (?:[\s\x1c-\x1f\x85]|\Z)")
 
 
 def cut_at_spaces(text: str) -> list[str]:
     """Units of a text that the pattern never matches across.
 
     A match holds a space only at its start or within white space, so a text is
-    cut before each single space that a visible character follows.
+    cut at each single space that a visible character follows.  The first unit
+    is marked with a space in front; the others go without the space they begin
+    with, and never begin with white space.
     """
-    first, *rest = text.split(" ")
-    if any(not u or u[0].isspace() for u in rest):
-        first, *rest = CUT.split(text)
-    return [first, *[" " + u for u in rest]]
+    if not text:
+        return []
+    units = CUT.split(text) if OTHER.search(text) else text.split(" ")
+    units[0] = " " + units[0]
+    return units
+
+
+def uncut(unit: str) -> str:
+    """The stretch of text that a unit stands for."""
+    return unit[1:] if unit[0] == " " else " " + unit
 
 
 def gathered(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> np.ndarray:
