@@ -9,12 +9,14 @@ difference; so each chunk is indexed under every way to leave one component out
 and all such pairs meet in a bucket.  Pairs further apart that meet still count.
 Whole sets confirm every link.
 
-Only components are wanted, so within a bucket a pair is compared only while
-its classes are in different components.  Each round takes some pivots per
-bucket (the least class of each hash slot, a map-side minimum), compares them
-with the rest of the bucket, merges, and retires them; the number of pivots
-grows until few pairs are left, which are then compared outright.  This loses
-no pair of a bucket and never gathers a bucket in one task.
+Only components are wanted, so most pairs of a bucket need no look.  Shingles
+that no other class in question has bound what two sets can share: classes that
+can't reach the threshold with any go, and pairs under the bound are left out.
+In each bucket all are compared with the class that has fewest shingles of its
+own, and what links merges.  Of a bucket still in several components, every
+class outside the largest is compared with all of the others: any pair across
+components has such a class.  This loses no link of a bucket, and no bucket is
+gathered in one task.
 
 Null and empty texts, and those without words, have no shingles and no links:
 their component is their own id.  Rows that repeat an id each get a row; a null
@@ -148,21 +150,32 @@ def _confirmed(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> I
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _rest(rows: DataFrame) -> tuple[DataFrame, int, int]:
-    """Bucket rows whose bucket spans several components, their number, and the pairs left."""
-    per = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
-    n = F.sum("n").cast("decimal(38,0)")
-    per = per.groupBy("key").agg(F.count("*").alias("labels"), ((n * n - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), n.alias("n"))
-    per = per.filter("labels > 1")
-    total = per.agg(F.sum("n"), F.sum("pairs")).first()
-    return rows.join(per.select("key"), "key"), int(total[0] or 0), int(total[1] or 0)
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch):
+            sets = [shingle_set(t.as_buffer().to_pybytes(), width).view(np.int64) for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "s"])
+
+
+def _bounds(held: DataFrame, width: int, percent: int) -> DataFrame:
+    """``cls, n, most``: each class's shingles, and how many another class can share.
+
+    Classes that can share too few for a link with any are left out.
+    """
+    sets = stored(held.select("cls", "text").mapInArrow(partial(_sets, width=width), "cls binary, s array<long>"), "sets")
+    seen = sets.select(F.xxhash64("cls").alias("of"), F.explode("s").alias("s"))
+    seen = seen.groupBy("s").agg(F.count("*").alias("c"), F.min("of").alias("of"))
+    own = seen.filter("c = 1").groupBy("of").agg(F.count("*").alias("own"))
+    bounds = sets.select("cls", F.xxhash64("cls").alias("of"), F.size("s").cast("long").alias("n")).join(own, "of", "left")
+    bounds = bounds.withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).select("cls", "n", "most")
+    return bounds.filter(F.col("most") * 100 >= F.col("n") * percent)
 
 
 def near_duplicates(
     docs: DataFrame,
     width: int = 5,
     percent: int = 80,
-    chunks: int = 12,
+    chunks: int = 8,
     id_col: str = "doc_id",
     text_col: str = "text",
     keep_hash: bool = False,
@@ -173,8 +186,8 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     texts = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    rows = stored(texts.mapInArrow(partial(_signed, width=width, chunks=chunks), ROWS), "signed")
-    found = rows.filter("cls is not null")
+    signed = stored(texts.mapInArrow(partial(_signed, width=width, chunks=chunks), ROWS), "signed")
+    found = signed.filter("cls is not null")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
     classes = found.groupBy("cls").agg(F.min(order).alias("own"), F.min(F.struct("doc_id", "th", "keys")).alias("x"))
     classes = stored(classes.select("cls", "own.doc_id", "own.th", "x.keys"), "classes")
@@ -194,39 +207,37 @@ def near_duplicates(
     held.write.option("compression", "zstd").bucketBy(tasks, "cls").sortBy("cls").saveAsTable(name)
     held = spark.table(name)
 
-    labels = spark.createDataFrame([], "node binary, root binary")
-    left, pivots, turn = buckets, 1, 0
-    while True:
-        labelled = left.join(labels, left["cls"] == labels["node"], "left")
-        labelled = labelled.select("key", "cls", F.coalesce("root", "cls").alias("label"))
-        rest, n, pairs_left = _rest(labelled if turn == 0 else checkpointed(labelled))
-        if not pairs_left:
-            break
-        finish = pairs_left <= 4 * n or pairs_left <= 20_000
-        slot = F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(pivots))
-        if finish:
-            one = rest.select("key", F.col("cls").alias("pivot"), F.col("label").alias("of"))
-            met = (F.col("cls") > F.col("pivot")) & (F.col("label") != F.col("of"))
-        else:
-            rest = checkpointed(rest)
-            one = rest.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("cls", "label")).alias("p"))
-            one = one.select("key", F.col("p.cls").alias("pivot"), F.col("p.label").alias("of"))
-            met = F.col("label") != F.col("of")
-        pairs = rest.join(one, "key").filter(met)
-        pairs = pairs.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
+    rows = stored(buckets.join(_bounds(held, width, percent), "cls"), "bounded")
+    able = F.least("most", "p_most")
+    able = able * 100 >= (F.col("n") + F.col("p_n") - able) * percent
+    as_pivot = [F.col(c).alias(f"p_{c}") for c in ("cls", "n", "most")]
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b")).distinct()
         pairs = pairs.join(held.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
         pairs = pairs.join(held.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
-        confirmed = pairs.select("a", "b", "ta", "tb").mapInArrow(
-            partial(_confirmed, width=width, percent=percent), "a binary, b binary"
-        )
-        # A label stands for all it joins, so new links and old labels suffice.
-        new = labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(confirmed)
-        labels = checkpointed(connected_components(new))
-        if finish:
-            break
-        gone = one.select("key", F.col("pivot").alias("cls"))
-        left = checkpointed(rest.select("key", "cls").join(gone, ["key", "cls"], "left_anti"))
-        pivots, turn = pivots * 4, turn + 1
+        check = partial(_confirmed, width=width, percent=percent)
+        return pairs.select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary")
+
+    # Every class of a bucket with the one that has the least share of own shingles.
+    best = F.struct(F.try_divide("most", "n"), "cls", "n", "most")
+    pivots = rows.groupBy("key").agg(F.max(best).alias("p")).select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("cls", "n", "most")])
+    star = rows.join(pivots, "key").filter((F.col("cls") != F.col("p_cls")) & able)
+    links = checkpointed(confirmed(star))
+    labels = connected_components(links)
+
+    # Every class outside its bucket's largest component with those of other components.
+    rows = rows.join(labels, rows["cls"] == labels["node"], "left")
+    rows = stored(rows.select("key", "cls", "n", "most", F.coalesce("root", "cls").alias("label")), "labelled")
+    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("top"), F.count("*").alias("labels"))
+    largest = largest.filter("labels > 1").select("key", "top")
+    others = rows.join(largest, "key").filter(F.col("label") != F.col("top"))
+    others = others.select("key", F.col("label").alias("of"), *as_pivot)
+    across = rows.join(others, "key").filter((F.col("label") != F.col("of")) & able)
+    # A label stands for all it joins, so new links and old labels suffice.
+    joins = labels.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    labels = connected_components(joins.union(confirmed(across)))
     spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     # Smallest id of each component.
@@ -234,7 +245,7 @@ def near_duplicates(
     named = named.withColumn("root", F.coalesce("root", "cls"))
     first = named.groupBy("root").agg(F.min("own").alias("component_id"))
     named = named.join(first, "root").select("cls", "component_id")
-    out = rows.drop("keys").join(named, "cls", "left")
+    out = signed.drop("keys").join(named, "cls", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
     hashed = ["th"] if keep_hash else []
