@@ -7,6 +7,8 @@ are cut alike.  Chunks go by their digest: joins on the digest leave each
 chunk's bytes with one owner, and every medium is an ordered list of chunks, of
 which the store row holds the bytes it owns.
 
+Media go by the first 16 bytes of their sha256.
+
 Reading joins the bytes of foreign chunks back by digest, concatenates each
 medium's chunks in order, and checks the file's sha256 before anything is
 computed from it.  Equal media are stored and read once.
@@ -73,24 +75,24 @@ def cuts(data: bytes, least: int, usual: int, most: int) -> list[int]:
 
 def _chunked(batches: Iterator[pa.RecordBatch], sizes: tuple[int, int, int], packed: bool) -> Iterator[pa.RecordBatch]:
     """Each row's medium: its digest, and either its chunk list or its compressed bytes."""
-    pack = zstandard.ZstdCompressor(level=3)
+    pack = zstandard.ZstdCompressor(level=9)
     for batch in batches:
         for part in slices(batch):
             media = [wav(payload_of(t.as_buffer().to_pybytes() if t.as_buffer() else b"")) for t in part.column(1)]
             out = {} if packed else {"doc_id": part.column(0)}
-            out["media"] = pa.array([hashlib.sha256(m).digest() for m in media], pa.binary())
+            out["media"] = pa.array([hashlib.sha256(m).digest()[:16] for m in media], pa.binary())
             if packed:
                 out["packed"] = pa.array([pack.compress(m) for m in media], pa.binary())
             else:
                 ends = [cuts(m, *sizes) for m in media]
                 digests = [[hashlib.blake2b(m[a:b], digest_size=16).digest() for a, b in zip([0, *e], e)] for m, e in zip(media, ends)]
-                out["ends"] = pa.array(ends, pa.list_(pa.int64()))
+                out["ends"] = pa.array(ends, pa.list_(pa.int32()))
                 out["digests"] = pa.array(digests, pa.list_(pa.binary()))
                 out["n_bytes"] = pa.array([len(t.as_buffer() or b"") for t in part.column(1)], pa.int64())
             yield pa.RecordBatch.from_pydict(out)
 
 
-STORE = "media binary, ends array<long>, digests array<binary>, own array<boolean>, lent array<boolean>, bytes binary"
+STORE = "media binary, ends array<int>, digests array<binary>, own array<boolean>, lent array<boolean>, bytes binary"
 STORE_NAMES = [c.split()[0] for c in STORE.split(", ")]
 
 
@@ -143,7 +145,7 @@ def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at += (b - a) * own
                 medium = b"".join(pieces)
                 digest = hashlib.sha256(medium)
-                if digest.digest() != row["media"]:
+                if digest.digest()[:16] != row["media"]:
                     raise ValueError(f"medium {row['media'].hex()} doesn't match its digest")
                 x = samples_of(medium)
                 out.append(
@@ -169,22 +171,23 @@ def write_media(
     """
     spark = docs.sparkSession
     rows = id_and_text(docs, id_col, text_col)
-    listed = "doc_id long, media binary, ends array<long>, digests array<binary>, n_bytes long"
+    listed = "doc_id long, media binary, ends array<int>, digests array<binary>, n_bytes long"
     seen = stored(rows.mapInArrow(partial(_chunked, sizes=(least, usual, most), packed=False), listed), "media")
-    media = seen.groupBy("media").agg(F.first("ends").alias("ends"), F.first("digests").alias("digests"))
-    media = stored(media, "chunk-lists")
-    places = media.select("media", F.posexplode("digests").alias("seq", "digest"))
+    media = seen.groupBy("media").agg(F.first(F.arrays_zip("digests", "ends")).alias("chunks"))
+    places = media.select("media", F.posexplode("chunks").alias("seq", "c"))
+    places = places.select("media", "seq", F.col("c.digests").alias("digest"), F.col("c.ends").alias("end"))
     spot = F.struct("media", "seq")
     owners = places.groupBy("digest").agg(F.min(spot).alias("owner"), (F.count("*") > 1).alias("lent"))
-    flags = places.join(owners, "digest").select("media", "seq", (F.col("owner") == spot).alias("own"), "lent")
-    flags = flags.groupBy("media").agg(F.array_sort(F.collect_list(F.struct("seq", "own", "lent"))).alias("f"))
-    lists = media.join(flags, "media").select("media", "ends", "digests", F.col("f.own").alias("own"), F.col("f.lent").alias("lent"))
+    owned = places.join(owners, "digest").select("media", "seq", "end", "digest", (F.col("owner") == spot).alias("own"), "lent")
+    lists = owned.groupBy("media").agg(F.array_sort(F.collect_list(F.struct("seq", "end", "digest", "own", "lent"))).alias("f"))
+    lists = lists.select("media", *[F.col(f"f.{c}").alias(n) for c, n in (("end", "ends"), ("digest", "digests"), ("own", "own"), ("lent", "lent"))])
     data = rows.mapInArrow(partial(_chunked, sizes=(least, usual, most), packed=True), "media binary, packed binary")
     # Copies meet before and after the shuffle; one is kept.
     data = data.groupBy("media").agg(F.first("packed").alias("packed"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     whole = lists.join(data, "media").mapInArrow(_owned, STORE)
-    whole.write.option("compression", "zstd").bucketBy(tasks, "media").saveAsTable(name)
+    whole = whole.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9")
+    whole.bucketBy(tasks, "media").saveAsTable(name)
     return seen.select("doc_id", "media", "n_bytes")
 
 
