@@ -317,8 +317,9 @@ def repeated_bytes(
     texts = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("th"), "text")
     found = texts.mapInArrow(partial(_segments, length=length, gram=gram), SEGMENTS)
     found = stored(found, "segments")
-    twice = found.groupBy("ah").agg(F.count("*").alias("c")).filter("c > 1")
-    found = stored(found.join(twice.select("ah"), "ah"), "anchored")
+    # Written first, so that the join below has plain shuffles on both sides and splits hot anchors.
+    twice = stored(found.groupBy("ah").agg(F.count("*").alias("c")).filter("c > 1").select("ah"), "repeated-anchors")
+    found = stored(found.join(twice, "ah"), "anchored")
     own = F.min(F.struct("doc_id", "th", "at", "n")).alias("own")
     kinds = stored(found.groupBy("ah", "ctx").agg(F.count("*").alias("copies"), own), "kinds")
     several = kinds.groupBy("ah").agg(F.count("*").alias("k")).filter("k > 1")
