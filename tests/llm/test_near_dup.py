@@ -29,9 +29,9 @@ def brute(rows, width, percent):
     return sorted((d, len(sets[i]), low[find(i)], d == low[find(i)]) for i, (d, _) in enumerate(rows))
 
 
-def result(spark, rows, width, percent=80):
+def result(spark, rows, width, percent=80, **more):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    return sorted(map(tuple, near_duplicates(df, width=width, percent=percent).collect()))
+    return sorted(map(tuple, near_duplicates(df, width=width, percent=percent, **more).collect()))
 
 
 def test_large_group_of_near_copies(spark):
@@ -41,9 +41,11 @@ def test_large_group_of_near_copies(spark):
     rows = []
     for i in range(260):
         rate = rng.choice([0.0, 0.02, 0.05, 0.08, 0.12])
-        rows.append((1000 - i, " ".join(rng.choice(words) if rng.random() < rate else w for w in base)))
+        rows.append((1000 - i, " ".join(rng.choice(words[:60]) if rng.random() < rate else w for w in base)))
     rows += [(2000 + i, " ".join(rng.choices(words, k=rng.choice([1, 2, 3, 40])))) for i in range(60)]
-    assert result(spark, rows, 2) == brute(rows, 2, 80)
+    want = brute(rows, 2, 80)
+    assert result(spark, rows, 2) == want
+    assert result(spark, rows, 2, small_bucket=3) == want
 
 
 def test_odd_rows(spark):

@@ -13,10 +13,12 @@ Only components are wanted, so most pairs of a bucket need no look.  Shingles
 that no other class in question has bound what two sets can share: classes that
 can't reach the threshold with any go, and pairs under the bound are left out.
 In each bucket all are compared with the class that has fewest shingles of its
-own, and what links merges.  Of a bucket still in several components, every
-class outside the largest is compared with all of the others: any pair across
-components has such a class.  This loses no link of a bucket, and no bucket is
-gathered in one task.
+own, and what links merges.  Of a small bucket still in several components,
+every class outside the largest is compared with all of the others: any pair
+across components has such a class.  Large buckets that stay in several
+components overlap a lot; what they connect forms groups, which are dealt into
+blocks, and each two blocks of a group count their common shingles as a matrix
+product.  This loses no link of a bucket, and no bucket is gathered in one task.
 
 Null and empty texts, and those without words, have no shingles and no links:
 their component is their own id.  Rows that repeat an id each get a row; a null
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 from functools import cache, partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -171,6 +174,57 @@ def _bounds(held: DataFrame, width: int, percent: int) -> DataFrame:
     return bounds.filter(F.col("most") * 100 >= F.col("n") * percent)
 
 
+def _block_links(frame: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
+    """A forest of the links between two blocks of a group (or within one)."""
+    sides = [frame[frame["block"] == b] for b in dict.fromkeys((frame["left"].iloc[0], frame["right"].iloc[0]))]
+    names = pd.concat([s["cls"] for s in sides]).to_numpy()
+    sets = [shingle_set(t.encode(), width) for s in sides for t in s["text"]]
+    sizes = np.array([len(x) for x in sets])
+    of = np.repeat(np.arange(len(sets)), sizes)
+    _, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = seen[at] > 1
+    of, at = of[shared], at[shared]
+    column = np.cumsum(seen > 1)[at] - 1
+    m = len(sides[0])
+    rows, cols = np.arange(m), np.arange(len(sets)) if len(sides) == 1 else np.arange(m, len(sets))
+    common = np.zeros((len(rows), len(cols)), np.float32)
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [low, low + 4096])
+        ones = np.zeros((len(sets), 4096), np.float32)
+        ones[of[a:b], column[a:b] - low] = 1
+        common += ones[rows] @ ones[cols].T
+    both = sizes[rows][:, None] + sizes[cols][None, :]
+    x, y = np.nonzero(100 * common >= percent * (both - common))
+    y = cols[y]
+    root = np.arange(len(sets))
+    while True:
+        before = root.copy()
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(root, x, low)
+        np.minimum.at(root, y, low)
+        root = root[root]
+        if np.array_equal(before, root):
+            break
+    child = np.flatnonzero(root != np.arange(len(sets)))
+    return pd.DataFrame({"a": names[child], "b": names[root[child]]})
+
+
+def _group_links(rows: DataFrame, held: DataFrame, width: int, percent: int, block_rows: int = 400) -> DataFrame:
+    """Links between classes of groups that the buckets of ``rows`` connect."""
+    low = rows.groupBy("key").agg(F.min("cls").alias("low"))
+    edges = rows.join(low, "key").filter(F.col("cls") != F.col("low")).select(F.col("cls").alias("a"), F.col("low").alias("b"))
+    groups = checkpointed(connected_components(edges))
+    blocks = groups.groupBy("root").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
+    dealt = groups.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = [F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right")]
+    dealt = dealt.select(F.col("node").alias("cls"), "root", F.col("block"), *pair).join(held, "cls")
+    run = partial(_block_links, width=width, percent=percent)
+    return dealt.groupBy("root", "left", "right").applyInPandas(run, "a binary, b binary")
+
+
 def near_duplicates(
     docs: DataFrame,
     width: int = 5,
@@ -179,6 +233,7 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep_hash: bool = False,
+    small_bucket: int = 64,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row, and ``th``, the text's xxhash64, on request.
 
@@ -230,14 +285,19 @@ def near_duplicates(
     rows = rows.join(labels, rows["cls"] == labels["node"], "left")
     rows = stored(rows.select("key", "cls", "n", "most", F.coalesce("root", "cls").alias("label")), "labelled")
     sizes = rows.groupBy("key", "label").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("top"), F.count("*").alias("labels"))
-    largest = largest.filter("labels > 1").select("key", "top")
-    others = rows.join(largest, "key").filter(F.col("label") != F.col("top"))
+    top = F.max_by("label", F.struct("size", "label")).alias("top")
+    largest = stored(sizes.groupBy("key").agg(top, F.count("*").alias("labels"), F.sum("size").alias("size")).filter("labels > 1"), "open")
+    small = largest.filter(F.col("size") <= small_bucket).select("key", "top")
+    others = rows.join(small, "key").filter(F.col("label") != F.col("top"))
     others = others.select("key", F.col("label").alias("of"), *as_pivot)
     across = rows.join(others, "key").filter((F.col("label") != F.col("of")) & able)
     # A label stands for all it joins, so new links and old labels suffice.
     joins = labels.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    labels = connected_components(joins.union(confirmed(across)))
+    joins = joins.union(confirmed(across))
+    large = largest.filter(F.col("size") > small_bucket).select("key", "size")
+    if not large.isEmpty():
+        joins = joins.union(_group_links(rows.join(large, "key"), held, width, percent))
+    labels = connected_components(joins)
     spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     # Smallest id of each component.
