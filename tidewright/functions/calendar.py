@@ -68,3 +68,10 @@ def us_holidays(year: Column) -> Column:
         fixed(12, 25),
     ]
     return F.array_sort(F.array_compact(F.array(*days)))
+
+
+def session_state(ts: Column | str, opens: int = 570, closes: int = 960) -> Column:
+    """Market state at a local time: pre, open or closed; times in minutes of the day."""
+    ts = _col(ts)
+    minute = F.hour(ts) * 60 + F.minute(ts)
+    return F.when(F.weekday(ts) > 4, "closed").when(minute < opens, "pre").when(minute < closes, "open").otherwise("closed")

@@ -90,3 +90,25 @@ def after_tax_gain(gain: Column, months_held: Column, rate: float, levy: float =
 def currency_return(exit_price: Column, entry_price: Column, exit_rate: Column, entry_rate: Column) -> Column:
     """Return in home currency of a position priced abroad; rates are foreign units per home unit."""
     return F.try_divide(exit_price, entry_price) * F.try_divide(entry_rate, exit_rate) - 1
+
+
+def weighted_mean(values: list[Column], weights: list[float]) -> Column:
+    """Mean of the non-null values by their weights."""
+    total = sum((F.coalesce(v, F.lit(0.0)) * w for v, w in zip(values, weights)), F.lit(0.0))
+    weight = sum((F.when(v.isNotNull(), w).otherwise(0.0) for v, w in zip(values, weights)), F.lit(0.0))
+    return F.try_divide(total, weight)
+
+
+def stance(score: str) -> Column:
+    """Five stances; both 0.13 edges are neutral."""
+    x = F.col(score)
+    return F.when(x > 0.4, "strong").when(x > 0.13, "positive").when(x >= -0.13, "neutral").when(x >= -0.4, "cautious").otherwise("defensive")
+
+
+def interpolate(x: str, points: list[tuple[float, float]]) -> Column:
+    """Piecewise linear through the points, level beyond the first and last."""
+    v = F.col(x)
+    out = F.when(v <= points[0][0], F.lit(float(points[0][1])))
+    for (x0, y0), (x1, y1) in zip(points, points[1:]):
+        out = out.when(v <= x1, y0 + (v - x0) / (x1 - x0) * (y1 - y0))
+    return out.otherwise(F.lit(float(points[-1][1])))

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .joins import asof_join
@@ -96,7 +97,7 @@ def seal(df: DataFrame, ledger: str, order: str, fields: Sequence[str]) -> DataF
 
     A chain is an ordered fold, so one ledger is one group; ledgers run in parallel.
     """
-    schema = df.schema.add("prev_hash", "string").add("row_hash", "string")
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.StringType()) for n in ("prev_hash", "row_hash"))])
     fields = list(fields)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
