@@ -310,7 +310,7 @@ def write_ids(
     raw = ordered.mapInArrow(partial(_tokenized, path=vocabulary, end_id=end_id, block_ids=block_ids), RAW)
     raw = stored(raw, "ids")
     counts = raw.select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    counts = counts.orderBy("id").toPandas()
+    counts = counts.orderBy("id").toArrow().to_pandas()
     found = code_lengths(counts["n"].to_numpy(), max_bits) if len(counts) else np.zeros(0, np.int64)
     table = pd.DataFrame({"id": counts["id"].astype("int64"), "length": found.astype("int32")})
     lengths = spark.createDataFrame(table, "id long, length int")
@@ -318,7 +318,7 @@ def write_ids(
     lengths.coalesce(1).write.parquet(f"{folder}/codes")
     # Where each partition's ids start: one row per partition, summed in order.
     size = F.sum(F.aggregate("shares", F.lit(0).cast("long"), lambda a, x: a + x)).alias("size")
-    parts = raw.groupBy("part").agg(size).orderBy("part").toPandas()
+    parts = raw.groupBy("part").agg(size).orderBy("part").toArrow().to_pandas()
     begin = (parts["size"].cumsum() - parts["size"]).astype("int64")
     bases = spark.createDataFrame(pd.DataFrame({"part": parts["part"].astype("int32"), "base": begin}), "part int, base long")
     placed = raw.join(F.broadcast(bases), "part").withColumn("first", F.col("first") + F.col("base")).drop("base")
@@ -361,7 +361,7 @@ def read_ids(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFr
     Only shares at a block's edge can belong to a document of several blocks;
     the others need no shuffle.
     """
-    table = spark.read.parquet(f"{folder}/codes").toPandas()  # at most the vocabulary
+    table = spark.read.parquet(f"{folder}/codes").toArrow().to_pandas()  # at most the vocabulary
     blocks = spark.read.schema(CODED).parquet(f"{folder}/blocks")
     max_bits, stride = (int(table["max_bits"][0]), int(table["stride"][0])) if len(table) else (1, 1)
     codes_of = _Code(spark, table["id"].tolist(), table["length"].tolist(), max_bits, folder)

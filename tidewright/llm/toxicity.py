@@ -85,15 +85,14 @@ def evidence(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarr
     return out
 
 
-def fit_logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, penalty: float, steps: int):
+def fit_logistic(cols: np.ndarray, sizes: np.ndarray, y: np.ndarray, scale: np.ndarray, penalty: float, steps: int):
     """Weights and bias of an L2-penalised logistic regression, by accelerated gradient steps.
 
-    ``rows`` lists the columns present in each row; column j has value scale[j].
+    ``cols`` lists the columns present in each row, ``sizes`` how many each row
+    has; column j has value scale[j].
     """
-    sizes = np.array([len(r) for r in rows])
-    cols = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
-    of = np.repeat(np.arange(len(rows)), sizes)
-    values, n, d = scale[cols], len(rows), len(scale)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    values, n, d = scale[cols], len(sizes), len(scale)
 
     def ahead(w):
         return np.bincount(of, w[cols] * values, n)
@@ -168,8 +167,8 @@ def fit_toxicity(
         bias = float(np.log(share / (1 - share)))
         return bits, spark.sparkContext.broadcast((np.zeros(0, np.int64), np.zeros(0), bias))
     counts = train.select("label", "text").mapInArrow(partial(_counts, bits=bits), "bucket long, toxic long, clean long")
-    counts = counts.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toPandas()
-    bucket, c1, c0 = (counts[c].to_numpy(np.int64) for c in ("bucket", "toxic", "clean"))
+    counts = counts.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
+    bucket, c1, c0 = (counts[c].to_numpy() for c in ("bucket", "toxic", "clean"))
     best = np.lexsort((bucket, -evidence(c1, c0, n1, n0)))[:columns]
     bucket, c1, c0 = bucket[best], c1[best], c0[best]
     n = n1 + n0
@@ -178,11 +177,13 @@ def fit_toxicity(
     sample = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     chosen = spark.sparkContext.broadcast(np.sort(bucket))
     rows = sample.select("label", "text").mapInArrow(partial(_rows, bits=bits, chosen=chosen), "label int, x array<long>")
-    rows = rows.toPandas()
+    rows = rows.toArrow().combine_chunks()
     order = np.argsort(bucket)
     bucket, ratio = bucket[order], ratio[order]
-    xs = [np.searchsorted(bucket, x) for x in rows["x"]]
-    w, b = fit_logistic(xs, rows["label"].to_numpy(np.float64), ratio, penalty, steps)
+    lists = rows["x"].chunks
+    cols = np.concatenate([np.searchsorted(bucket, c.flatten().to_numpy()) for c in lists] or [np.zeros(0, np.int64)])
+    sizes = np.concatenate([c.value_lengths().to_numpy() for c in lists] or [np.zeros(0, np.int64)])
+    w, b = fit_logistic(cols, sizes, rows["label"].to_numpy().astype(np.float64), ratio, penalty, steps)
     return bits, spark.sparkContext.broadcast((bucket, w * ratio, b))
 
 
