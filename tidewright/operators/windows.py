@@ -18,7 +18,10 @@ from pyspark.sql.window import Window, WindowSpec
 class Series:
     def __init__(self, keys: Sequence[str] = ("asset",), time: str = "date"):
         self.keys, self.time = list(keys), time
-        self.ordered = Window.partitionBy(*self.keys).orderBy(time)
+
+    @property
+    def ordered(self) -> WindowSpec:
+        return Window.partitionBy(*self.keys).orderBy(self.time)
 
     def rows(self, start: int, end: int) -> WindowSpec:
         return self.ordered.rowsBetween(start, end)

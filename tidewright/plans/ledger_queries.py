@@ -42,7 +42,7 @@ def agg23_by_window(spark, sf_dir):
 
 
 @query("""WITH v AS (SELECT c_mktsegment AS segment, o_orderpriority AS priority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
-SELECT segment, sum(n) AS n, arg_max(priority, (n, priority)) AS top, round(CAST(max(n) AS DOUBLE) / sum(n), 6) AS share FROM v GROUP BY 1 HAVING sum(n) >= 30""", dates="")
+SELECT segment, CAST(sum(n) AS BIGINT) AS n, arg_max(priority, (n, priority)) AS top, round(CAST(max(n) AS DOUBLE) / sum(n), 6) AS share FROM v GROUP BY 1 HAVING sum(n) >= 30""", dates="")
 def agg26_top_share(spark, sf_dir):
     o = a.table(spark, sf_dir, "orders").join(a.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     v = o.groupBy(F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"))
@@ -98,7 +98,7 @@ def agg46_latest_percentile(spark, sf_dir):
 
 
 @query("""SELECT c_nationkey AS nation, round(sum(units * price * rate), 2) AS value, round(sum(units * (price - cost) * rate), 2) AS gain FROM (
-SELECT c_nationkey, c_custkey % 7 + 1 AS units, 100 + c_custkey % 13 AS price, 90 + c_custkey % 11 AS cost, 1.5 AS rate FROM customer) AS x GROUP BY 1""", dates="")
+SELECT c_nationkey, c_custkey % 7 + 1 AS units, 100 + c_custkey % 13 AS price, 90 + c_custkey % 11 AS cost, 1.5::DOUBLE AS rate FROM customer) AS x GROUP BY 1""", dates="")
 def agg47_portfolio_value(spark, sf_dir):
     k = F.col("c_custkey")
     units, price, cost = k % 7 + 1, 100 + k % 13, 90 + k % 11

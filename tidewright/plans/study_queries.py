@@ -239,7 +239,7 @@ def udf29_boosted_trees(spark, sf_dir):
 @query(dates="")
 def udf31_principal_components(spark, sf_dir):
     assets = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-    wide = _returns(spark, sf_dir).groupBy("date").pivot("asset", assets).agg(F.max("r")).dropna()
+    wide = _returns(spark, sf_dir).groupBy("date").pivot("asset", assets).agg(F.max("r")).fillna(0.0)
     return m.principal_components(wide.drop("date"), assets, 3, "1-URGENT")
 
 

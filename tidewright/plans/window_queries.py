@@ -201,8 +201,8 @@ def win22_lagged_features(spark, sf_dir):
     return f.select("asset", "date", *_r(m=S.lagged("m"), v=S.lagged("v")))
 
 
-@query(sql("p", f"""WITH s AS (SELECT asset, date, CASE WHEN value > {_g('avg(value)', 50)} THEN 1.0 ELSE 0.0 END AS pos FROM p)
-SELECT asset, date, pos, abs(pos - lag(pos) {O}) AS turnover, round(abs(pos - lag(pos) {O}) * 0.0005, 6) AS cost FROM s"""))
+@query(sql("p", f"""WITH s AS (SELECT asset, date, CASE WHEN value > {_g('avg(value)', 50)} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS pos FROM p)
+SELECT asset, date, pos, abs(pos - lag(pos) {O}) AS turnover, round(abs(pos - lag(pos) {O}) * 0.0005::DOUBLE, 6) AS cost FROM s"""))
 def win23_turnover(spark, sf_dir):
     s = a.daily_prices(spark, sf_dir).withColumn("pos", F.when(F.col("value") > S.mean("value", 50), 1.0).otherwise(0.0))
     s = s.withColumn("turnover", F.abs(F.col("pos") - S.lagged("pos")))
