@@ -141,7 +141,7 @@ def fit_toxicity(
     labels: DataFrame,
     bits: int = 20,
     smoothing: float = 10.0,
-    columns: int = 8192,
+    columns: int = 1024,
     fit_rows: int = 20_000,
     penalty: float = 1e-4,
     steps: int = 300,
