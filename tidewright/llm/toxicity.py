@@ -158,7 +158,8 @@ def fit_toxicity(
     spark = docs.sparkSession
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     marks = marks.filter(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
-    train = id_and_text(docs, id_col, text_col).join(marks, "doc_id")
+    # Labels grow with the documents: the same join at every size, never a broadcast.
+    train = id_and_text(docs, id_col, text_col).join(marks.hint("shuffle_merge"), "doc_id")
     train = stored(train.select("doc_id", "label", "text"), "toxic-train")
     sizes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
