@@ -47,6 +47,16 @@ def test_vector_duplicates(spark):
     assert vector_duplicates(df.limit(0)).count() == 0
 
 
+def test_vector_duplicates_in_a_tight_group(spark):
+    rng = np.random.default_rng(5)
+    one = rng.normal(size=64)
+    rows = [(i, (one + rng.normal(size=64) * 0.002 if i % 3 == 0 else rng.normal(size=64)).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block_rows in (1000, 250):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_duplicates(df, block_rows=block_rows).collect()}
+        assert got == {i: (299, 0) if i % 3 == 0 else (0, i) for i in range(900)}
+
+
 def test_flow_prefers_first_copies_and_meets_quotas():
     take = routed([((0,), 10), ((1,), 10), ((0, 1), 10)], [12, 17], 2)
     assert sum(take) == 29 and max(take) <= 20

@@ -7,8 +7,8 @@ vectors at the threshold the difference on a Gaussian line is normal with a
 known deviation, so window and count are set from the wanted recall, and
 vectors closer than the threshold are found the more surely.
 
-Vectors are sorted by the first projection into blocks of bounded size.  Two
-blocks are compared only if close pairs can lie in them, so each task holds two
+Vectors are sorted by the first of these projections into blocks of bounded
+size.  Two blocks are compared only if close pairs can lie in them, so each task holds two
 blocks, in which collisions are counted as whole arrays, line by line.  Copies of one vector count as one with a weight.
 Each pair of blocks reports link counts and a spanning forest, never pairs.
 
@@ -64,9 +64,9 @@ def calibrated(cosine: float, count: int, recall: float) -> tuple[float, int]:
     return best[1], best[2]
 
 
-def _placed(batches: Iterator[pa.RecordBatch], dim: int, seed: int) -> Iterator[pa.RecordBatch]:
+def _placed(batches: Iterator[pa.RecordBatch], count: int, dim: int, seed: int) -> Iterator[pa.RecordBatch]:
     """Class, first projection and unit vector of each vector; nulls if it links with nothing."""
-    line = lines(1, dim, seed)[:, 0]
+    line = lines(count, dim, seed)[:, 0]  # the same line as the first of _compared
     for batch in batches:
         cls, place, unit = [], [], []
         for v in batch.column(1).to_pylist():
@@ -92,17 +92,23 @@ def _compared(rows: pd.DataFrame, cosine: float, reach: float, width: float, lea
     for block in (a, b):
         part = rows[rows["block"] == block].sort_values("place")
         units = np.frombuffer(b"".join(part["unit"]), np.float64).reshape(-1, dim)
-        sides.append((part["cls"].to_numpy(), part["copies"].to_numpy(), units, units @ axes))
-    (cls_a, copies_a, unit_a, proj_a), (cls_b, copies_b, unit_b, proj_b) = sides
+        sides.append((part["cls"].to_numpy(), part["copies"].to_numpy(), part["place"].to_numpy(), units, units @ axes))
+    (cls_a, copies_a, place_a, unit_a, proj_a), (cls_b, copies_b, place_b, unit_b, proj_b) = sides
     # Projections in steps of a sixteenth of the window, as integers that compare fast.
     step = width / 16
     qa, qb = (np.clip(np.rint(p / step), -16000, 16000).astype(np.int16) for p in (proj_a, proj_b))
     columns = [np.ascontiguousarray(qb[:, k]) for k in range(count)]
-    found, far = [], math.ceil(reach / step) + 1
+    far = reach + 2 * step
+    # A forest: each vector points to the least index that reaches it inside these blocks.
+    # Links are folded into it batch by batch, so memory doesn't grow with their number.
+    shift = 0 if a == b else len(cls_a)
+    names = cls_a if a == b else np.concatenate([cls_a, cls_b])
+    every, root, n = np.arange(len(names)), np.arange(len(names)), np.zeros(len(names), np.int64)
     for at in range(0, len(qa), 64):
         q = qa[at : at + 64]
-        lo = int(np.searchsorted(columns[0], int(q[:, 0].min()) - far))
-        hi = int(np.searchsorted(columns[0], int(q[:, 0].max()) + far, "right"))
+        near = place_a[at : at + 64]
+        lo = int(np.searchsorted(place_b, near[0] - far))
+        hi = int(np.searchsorted(place_b, near[-1] + far, "right"))
         if a == b:
             lo = max(lo, at)
         if lo >= hi:
@@ -118,26 +124,18 @@ def _compared(rows: pd.DataFrame, cosine: float, reach: float, width: float, lea
             if a == b:
                 i, j = i[i < j], j[i < j]
             close = np.einsum("ij,ij->i", unit_a[i], unit_b[j]) >= cosine
-            found.append((i[close], j[close]))
-    if not found:
-        return pd.DataFrame({"cls": [], "n": [], "other": []})
-    i, j = (np.concatenate(x) for x in zip(*found))
-    # A forest: each vector points to the least index that reaches it inside these blocks.
-    shift = 0 if a == b else len(cls_a)
-    names = cls_a if a == b else np.concatenate([cls_a, cls_b])
-    root = np.arange(len(names))
-    x, y = i, j + shift
-    while True:
-        low = np.minimum(root[x], root[y])
-        before = root.copy()
-        np.minimum.at(root, x, low)
-        np.minimum.at(root, y, low)
-        root = root[root]
-        if np.array_equal(before, root):
-            break
-    n = np.zeros(len(names), np.int64)
-    np.add.at(n, x, copies_b[j])
-    np.add.at(n, y, copies_a[i])
+            i, j = i[close], j[close]
+            np.add.at(n, i, copies_b[j])
+            np.add.at(n, j + shift, copies_a[i])
+            x, y = np.concatenate([every, i]), np.concatenate([root, j + shift])
+            while True:
+                low = np.minimum(root[x], root[y])
+                before = root.copy()
+                np.minimum.at(root, x, low)
+                np.minimum.at(root, y, low)
+                root = root[root]
+                if np.array_equal(before, root):
+                    break
     at = np.flatnonzero(n)
     return pd.DataFrame({"cls": names[at], "n": n[at], "other": names[root[at]]})
 
@@ -161,7 +159,7 @@ def vector_duplicates(
     lengths = rows.filter("v is not null").groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"))
     usual = lengths.orderBy(F.desc("n"), "d").first()
     dim = usual["d"] if usual else 0
-    placed = stored(rows.mapInArrow(partial(_placed, dim=dim, seed=seed), CLASS), "placed")
+    placed = stored(rows.mapInArrow(partial(_placed, count=count, dim=dim, seed=seed), CLASS), "placed")
     classes = placed.filter("cls is not null").groupBy("cls").agg(
         F.count("*").alias("copies"), F.min("vec_id").alias("first"), F.first("place").alias("place"), F.first("unit").alias("unit")
     )
