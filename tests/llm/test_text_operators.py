@@ -1,5 +1,8 @@
 import base64
+import bz2
 import gzip
+import json
+import lzma
 import hashlib
 import random
 import re
@@ -144,6 +147,27 @@ def test_secret_layers():
     assert scan("ſecret=abcdefgh1", 1 << 20)[0] == []
 
 
+def quoted(raw, safe="/"):
+    return urllib.parse.quote(raw, safe=safe)
+
+
+def test_secret_layers_in_other_writings():
+    plain = b"password = hunter2hunter2 and some more text " + bytes(range(32, 127))
+    other = gzip.compress(b"nothing here ") + gzip.compress(plain)
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        raw = pack(plain)
+        two = pack(b"nothing here ") + pack(plain)
+        wraps = [quoted(raw), quoted(raw, ""), urllib.parse.quote_plus(raw), quoted(two), b64(two), quoted(b64(raw), "")]
+        wraps += ["".join(f"\\x{c:02x}" for c in raw), json.dumps(raw.decode("latin-1"))[1:-1], repr(raw)[2:-1], repr(two)[2:-1]]
+        wraps += ["".join(f"&#{c};" for c in raw), b64(other + b"\0" * 9), b64(pack(plain + b"\x01\xff")), b64(plain + b"\x01")]
+        wraps += [b64(pack(plain.decode().encode(code))) for code in ("utf-16", "utf-16-be", "utf-32")]
+        wraps += [b64(pack(pack(plain))), b64(pack(b"a b " * 1000 + plain + b" c d" * 1000)), b64(raw + b" token=abcdefgh12")]
+        for k, w in enumerate(wraps):
+            text = "éé " + w + " end"
+            spans = scan(text, 512)[1]
+            assert spans and all(3 <= a < b <= len(text) - 4 for _, a, b in spans), (pack, k, spans)
+
+
 def test_secret_spans(spark):
     rows = [(1, None), (2, ""), (3, "api_key = 'ABCDEFGH1' " + "f" * 40 + " AKIA" + "Q" * 12), (3, "x"), (None, "SECRET:12345678")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -3,7 +3,8 @@
 A worklist holds layers still to scan.  The first is the text itself; scanning
 a layer also unwraps what it encodes: percent escapes and Unicode escapes are
 decoded in place over the whole layer, Base64 runs and compressed bytes become
-layers of their own.  It ends when no layer is new.  A layer seen before (by
+layers of their own.  Compressed bytes may be written in a mix of escapes and
+plain characters; they are looked for wherever their first bytes stand.  It ends when no layer is new.  A layer seen before (by
 its content and origin) is not scanned again, which ends cycles such as an
 archive that holds itself.  Each layer maps its characters to spans of the
 original text, so a secret found three layers down is reported where its
@@ -21,8 +22,9 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,8 +47,16 @@ ESCAPE = re.compile(
 # 19 characters are the shortest encoding of a secret.
 RUN = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")
 WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{2,}={0,2}")
+# Escapes of byte strings, as source code and JSON write them.
+BYTES = re.compile(
+    r"\\u00(?P<u>[0-9A-Fa-f]{2})|\\u\{0*(?P<b>[0-9A-Fa-f]{1,2})\}|%u00(?P<v>[0-9A-Fa-f]{2})|\\U000000(?P<w>[0-9A-Fa-f]{2})"
+    r"|\\x(?P<x>[0-9A-Fa-f]{2})|&#0*(?P<d>[0-9]{1,3});|&#[xX]0*(?P<h>[0-9A-Fa-f]{1,2});|\\(?P<o>[0-3][0-7]{2}|0)|\\(?P<c>[abfnrtv\\'\"/])"
+)
+NAMED = dict(zip("abfnrtv\\'\"/", "\a\b\f\n\r\t\v\\'\"/"))
 PRINTED = re.compile(r"[^\x00-\x08\x0e-\x1f\x7f-\x9f]*\Z")
 MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"BZh", b"\xfd7zXZ\x00")
+PACKED = re.compile("\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00")
+NARROW = re.compile(r"[\x00-\xff]*")
 
 Span = tuple[str, int, int]
 
@@ -111,13 +121,11 @@ def percent_bytes(run: str) -> bytes:
     return bytes.fromhex(run.replace("%", ""))
 
 
-def percent_decoded(layer: Layer) -> tuple[Layer | None, list[tuple[bytes, int, int]]]:
-    """The layer with percent escapes decoded as UTF-8 (else Latin-1); compressed runs apart."""
-    parts, packed = [], []
+def percent_decoded(layer: Layer) -> Layer | None:
+    """The layer with percent escapes decoded as UTF-8 (else Latin-1)."""
+    parts = []
     for m in PERCENT.finditer(layer.text):
         raw = percent_bytes(m[0])
-        if raw.startswith(MAGIC):
-            packed.append((raw, *layer.span(m.start(), m.end())))
         try:
             chars, wide = raw.decode(), [len(c.encode()) for c in raw.decode()]
         except UnicodeDecodeError:
@@ -127,7 +135,50 @@ def percent_decoded(layer: Layer) -> tuple[Layer | None, list[tuple[bytes, int,
             out.append((c, at, at + 3 * n))
             at += 3 * n
         parts.append((m.start(), m.end(), out))
-    return (layer.replaced(parts) if parts else None), packed
+    return layer.replaced(parts) if parts else None
+
+
+def byte_views(layer: Layer) -> Iterator[Layer]:
+    """Views with compressed bytes as Latin-1: the layer, and with percent or byte escapes decoded."""
+    now = layer.text
+    ways = [[]]
+    if "%" in now:
+        ways.append([])
+        for m in PERCENT.finditer(now):
+            chars = percent_bytes(m[0]).decode("latin-1")
+            ways[1].append((m.start(), m.end(), [(c, m.start() + 3 * k, m.start() + 3 * k + 3) for k, c in enumerate(chars)]))
+        if "+" in now:  # forms write a space as a plus
+            ways.append(sorted(ways[1] + [(m.start(), m.end(), [(" ", *m.span())]) for m in re.finditer(r"\+", now)]))
+    if "\\" in now or "&#" in now or "%u" in now:
+        parts = []
+        for m in BYTES.finditer(now):
+            digits = m["u"] or m["b"] or m["v"] or m["w"] or m["x"] or m["h"]
+            value = ord(NAMED[m["c"]]) if m["c"] else int(m["o"], 8) if m["o"] else int(m["d"]) if m["d"] else int(digits, 16)
+            if value < 256:
+                parts.append((*m.span(), [(chr(value), *m.span())]))
+        ways.append(parts)
+    for parts in ways:
+        flat, at = [], 0
+        for a, b, chars in parts:
+            flat += [now[at:a], *(c for c, _, _ in chars)]
+            at = b
+        if PACKED.search("".join(flat) + now[at:]):
+            yield layer.replaced(parts) if parts else layer
+
+
+def packed_in(view: Layer) -> Iterator[tuple[bytes, int, int]]:
+    """Compressed bytes that stand in the text, one after another, and where from."""
+    at, start, raw = 0, 0, b""
+    while m := PACKED.search(view.text, at):
+        if m.start() >= start + len(raw):
+            start, raw = m.start(), NARROW.match(view.text, m.start())[0].encode("latin-1")
+        first = m.start() - start
+        used = Unpacker(raw[k : k + 4096] for k in range(first, len(raw), 4096))
+        some = sum(map(len, used))
+        if some:
+            stop = first + used.taken - len(used.rest)
+            yield (raw[first:stop], *view.span(m.start(), start + stop))
+        at = start + stop if some and used.whole else m.start() + 1
 
 
 def escapes_decoded(layer: Layer) -> Layer | None:
@@ -147,16 +198,84 @@ def escapes_decoded(layer: Layer) -> Layer | None:
     return layer.replaced(parts) if parts else None
 
 
-def unpacked(raw: bytes, most: int) -> bytes | None:
-    """Decompressed bytes, at most ``most`` of them; None if they aren't compressed."""
-    try:
-        if raw.startswith(b"BZh"):
-            return bz2.BZ2Decompressor().decompress(raw, most)
-        if raw.startswith(b"\xfd7zXZ\x00"):
-            return lzma.LZMADecompressor().decompress(raw, most)
-        return zlib.decompressobj(47).decompress(raw, most)
-    except (zlib.error, OSError, ValueError, lzma.LZMAError, EOFError):
-        return None
+class Unpacker:
+    """Iterates over the decompressed content of byte pieces, in pieces of bounded size.
+
+    Members that follow one another, with or without zeros between, are read
+    on as one content.  Ends without an error where bytes are cut or damaged.
+    After the end, ``rest`` holds what followed the last whole member.
+    """
+
+    def __init__(self, pieces: Iterable[bytes], most: int = 1 << 20):
+        self.pieces, self.most, self.rest = iter(pieces), most, b""
+        self.taken, self.whole = 0, False
+
+    def filled(self, raw: bytes, n: int) -> bytes:
+        while len(raw) < n and (more := next(self.pieces, None)) is not None:
+            raw += more
+            self.taken += len(more)
+        return raw
+
+    def __iter__(self) -> Iterator[bytes]:
+        raw = self.filled(b"", 6)
+        while raw.startswith(MAGIC):
+            if raw.startswith(b"BZh"):
+                tool = bz2.BZ2Decompressor()
+            elif raw.startswith(b"\xfd7zXZ\x00"):
+                tool = lzma.LZMADecompressor()
+            else:
+                tool = zlib.decompressobj(47)
+            try:
+                while not tool.eof:
+                    if not raw and getattr(tool, "needs_input", True) and not (raw := self.filled(b"", 1)):
+                        if hasattr(tool, "flush") and (out := tool.flush()):
+                            yield out
+                        return  # cut short
+                    out = tool.decompress(raw[: 1 << 16], self.most)
+                    raw = (getattr(tool, "unconsumed_tail", b"")) + raw[1 << 16 :]
+                    if out:
+                        yield out
+            except (zlib.error, OSError, ValueError, lzma.LZMAError, EOFError):
+                self.rest = raw
+                return
+            self.whole = True
+            self.rest = raw = tool.unused_data + raw
+            self.rest = raw = self.filled(raw, 6)
+            while raw[:1] == b"\0" and not (raw := raw.lstrip(b"\0")):
+                raw = self.filled(raw, 6)
+            raw = self.filled(raw, 6)
+            if not raw.startswith(MAGIC):
+                self.rest = raw
+
+
+def windows(pieces: Iterable[bytes], most: int) -> Iterator[bytes]:
+    """The joined pieces in windows of ``most`` bytes, each with the last half of the one before."""
+    pieces, held, size, fresh, later = iter(pieces), [], 0, True, False
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece)
+        fresh = True
+        while size >= most:
+            whole = b"".join(held)
+            if not later and whole.startswith(MAGIC) and any(Unpacker([whole[: 1 << 16]])):
+                # Compressed once more, and too large for a window: unpacked on the way.
+                yield from windows(Unpacker(chain([whole], pieces)), most)
+                return
+            later = True
+            yield whole[:most]
+            held = [whole[most - most // 2 :]]
+            size, fresh = len(held[0]), len(whole) > most
+    if size and fresh:
+        yield b"".join(held)
+
+
+def unfolded(raw: bytes, a: int, b: int, most: int) -> Iterator[tuple[bytes, int, int]]:
+    """Windows of the decompressed content, and what follows the compressed bytes."""
+    pieces = Unpacker([raw])
+    for window in windows(pieces, most):
+        yield window, a, b
+    if pieces.rest and len(pieces.rest) < len(raw):
+        yield pieces.rest, a, b
 
 
 def base64_bytes(run: str) -> bytes | None:
@@ -174,22 +293,38 @@ def readable(raw: bytes) -> str | None:
     return text if PRINTED.match(text) else None
 
 
+def texts_of(raw: bytes) -> Iterator[str]:
+    """Readings of any bytes: UTF-8 or else Latin-1, and with zeros also UTF-16 and UTF-32."""
+    try:
+        yield raw.decode()
+    except UnicodeDecodeError:
+        yield raw.decode("latin-1")
+    if b"\0" in raw:
+        for width, code in ((2, "utf-16-le"), (4, "utf-32-le")):
+            for skip in range(width):  # another byte order is the same, shifted
+                yield (raw[skip:] + bytes(-len(raw[skip:]) % width)).decode(code, "replace")
+
+
 def scan(text: str, most: int) -> tuple[list[Span], list[Span]]:
     """Base spans and all spans of a text, each sorted by start, kind as listed, end."""
     base, found, seen = list(matches(text)), set(), set()
-    work: list[Layer | tuple[bytes, int, int]] = [Layer(text)]
+    work: list[Layer | tuple[bytes, int, int] | Iterator[tuple[bytes, int, int]]] = [Layer(text)]
     found.update(base)
     while work:
         item = work.pop()
+        if isinstance(item, Iterator):  # windows, one at a time
+            if (one := next(item, None)) is not None:
+                work += [item, one]
+            continue
         if isinstance(item, tuple):
             raw, a, b = item
             if (key := (hashlib.sha256(raw).digest(), a, b)) in seen:
                 continue
             seen.add(key)
-            if raw.startswith(MAGIC) and (inner := unpacked(raw, most)):
-                work.append((inner, a, b))
-            elif (plain := readable(raw)) is not None:
-                work.append(Layer(plain, a, b))
+            if raw.startswith(MAGIC) and any(Unpacker([raw])):
+                work.append(unfolded(raw, a, b, most))
+            else:
+                work.extend(Layer(t, a, b) for t in texts_of(raw))
             continue
         if item.starts is not None:
             where = (item.starts, item.ends) if isinstance(item.starts, int) else None
@@ -200,13 +335,13 @@ def scan(text: str, most: int) -> tuple[list[Span], list[Span]]:
                 found.add((kind, *item.span(a, b)))
         now = item.text
         if "%" in now:
-            inner, packed = percent_decoded(item)
-            work.extend(packed)
-            if inner is not None:
+            if (inner := percent_decoded(item)) is not None:
                 work.append(inner)
         if "\\" in now or "&#" in now or "%u" in now:
             if (inner := escapes_decoded(item)) is not None:
                 work.append(inner)
+        for view in byte_views(item):
+            work.extend(packed_in(view))
         runs = list(RUN.finditer(now))
         if any(m.end() - m.start() >= 60 for m in runs):
             runs += WRAPPED.finditer(now)
@@ -214,11 +349,16 @@ def scan(text: str, most: int) -> tuple[list[Span], list[Span]]:
             tries = [(m.start(), m.end())]
             if re.search(r"[/+_-]", m[0]):  # a path or name may precede the encoded part
                 tries += [(m.start() + x.start(), m.start() + x.end()) for x in re.finditer(r"[A-Za-z0-9]{19,}={0,2}", m[0])]
+            rough = []
             for a, b in tries:
                 raw = base64_bytes(now[a:b])
-                if raw and (raw.startswith(MAGIC) or readable(raw) is not None):
+                if raw and (raw.startswith(MAGIC) and any(Unpacker([raw])) or readable(raw) is not None):
                     work.append((raw, *item.span(a, b)))
                     break
+                if raw:
+                    rough.append((raw, *item.span(a, b)))
+            else:  # none is clean text: all are scanned as they are
+                work.extend(rough)
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     return sorted(base, key=order), sorted(found, key=order)
 
@@ -252,9 +392,8 @@ def secret_spans(
 ) -> DataFrame:
     """``doc_id, base, spans`` of every whole text; no shuffle.
 
-    ``most_bytes`` bounds what one compressed run may unfold to in memory, as a
-    guard against decompression bombs; it is far above what texts of ordinary
-    size can hold.
+    Compressed content is scanned whole, in windows of ``most_bytes`` that
+    overlap by half; that bounds memory, not what is scanned.
     """
     return id_and_text(docs, id_col, text_col).mapInArrow(partial(_scanned, most=most_bytes), SCHEMA)
 
