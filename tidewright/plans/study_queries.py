@@ -134,7 +134,7 @@ def _with_forward(spark, sf_dir, h=5):
 def udf01_block_bootstrap(spark, sf_dir):
     def test(frame, seed):
         y, r = frame["f"].to_numpy(), frame["r"].to_numpy()
-        return b.block_bootstrap(r <= np.quantile(r, 0.1), y, block=20, draws=500, seed=seed)
+        return b.block_bootstrap(r <= np.quantile(r, 0.1), y, block=20, draws=2000, seed=seed)
 
     schema = "asset string, diff double, low double, high double, p double, n_used long, n_dropped long"
     return b.per_group(_with_forward(spark, sf_dir), ["asset"], "date", schema, test)
@@ -143,7 +143,7 @@ def udf01_block_bootstrap(spark, sf_dir):
 @query(dates="")
 def udf02_permutation(spark, sf_dir):
     def test(frame, seed):
-        return b.permutation_test(frame["r"].to_numpy(), frame["label"].to_numpy(), draws=300, seed=seed)
+        return b.permutation_test(frame["r"].to_numpy(), frame["label"].to_numpy(), draws=1000, seed=seed)
 
     r = _with_forward(spark, sf_dir).withColumn("label", F.weekday("date"))
     return b.per_group(r, ["asset"], "date", "asset string, observed double, p double, n long", test)
@@ -152,7 +152,7 @@ def udf02_permutation(spark, sf_dir):
 @query(dates="")
 def udf04_cluster_bootstrap(spark, sf_dir):
     def test(frame, seed):
-        return b.cluster_bootstrap(frame["f"].to_numpy(), frame["cluster"].to_numpy(), draws=500, seed=seed)
+        return b.cluster_bootstrap(frame["f"].to_numpy(), frame["cluster"].to_numpy(), draws=2000, seed=seed)
 
     r = _with_forward(spark, sf_dir).withColumn("cluster", F.date_format("date", "yyyyMM"))
     return b.per_group(r, ["asset"], "date", "asset string, mean double, low double, high double, clusters long, n long", test)
@@ -171,7 +171,7 @@ def udf15_tail_risk(spark, sf_dir):
 def udf17_overfit_probability(spark, sf_dir):
     def test(frame, seed):
         wide = frame.pivot_table(index="date", columns="asset", values="r").fillna(0.0)
-        return m.overfit_probability(wide.to_numpy(), slices=8)
+        return m.overfit_probability(wide.to_numpy(), slices=10)
 
     r = _with_forward(spark, sf_dir).withColumn("study", F.lit("assets"))
     return b.per_group(r, ["study"], "date", "study string, pbo double, splits long, median_logit double", test)
@@ -180,7 +180,7 @@ def udf17_overfit_probability(spark, sf_dir):
 @query(dates="")
 def udf18_spectral(spark, sf_dir):
     def test(frame, seed):
-        return m.spectral_test(np.log1p(frame["r"].to_numpy()), draws=200, seed=seed)
+        return m.spectral_test(np.log1p(frame["r"].to_numpy()), draws=1000, seed=seed)
 
     return b.per_group(_with_forward(spark, sf_dir), ["asset"], "date", "asset string, phi double, peak double, period double, p double, n long", test)
 
