@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,9 +119,10 @@ class UnitCache:
         self.young: dict = {}
         self.old: dict = {}
 
-    def ready(self, units: set[str]) -> dict:
+    def ready(self, units: Iterable[str]) -> dict:
         """A dict that holds at least ``units``."""
         held = self.young
+        units = dict.fromkeys(units)
         lacking = [u for u in units if u not in held]
         if lacking:
             if held and len(held) + len(lacking) > self.limit:
@@ -140,3 +143,14 @@ def slices(table, rows: int = 128):
     """Record batches in pieces of a few rows, for bounded memory."""
     for at in range(0, table.num_rows, rows):
         yield table.slice(at, rows)
+
+
+def sized_slices(table, column: int, most_bytes: int = 1 << 24):
+    """Record batches in pieces of about ``most_bytes`` of one text column, of a row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(table.column(column)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < table.num_rows:
+        gone = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, gone + most_bytes, "right")))
+        yield table.slice(at, to - at)
+        at = to

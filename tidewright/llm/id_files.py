@@ -14,6 +14,7 @@ order) and end with the id ``end_id``.  Null and empty texts hold just that id.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -26,8 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import UnitCache, id_and_text, slices, stored
-from .tree_bpe import cut_at_spaces, uncut
+from .common import UnitCache, id_and_text, sized_slices, slices, stored
+from .token_counts import byte_spelling
+from .tree_bpe import PLAIN_WORD, uncut, unit_ids
 
 RAW = "part int, block int, first long, docs array<long>, ordinals array<long>, shares array<int>, ids binary"
 CODED = "part int, block int, start long, docs array<long>, ordinals array<long>, shares array<int>, n int, checkpoints array<int>, bits binary"
@@ -39,14 +41,15 @@ CODED = "part int, block int, start long, docs array<long>, ordinals array<long>
 class LibraryEncoder:
     """Ids by the tokenizers library, unit by unit.
 
-    The library splits text by its pattern before any merge, and a match holds
-    a space only at its start, so the units of a text encode apart.  Texts
-    with a special string go to the library whole.
+    The library splits text by its pattern before any merge, so the units of a
+    text encode apart.  Plain words go to the library without its splitting,
+    which would leave them whole.  Texts with a special string go to the
+    library whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
@@ -54,36 +57,60 @@ class LibraryEncoder:
         self.width = np.zeros(1 + max(names.values()), np.int64)  # bytes of each id
         for name, i in names.items():
             self.width[i] = len(name)  # byte-level: a character a byte
+        spec = json.loads(self.lib.to_str())
+        splits = spec["pre_tokenizer"] or {}
+        known = splits.get("type") == "ByteLevel" and splits.get("use_regex") and not splits.get("add_prefix_space")
+        self.plain = known and spec["normalizer"] is None
+        self.word_lib = Tokenizer.from_file(path)
+        self.word_lib.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        spelling = byte_spelling()
+        self.space, self.spelling = spelling[32], {i: c for i, c in enumerate(spelling) if c != chr(i)}
         self.cache = UnitCache(self.units, 500_000)
 
-    def units(self, texts: list[str]) -> list[bytes]:
-        """Ids of units; those within texts go to the library joined, 500 at a time."""
-        out: list[bytes] = [b""] * len(texts)
-        joins = [i for i, t in enumerate(texts) if t[0] != " "]
-        texts = list(map(uncut, texts))
-        whole = set(range(len(texts))).difference(joins)
-        runs = [joins[i : i + 500] for i in range(0, len(joins), 500)]
-        found = self.lib.encode_batch_fast(["".join([texts[i] for i in run]) for run in runs], add_special_tokens=False)
-        for run, enc in zip(runs, found):
+    def cut(self, encodings: list, sizes: list[np.ndarray]) -> list[bytes]:
+        """Ids of the pieces of joined texts, from the size in bytes of each piece."""
+        out = []
+        for enc, size in zip(encodings, sizes):
             ids = np.array(enc.ids, "<u4")
-            ends = np.cumsum(self.width[ids])
-            want = np.cumsum([len(texts[i].encode()) for i in run])
+            ends, want = np.cumsum(self.width[ids]), np.cumsum(size)
             cuts = np.searchsorted(ends, want, "right")
             if not len(ends) or not np.array_equal(ends[cuts - 1], want):
                 raise ValueError("the vocabulary isn't byte-level")
-            a = 0
-            for i, b in zip(run, cuts.tolist()):
-                out[i] = ids[a:b].tobytes()
-                a = b
-        whole = sorted(whole)
-        for i, enc in zip(whole, self.lib.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
-            out[i] = np.array(enc.ids, "<u4").tobytes()
+            raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+            out += [raw[a:b] for a, b in zip([0, *cuts], cuts)]
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [[" " + t] if any(s in t for s in self.special) else cut_at_spaces(t) for t in texts]
-        known = self.cache.ready(set().union(*cut))
-        return [np.frombuffer(b"".join(map(known.__getitem__, us)), "<u4") for us in cut]
+    def encoded_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words with a space in front, 500 at a time."""
+        runs = [words[i : i + 500] for i in range(0, len(words), 500)]
+        spelled = [[w if w.isascii() else w.encode().decode("latin-1").translate(self.spelling) for w in run] for run in runs]
+        joined = ["\n".join([self.space + w for w in run]) for run in spelled]
+        found = self.word_lib.encode_batch_fast(joined, add_special_tokens=False)
+        return self.cut(found, [np.array([len(w) + 1 for w in run]) for run in spelled])
+
+    def joined(self, texts: list[str]) -> list[bytes]:
+        """Ids of stretches that each begin with a space and don't end in white space."""
+        runs = [texts[i : i + 500] for i in range(0, len(texts), 500)]
+        found = self.lib.encode_batch_fast(["".join(run) for run in runs], add_special_tokens=False)
+        return self.cut(found, [np.array([len(t.encode()) for t in run]) for run in runs])
+
+    def apart(self, texts: list[str]) -> list[bytes]:
+        found = self.lib.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def units(self, texts: list[str]) -> list[bytes]:
+        """Ids of units: plain words, other stretches within texts, what stands apart."""
+        words, inner, marked = [], [], []
+        for t in texts:
+            (marked if t[0] == " " else words if self.plain and PLAIN_WORD(t) else inner).append(t)
+        found = dict(zip(words, self.encoded_words(words)))
+        found.update(zip(inner, self.joined(list(map(uncut, inner)))))
+        found.update(zip(marked, self.apart(list(map(uncut, marked)))))
+        return list(map(found.__getitem__, texts))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        ids, n = unit_ids(texts, self.cache, tuple(self.special))
+        return np.split(ids, np.cumsum(n)[:-1])
 
 
 library = cache(LibraryEncoder)
@@ -102,10 +129,8 @@ def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int, block_
         return pa.RecordBatch.from_pylist([{k: v[0] for k, v in row.items()}], schema=RAW_ARROW)
 
     for batch in batches:
-        for part in slices(batch):
-            for part_no, doc, ids in zip(
-                part.column(0).to_pylist(), part.column(1).to_pylist(), enc.encode(part.column(2).to_pylist())
-            ):
+        for part in sized_slices(batch, 2):
+            for part_no, doc, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), enc.encode(part.column(2))):
                 ids = np.concatenate([ids, end])
                 while len(ids):
                     now, ids = ids[: block_ids - held], ids[block_ids - held :]
@@ -359,14 +384,15 @@ def read_ids(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFr
     """Documents of a file set: ``doc_id, start, n_tokens, ids_crc32``; ``ids`` on request.
 
     Only shares at a block's edge can belong to a document of several blocks;
-    the others need no shuffle.
+    the others need no shuffle.  Blocks are decoded once: the shares are written
+    before the two kinds part.
     """
     table = spark.read.parquet(f"{folder}/codes").toArrow().to_pandas()  # at most the vocabulary
     blocks = spark.read.schema(CODED).parquet(f"{folder}/blocks")
     max_bits, stride = (int(table["max_bits"][0]), int(table["stride"][0])) if len(table) else (1, 1)
     codes_of = _Code(spark, table["id"].tolist(), table["length"].tolist(), max_bits, folder)
     schema = SEGMENTS + (", ids array<int>" if with_ids else "")
-    shares = blocks.mapInArrow(partial(_read, codes_of=codes_of, stride=stride, with_ids=with_ids), schema)
+    shares = stored(blocks.mapInArrow(partial(_read, codes_of=codes_of, stride=stride, with_ids=with_ids), schema), "shares")
     extra = ["ids"] if with_ids else []
     whole = shares.filter("not open").select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"), *extra)
     joined = F.udf(lambda rows: crc_of_joined([r["crc"] for r in rows], [4 * r["n"] for r in rows]), T.LongType())

@@ -20,10 +20,11 @@ from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import UnitCache, id_and_text, slices
+from .common import UnitCache, id_and_text, sized_slices
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -126,6 +127,69 @@ def cut_at_spaces(text: str) -> list[str]:
     return units
 
 
+#: A space of which that isn't sure, or an empty text, for Arrow's engine (its \\s is ASCII only).
+ANY_OTHER = r" (?:[\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)|\A\z"
+
+
+LATIN = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+PLAIN_WORD = re.compile(LATIN).fullmatch
+#: A plain word and the signs behind it, which are a match of their own.
+WORD_AND_SIGNS = r"\A(?P<word>" + LATIN + r")(?P<signs>[!-&(-/:-@\[-`{-~]*)\z"
+
+
+def unit_codes(texts: pa.Array, alone: tuple[str, ...] = ()) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Units of many texts: units that occur, the place of each text's units in that list, and their number per text.
+
+    As ``cut_at_spaces``, but texts without odd spaces are split and their units
+    told apart in Arrow, and signs behind a plain word are a unit too, marked as
+    the first one is.  A text with a string of ``alone`` is one unit.
+    """
+    odd = pc.match_substring_regex(texts, ANY_OTHER)
+    for s in alone:
+        odd = pc.or_(odd, pc.match_substring(texts, s))
+    odd = odd.to_numpy(zero_copy_only=False)
+    plain = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+    flat = plain.flatten().dictionary_encode()
+    parts = pc.extract_regex(flat.dictionary, WORD_AND_SIGNS)
+    is_word = parts.is_valid()
+    words = pc.if_else(is_word, parts.field(0), flat.dictionary).dictionary_encode()
+    signs = pc.if_else(is_word, parts.field(1), "").dictionary_encode()
+    units = [u or " " for u in words.dictionary.to_pylist()]  # nothing: a text that begins with a space
+    at = flat.indices.to_numpy()
+    codes = np.empty((len(at), 2), np.int64)
+    codes[:, 0] = words.indices.to_numpy()[at]
+    codes[:, 1] = len(units) + signs.indices.to_numpy()[at]
+    units += [" " + s for s in signs.dictionary.to_pylist()]
+    first = np.concatenate([[0], np.cumsum(pc.list_value_length(plain).to_numpy())]).astype(np.int64)
+    marked = [" " + u for u in flat.dictionary.take(flat.indices.take(pa.array(first[:-1]))).to_pylist()]
+    codes[first[:-1], 0] = len(units) + np.arange(len(marked))
+    codes[first[:-1], 1] = len(units) + len(marked)
+    units += [*marked, " "]
+    codes, first = codes.ravel(), 2 * first
+    n = np.zeros(len(texts), np.int64)
+    n[~odd] = np.diff(first)
+    if odd.any():
+        others = [[" " + t] if any(s in t for s in alone) else cut_at_spaces(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        n[odd] = [len(us) for us in others]
+        whole = np.empty(n.sum(), np.int64)
+        from_plain = np.repeat(~odd, n)
+        whole[from_plain] = codes
+        whole[~from_plain] = len(units) + np.arange(len(whole) - len(codes))
+        codes, units = whole, units + [u for us in others for u in us]
+    return units, codes, n
+
+
+def unit_ids(texts: pa.Array, known: UnitCache, alone: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of many texts on end, and their number per text; ``known`` gives a unit's ids as bytes."""
+    units, codes, n = unit_codes(texts, alone)
+    held = known.ready(units)
+    parts = list(map(held.__getitem__, units))
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    ids = gathered(codes, np.cumsum(lengths) - lengths, lengths, np.frombuffer(b"".join(parts), "<u4"))
+    ends = np.concatenate([[0], np.cumsum(lengths[codes])])
+    return ids, np.diff(ends[np.concatenate([[0], np.cumsum(n)])])
+
+
 def uncut(unit: str) -> str:
     """The stretch of text that a unit stands for."""
     return unit[1:] if unit[0] == " " else " " + unit
@@ -151,12 +215,10 @@ def encoder(path: str, pattern: str) -> tuple[TreeEncoder, UnitCache, tuple]:
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     enc, units, decimal = encoder(path, pattern)
     for batch in batches:
-        for part in slices(batch, 64):
-            cut = [cut_at_spaces(t) for t in part.column(1).to_pylist()]
-            known = units.ready(set().union(*cut))
+        for part in sized_slices(batch, 1):
             rows = [[], [], [], []]
-            for us in cut:
-                ids = np.frombuffer(b"".join(map(known.__getitem__, us)), "<u4")
+            every, sizes = unit_ids(part.column(1), units)
+            for ids in np.split(every, np.cumsum(sizes)[:-1]):
                 listed = gathered(ids, *decimal)[:-1].tobytes()
                 rows[0].append(len(ids))
                 rows[1].append(hashlib.sha256(listed).hexdigest())
