@@ -109,6 +109,7 @@ def mix_sources(
     text_col: str = "text",
     sources: str | F.Column = "source",
     keep: Sequence[str] = (),
+    most_patterns: int = 10_000,
 ) -> DataFrame:
     """``doc_id, size, source_size, target, taken, copies, sources`` of every document.
 
@@ -118,7 +119,9 @@ def mix_sources(
     Sources by code point, null last, have the weights in turn and share
     ``total`` times all words; ``source_size`` and ``target`` are those of a
     document's first source.  ``copies`` is ``taken`` in whole copies, rounded.
-    The driver holds a row for each source and each pattern of sources.
+    The driver solves the flow over a row for each source and each pattern of
+    sources, and every task gets its shares; more than ``most_patterns``
+    patterns raise an error.
     """
     spark = docs.sparkSession
     of = F.col(sources) if isinstance(sources, str) else sources
@@ -129,7 +132,9 @@ def mix_sources(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), of.cast("array<string>").alias("sources"), *keep)
     rows = rows.withColumn("at", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     rows = stored(rows, "mix")
-    found = rows.groupBy("sources").agg(F.sum("size").alias("size")).collect()  # one row per pattern
+    found = rows.groupBy("sources").agg(F.sum("size").alias("size")).limit(most_patterns + 1).collect()
+    if len(found) > most_patterns:
+        raise ValueError(f"more than {most_patterns} patterns of sources; group rare sources or raise most_patterns")
     patterns = sorted(((tuple(r["sources"]), r["size"]) for r in found), key=lambda x: [(s is None, s or "") for s in x[0]])
     names = sorted({s for p, _ in patterns for s in p}, key=lambda s: (s is None, s or ""))
     number = {s: i for i, s in enumerate(names)}
@@ -146,13 +151,14 @@ def mix_sources(
 
     # The hash range in which each pattern's seeded order ends.
     place = F.conv(F.substring("at", 1, 3), 16, 10).cast("int")
-    rows = rows.join(plan, "sources").withColumn("range", place)
+    # At most ``most_patterns`` rows go to all tasks, so no source is gathered for a join.
+    rows = rows.join(F.broadcast(plan), "sources").withColumn("range", place)
     sums = rows.groupBy("sources", "range", "rest").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("sources").orderBy("range")) - F.col("words")
     sums = sums.withColumn("before", before)
     last = sums.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
     last = last.select("sources", F.col("range").alias("last"), "before")
-    rows = rows.join(last, "sources", "left").withColumn("last", F.coalesce("last", F.lit(-1)))
+    rows = rows.join(F.broadcast(last), "sources", "left").withColumn("last", F.coalesce("last", F.lit(-1)))
     inside = F.col("range") == F.col("last")
     order = Window.partitionBy("sources").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     ending = rows.filter(inside).withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
