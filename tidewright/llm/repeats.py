@@ -365,7 +365,8 @@ def repeated_bytes(
     spans = all_marks.groupBy("ah", "ctx").agg(F.collect_set(F.struct("a", "b")).alias("marks"))
 
     # Back to every segment, and to documents.
-    kinds = kinds.join(spans, ["ah", "ctx"], "left").filter("copies > 1 or marks is not null")
+    # Written first, so that the join has plain shuffles on both sides and a hot segment is split.
+    kinds = stored(kinds.join(spans, ["ah", "ctx"], "left").filter("copies > 1 or marks is not null"), "marked-kinds")
     hit = found.join(kinds, ["ah", "ctx"])
     everything = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
     some = F.coalesce("marks", F.array().cast("array<struct<a:int,b:int>>"))
