@@ -59,10 +59,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Components of the undirected graph ``edges(a, b)`` as ``(node, root)``.
 
     ``root`` is the smallest node of the component.  Alternates large-star and
-    small-star steps; each is a grouped minimum and an equi-join, so the hub of
-    a large component is pre-aggregated on the map side and split by the skew
-    join, and nothing passes through the driver but one checksum per round.
-    Nodes without edges do not appear.
+    small-star steps; each is a grouped minimum, which is pre-aggregated on the
+    map side, and an equi-join.  Minima are written before they are joined:
+    with plain shuffles on both sides the skew join splits a hub.  Nothing
+    passes through the driver but one checksum per round.  Nodes without edges
+    do not appear.
     """
 
     def sum_of(df: DataFrame):
@@ -70,7 +71,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return tuple(row)
 
     def smallest(df: DataFrame) -> DataFrame:
-        return df.groupBy("a").agg(F.min("b").alias("m"))
+        return checkpointed(df.groupBy("a").agg(F.min("b").alias("m")))
 
     links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     links = checkpointed(links.filter(F.col("a") != F.col("b")).distinct())
