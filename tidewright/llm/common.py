@@ -71,7 +71,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return tuple(row)
 
     def smallest(df: DataFrame) -> DataFrame:
-        return checkpointed(df.groupBy("a").agg(F.min("b").alias("m")))
+        return stored(df.groupBy("a").agg(F.min("b").alias("m")), "least")
 
     links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     links = checkpointed(links.filter(F.col("a") != F.col("b")).distinct())

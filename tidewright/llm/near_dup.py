@@ -174,11 +174,11 @@ def _bounds(held: DataFrame, width: int, percent: int) -> DataFrame:
     return bounds.filter(F.col("most") * 100 >= F.col("n") * percent)
 
 
-def _block_links(frame: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
+def _block_links(frame: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame:
     """A forest of the links between two blocks of a group (or within one)."""
     sides = [frame[frame["block"] == b] for b in dict.fromkeys((frame["left"].iloc[0], frame["right"].iloc[0]))]
     names = pd.concat([s["cls"] for s in sides]).to_numpy()
-    sets = [shingle_set(t.encode(), width) for s in sides for t in s["text"]]
+    sets = [shingle_set(t.encode(), shingle) for s in sides for t in s["text"]]
     sizes = np.array([len(x) for x in sets])
     of = np.repeat(np.arange(len(sets)), sizes)
     _, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -187,16 +187,18 @@ def _block_links(frame: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
     column = np.cumsum(seen > 1)[at] - 1
     m = len(sides[0])
     rows, cols = np.arange(m), np.arange(len(sets)) if len(sides) == 1 else np.arange(m, len(sets))
-    common = np.zeros((len(rows), len(cols)), np.float32)
+    common = np.zeros((len(rows), len(cols)), np.int32)
+    width = max(256, (1 << 23) // len(sets))  # a bounded matrix at a time; its float32 counts are exact
     order = np.argsort(column, kind="stable")
     of, column = of[order], column[order]
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-        a, b = np.searchsorted(column, [low, low + 4096])
-        ones = np.zeros((len(sets), 4096), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [low, low + width])
+        ones = np.zeros((len(sets), width), np.float32)
         ones[of[a:b], column[a:b] - low] = 1
-        common += ones[rows] @ ones[cols].T
+        common += (ones[rows] @ ones[cols].T).astype(np.int32)
+    # 100 c >= percent (union) with union = sum - c, in whole numbers.
     both = sizes[rows][:, None] + sizes[cols][None, :]
-    x, y = np.nonzero(100 * common >= percent * (both - common))
+    x, y = np.nonzero((100 + percent) * common.astype(np.int64) >= percent * both)
     y = cols[y]
     root = np.arange(len(sets))
     while True:
@@ -211,17 +213,25 @@ def _block_links(frame: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": names[child], "b": names[root[child]]})
 
 
-def _group_links(rows: DataFrame, held: DataFrame, width: int, percent: int, block_rows: int = 400) -> DataFrame:
-    """Links between classes of groups that the buckets of ``rows`` connect."""
+def _group_links(
+    rows: DataFrame, held: DataFrame, width: int, percent: int, block_rows: int = 2000, block_bytes: int = 1 << 23
+) -> DataFrame:
+    """Links between classes of groups that the buckets of ``rows`` connect.
+
+    A group's blocks hold about ``block_rows`` texts or ``block_bytes`` bytes,
+    whichever is less, and a text moves once for each block of its group.
+    """
     low = rows.groupBy("key").agg(F.min("cls").alias("low"))
     edges = rows.join(low, "key").filter(F.col("cls") != F.col("low")).select(F.col("cls").alias("a"), F.col("low").alias("b"))
     groups = checkpointed(connected_components(edges))
-    blocks = groups.groupBy("root").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
+    size = held.select(F.col("cls").alias("node"), F.octet_length("text").alias("size"))
+    share = F.greatest(F.count("*") / block_rows, F.sum("size") / block_bytes)
+    blocks = groups.join(size, "node").groupBy("root").agg(F.ceil(share).alias("blocks"))
     dealt = groups.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = [F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right")]
     dealt = dealt.select(F.col("node").alias("cls"), "root", F.col("block"), *pair).join(held, "cls")
-    run = partial(_block_links, width=width, percent=percent)
+    run = partial(_block_links, shingle=width, percent=percent)
     return dealt.groupBy("root", "left", "right").applyInPandas(run, "a binary, b binary")
 
 
