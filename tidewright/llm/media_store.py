@@ -3,9 +3,10 @@
 A payload becomes a medium: an 8-bit mono WAV file whose samples are the
 payload's bytes.  A rolling gear hash over the file cuts it where the hash of
 the last 32 bytes has zero top bits, so equal stretches of different media
-are cut alike.  Chunks go by their digest: joins on the digest leave each
-chunk's bytes with one owner, and every medium is an ordered list of chunks, of
-which the store row holds the bytes it owns.
+are cut alike.  Chunks go by their digest.  Only digests are shuffled to find
+the chunks of several media, and joins on the digest leave each chunk's bytes
+with one owner; the others, most of all, never enter a join.  Every medium is an
+ordered list of chunks, of which the store row holds the bytes it owns.
 
 Media go by the first 16 bytes of their sha256.
 
@@ -73,53 +74,80 @@ def cuts(data: bytes, least: int, usual: int, most: int) -> list[int]:
     return out
 
 
-def _chunked(batches: Iterator[pa.RecordBatch], sizes: tuple[int, int, int], packed: bool) -> Iterator[pa.RecordBatch]:
-    """Each row's medium: its digest, and either its chunk list or its compressed bytes."""
-    pack = zstandard.ZstdCompressor(level=9)
+def digest_of(chunk: bytes) -> bytes:
+    return hashlib.blake2b(chunk, digest_size=16).digest()
+
+
+def media_of(texts: pa.Array) -> list[bytes]:
+    return [wav(payload_of(t.as_buffer().to_pybytes() if t.as_buffer() else b"")) for t in texts]
+
+
+def media_id(medium: bytes) -> bytes:
+    return hashlib.sha256(medium).digest()[:16]
+
+
+def _listed(batches: Iterator[pa.RecordBatch], sizes: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
+    """Each row's medium, its size before padding, and the medium's different chunk digests."""
     for batch in batches:
         for part in slices(batch):
-            media = [wav(payload_of(t.as_buffer().to_pybytes() if t.as_buffer() else b"")) for t in part.column(1)]
-            out = {} if packed else {"doc_id": part.column(0)}
-            out["media"] = pa.array([hashlib.sha256(m).digest()[:16] for m in media], pa.binary())
-            if packed:
-                out["packed"] = pa.array([pack.compress(m) for m in media], pa.binary())
-            else:
-                ends = [cuts(m, *sizes) for m in media]
-                digests = [[hashlib.blake2b(m[a:b], digest_size=16).digest() for a, b in zip([0, *e], e)] for m, e in zip(media, ends)]
-                out["ends"] = pa.array(ends, pa.list_(pa.int32()))
-                out["digests"] = pa.array(digests, pa.list_(pa.binary()))
-                out["n_bytes"] = pa.array([len(t.as_buffer() or b"") for t in part.column(1)], pa.int64())
+            media = media_of(part.column(1))
+            digests = [list({digest_of(m[a:b]) for a, b in zip([0, *e], e)}) for m, e in ((m, cuts(m, *sizes)) for m in media)]
+            out = {"doc_id": part.column(0), "media": pa.array(map(media_id, media), pa.binary())}
+            out["n_bytes"] = pa.array([len(t.as_buffer() or b"") for t in part.column(1)], pa.int64())
+            out["digests"] = pa.array(digests, pa.list_(pa.binary()))
             yield pa.RecordBatch.from_pydict(out)
 
 
-STORE = "media binary, ends array<int>, digests array<binary>, own array<boolean>, lent array<boolean>, bytes binary"
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=9)
+    for batch in batches:
+        for part in slices(batch):
+            media = media_of(part.column(0))
+            cols = [pa.array(map(media_id, media), pa.binary()), pa.array(map(pack.compress, media), pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["media", "packed"])
+
+
+STORE = "media binary, ends array<int>, digests array<binary>, kinds array<tinyint>, bytes binary"
 STORE_NAMES = [c.split()[0] for c in STORE.split(", ")]
+OWN, LENT, FOREIGN, REPEAT = range(4)  # bytes here; here and asked for; with another medium; earlier in this one
 
 
-def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Store rows: of each medium, the bytes of the chunks it owns."""
+def _owned(batches: Iterator[pa.RecordBatch], sizes: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
+    """Store rows: each medium's chunk list, and the bytes of the chunks it owns."""
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         for part in slices(batch):
-            kept = []
-            for data, ends, own in zip(part.column(5).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist()):
+            out = [[] for _ in STORE_NAMES]
+            for name, data, foreign, lent in zip(*[part.column(i).to_pylist() for i in range(4)]):
                 medium = unpack.decompress(data)
-                kept.append(b"".join(medium[a:b] for a, b, mine in zip([0, *ends], ends, own) if mine))
-            yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(kept, pa.binary())], names=STORE_NAMES)
+                foreign, lent, seen = set(foreign or ()), set(lent or ()), set()
+                ends, digests, kinds, kept = cuts(medium, *sizes), [], [], []
+                for a, b in zip([0, *ends], ends):
+                    d = digest_of(medium[a:b])
+                    kind = FOREIGN if d in foreign else REPEAT if d in seen else LENT if d in lent else OWN
+                    if kind in (OWN, LENT):
+                        seen.add(d)
+                        kept.append(medium[a:b])
+                    digests.append(d)
+                    kinds.append(kind)
+                for col, x in zip(out, (name, ends, digests, kinds, b"".join(kept))):
+                    col.append(x)
+            types = [pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int8()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=STORE_NAMES)
 
 
 def _lent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Owned chunks that other places refer to."""
+    """Owned chunks that other media refer to."""
     for batch in batches:
         digests, chunks = [], []
         for part in slices(batch):
             for row in part.to_pylist():
                 at = 0
-                for a, b, d, own, lent in zip([0, *row["ends"]], row["ends"], row["digests"], row["own"], row["lent"]):
-                    if own and lent:
+                for a, b, d, kind in zip([0, *row["ends"]], row["ends"], row["digests"], row["kinds"]):
+                    if kind == LENT:
                         digests.append(d)
                         chunks.append(row["bytes"][at : at + b - a])
-                    at += (b - a) * own
+                    at += (b - a) * (kind in (OWN, LENT))
         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(chunks, pa.binary())], names=["digest", "chunk"])
 
 
@@ -130,7 +158,7 @@ def features(samples: bytes, chunks: int) -> str:
     return f"mean={x.mean():.6f};deviation={x.std():.6f};crossings={int((above[1:] != above[:-1]).sum())};chunks={chunks}"
 
 
-READ = "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+READ = "media binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
 
 
 def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,20 +166,19 @@ def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for part in slices(batch):
             for row in part.to_pylist():
-                foreign = {f["seq"]: f["chunk"] for f in row["foreign"] or []}
-                pieces, at = [], 0
-                for seq, (a, b, own) in enumerate(zip([0, *row["ends"]], row["ends"], row["own"])):
-                    pieces.append(row["bytes"][at : at + b - a] if own else foreign[seq])
-                    at += (b - a) * own
+                chunks, pieces, at = {f["digest"]: f["chunk"] for f in row["foreign"] or []}, [], 0
+                for a, b, d, kind in zip([0, *row["ends"]], row["ends"], row["digests"], row["kinds"]):
+                    if kind in (OWN, LENT):
+                        chunks[d] = row["bytes"][at : at + b - a]
+                        at += b - a
+                    pieces.append(chunks[d])
                 medium = b"".join(pieces)
-                digest = hashlib.sha256(medium)
-                if digest.digest()[:16] != row["media"]:
+                digest = hashlib.sha256(medium).digest()
+                if digest[:16] != row["media"]:
                     raise ValueError(f"medium {row['media'].hex()} doesn't match its digest")
                 x = samples_of(medium)
-                out.append(
-                    (row["media"], len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-16:]), len(medium), digest.hexdigest(), features(x, len(pieces)))
-                )
-        kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                out.append((row["media"], len(x), hashlib.sha256(x).digest(), zlib.crc32(x[-16:]), len(medium), digest, features(x, len(pieces))))
+        kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
         names = [c.split()[0] for c in READ.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
 
@@ -170,22 +197,21 @@ def write_media(
     The store is bucketed by medium, so reading moves foreign chunks only.
     """
     spark = docs.sparkSession
-    rows = id_and_text(docs, id_col, text_col)
-    listed = "doc_id long, media binary, ends array<int>, digests array<binary>, n_bytes long"
-    seen = stored(rows.mapInArrow(partial(_chunked, sizes=(least, usual, most), packed=False), listed), "media")
-    media = seen.groupBy("media").agg(F.first(F.arrays_zip("digests", "ends")).alias("chunks"))
-    places = media.select("media", F.posexplode("chunks").alias("seq", "c"))
-    places = places.select("media", "seq", F.col("c.digests").alias("digest"), F.col("c.ends").alias("end"))
-    spot = F.struct("media", "seq")
-    owners = places.groupBy("digest").agg(F.min(spot).alias("owner"), (F.count("*") > 1).alias("lent"))
-    owned = places.join(owners, "digest").select("media", "seq", "end", "digest", (F.col("owner") == spot).alias("own"), "lent")
-    lists = owned.groupBy("media").agg(F.array_sort(F.collect_list(F.struct("seq", "end", "digest", "own", "lent"))).alias("f"))
-    lists = lists.select("media", *[F.col(f"f.{c}").alias(n) for c, n in (("end", "ends"), ("digest", "digests"), ("own", "own"), ("lent", "lent"))])
-    data = rows.mapInArrow(partial(_chunked, sizes=(least, usual, most), packed=True), "media binary, packed binary")
+    rows, sizes = id_and_text(docs, id_col, text_col), (least, usual, most)
+    listed = "doc_id long, media binary, n_bytes long, digests array<binary>"
+    seen = stored(rows.mapInArrow(partial(_listed, sizes=sizes), listed), "media")
+    # Copies of a medium give equal places, which a minimum and a maximum count once.
+    places = seen.select("media", F.explode("digests").alias("digest"))
+    shared = places.groupBy("digest").agg(F.min("media").alias("owner"), F.max("media").alias("last"))
+    shared = stored(shared.filter("owner < last").select("digest", "owner"), "shared")
+    mine = F.col("owner") == F.col("media")
+    flags = places.join(shared, "digest").groupBy("media").agg(
+        F.collect_set(F.when(~mine, F.col("digest"))).alias("foreign"), F.collect_set(F.when(mine, F.col("digest"))).alias("lent")
+    )
     # Copies meet before and after the shuffle; one is kept.
-    data = data.groupBy("media").agg(F.first("packed").alias("packed"))
+    data = rows.select("text").mapInArrow(_packed, "media binary, packed binary").groupBy("media").agg(F.first("packed").alias("packed"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    whole = lists.join(data, "media").mapInArrow(_owned, STORE)
+    whole = data.join(flags, "media", "left").mapInArrow(partial(_owned, sizes=sizes), STORE)
     whole = whole.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9")
     whole.bucketBy(tasks, "media").saveAsTable(name)
     return seen.select("doc_id", "media", "n_bytes")
@@ -194,11 +220,10 @@ def write_media(
 def read_media(spark: SparkSession, name: str) -> DataFrame:
     """Rebuild and verify every medium of a store, and compute features of its samples."""
     store = spark.table(name)
-    foreign = store.select("media", F.explode(F.arrays_zip("digests", "own", F.sequence(F.lit(0), F.size("own") - 1).alias("seq"))).alias("c"))
-    foreign = foreign.filter("not c.own").select("media", F.col("c.digests").alias("digest"), F.col("c.seq").alias("seq"))
-    lent = store.filter(F.exists(F.arrays_zip("own", "lent"), lambda x: x["own"] & x["lent"]))
-    lent = lent.mapInArrow(_lent, "digest binary, chunk binary")
-    fetched = foreign.join(lent, "digest").groupBy("media").agg(F.collect_list(F.struct("seq", "chunk")).alias("foreign"))
+    foreign = F.filter(F.arrays_zip("digests", "kinds"), lambda x: x["kinds"] == FOREIGN)
+    foreign = store.select("media", F.explode(F.array_distinct(F.transform(foreign, lambda x: x["digests"]))).alias("digest"))
+    lent = store.filter(F.array_contains("kinds", F.lit(LENT).cast("tinyint"))).mapInArrow(_lent, "digest binary, chunk binary")
+    fetched = foreign.join(lent, "digest").groupBy("media").agg(F.collect_list(F.struct("digest", "chunk")).alias("foreign"))
     return store.join(fetched, "media", "left").mapInArrow(_rebuilt, READ)
 
 
@@ -208,4 +233,6 @@ def media_round_trip(docs: DataFrame, least: int, usual: int, most: int, id_col:
     rows = write_media(docs, name, least, usual, most, id_col, text_col)
     back = stored(read_media(docs.sparkSession, name), "read-back")
     docs.sparkSession.sql(f"DROP TABLE {name}")
+    for c in ("payload_sha256", "media_sha256"):
+        back = back.withColumn(c, F.lower(F.hex(c)))
     return rows.join(back, "media").drop("media")
