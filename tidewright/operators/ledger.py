@@ -42,6 +42,12 @@ def transitions(df: DataFrame, keys: Sequence[str], order: Sequence[str], state:
     return df.withColumn("was", was).filter(F.col("was").isNotNull() & (F.col("was") != F.col(state)))
 
 
+def keep_members(actions: DataFrame, keys: Sequence[str], order: str, action: str) -> DataFrame:
+    """Keys whose last action is a promotion."""
+    last = actions.groupBy(*keys).agg(F.max_by(action, order).alias("_last"))
+    return last.filter("_last = 'promote'").drop("_last")
+
+
 def source_health(df: DataFrame, source: str, day: str, as_of: str, stale_after: int) -> DataFrame:
     """Rows, latest day and age of each source as of a given day, and whether it is stale."""
     stats = df.groupBy(source).agg(F.count("*").alias("n"), F.max(day).alias("latest"))

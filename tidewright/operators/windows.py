@@ -8,10 +8,14 @@ within a partition, else results depend on the order of ties.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from bisect import insort
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
 
@@ -111,9 +115,6 @@ class Series:
 
     # From the beginning
 
-    def expanding_quantile(self, x: Column | str, q: float, warm_up: int) -> Column:
-        return self.guarded(lambda v: F.percentile(v, F.lit(q)), x, self.so_far, warm_up)
-
     def growth(self, r: Column | str) -> Column:
         """Value of one unit held from the first row."""
         return F.exp(F.sum(F.log1p(F.coalesce(_col(r), F.lit(0.0)))).over(self.so_far))
@@ -135,3 +136,31 @@ class Series:
 
 def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
+
+
+def expanding_quantiles(df: DataFrame, keys: Sequence[str], time: str, x: str, quantiles: Mapping[str, float], warm_up: int) -> DataFrame:
+    """Adds, under each name, a quantile (linear between ranks) of all values up to and with each row.
+
+    Null until ``warm_up`` values are there.  Values so far stay sorted as rows
+    come in order, so a key's series takes n inserts, not n sorts; one key is one
+    group, and keys run in parallel.
+    """
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in quantiles)])
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(time, ignore_index=True)
+        held: list[float] = []
+        out = {n: np.full(len(frame), np.nan) for n in quantiles}
+        for i, v in enumerate(frame[x].to_numpy(float, na_value=np.nan)):
+            if v == v:
+                insort(held, v)
+            if len(held) >= max(warm_up, 1):
+                for n, q in quantiles.items():
+                    at = q * (len(held) - 1)
+                    low = int(at)
+                    high = min(low + 1, len(held) - 1)
+                    out[n][i] = held[low] + (at - low) * (held[high] - held[low])
+        # A Series of objects keeps null apart from NaN.
+        return frame.assign(**{n: pd.Series([None if u != u else u for u in v], dtype=object) for n, v in out.items()})
+
+    return df.groupBy(*keys).applyInPandas(run, schema)

@@ -252,11 +252,11 @@ def udf12_isotonic(spark, sf_dir):
 # ---- studies ----------------------------------------------------------------
 
 
-@query(sql("t", f"""WITH f AS (SELECT date, CASE WHEN count(*) OVER (ORDER BY date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) >= 50 THEN avg(value) OVER (ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) > avg(value) OVER (ORDER BY date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) END AS golden,
+@query(sql("t", f"""WITH f AS (SELECT date, CASE WHEN count(*) OVER (ORDER BY date ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) >= 200 THEN avg(value) OVER (ORDER BY date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) > avg(value) OVER (ORDER BY date ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) END AS golden,
 lead(value, 20) OVER (ORDER BY date) / value - 1 AS f FROM t), k AS (SELECT * FROM f WHERE golden IS NOT NULL AND f IS NOT NULL)
 SELECT CAST(floor(year(date) / 10.0) * 10 AS BIGINT) AS decade, golden, count(*) AS n, round(avg(CASE WHEN f > 0 THEN 1.0 ELSE 0.0 END), 6) AS up_rate, round(avg(f), 6) AS mean FROM k GROUP BY 1, 2"""), dates="")
 def q12c_golden_cross(spark, sf_dir):
-    t = a.daily_total(spark, sf_dir).withColumn("golden", ONE.mean("value", 10) > ONE.mean("value", 50)).withColumn("f", ONE.forward_change("value", 20))
+    t = a.daily_total(spark, sf_dir).withColumn("golden", ONE.mean("value", 50) > ONE.mean("value", 200)).withColumn("f", ONE.forward_change("value", 20))
     k = t.filter("golden is not null and f is not null").groupBy((F.floor(F.year("date") / 10) * 10).alias("decade"), "golden")
     return k.agg(F.count("*").alias("n"), F.round(F.avg((F.col("f") > 0).cast("double")), 6).alias("up_rate"), F.round(F.avg("f"), 6).alias("mean"))
 

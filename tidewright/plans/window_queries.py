@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import episodes
-from ..operators.windows import Series
+from ..operators.windows import Series, expanding_quantiles
 from ..sources import adapters as a
 from .registry import query
 
@@ -118,7 +118,8 @@ def win11_z_score(spark, sf_dir):
 @query(sql("p", f"""{RET} SELECT asset, date, round(CASE WHEN count(r) OVER w >= 250 THEN quantile_cont(r, 0.05) OVER w END, 6) AS q05 FROM r
 WINDOW w AS (PARTITION BY asset ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""))
 def win12_expanding_quantile(spark, sf_dir):
-    return _returns(spark, sf_dir).select("asset", "date", *_r(q05=S.expanding_quantile("r", 0.05, 250)))
+    r = _returns(spark, sf_dir).select("asset", "date", "r")
+    return expanding_quantiles(r, ["asset"], "date", "r", {"q05": 0.05}, 250).select("asset", "date", *_r(q05=F.col("q05")))
 
 
 @query(sql("k", "SELECT date, ticker, round((rank() OVER (PARTITION BY date ORDER BY close) + (count(*) OVER (PARTITION BY date, close) - 1) / 2.0) / count(*) OVER (PARTITION BY date), 6) AS pct FROM k"))
