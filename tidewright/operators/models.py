@@ -63,18 +63,41 @@ def fit_pareto(excess: np.ndarray) -> tuple[float, float]:
     return best
 
 
-def tail_risk(losses: np.ndarray, cut: float = 0.95, level: float = 0.99) -> dict:
-    """Peaks over a threshold: fitted shape and scale, value at risk and expected shortfall."""
+PERIODS = (5, 10, 20)  # years
+
+
+def tail_risk(losses: np.ndarray, cut: float = 0.95, level: float = 0.99, per_year: int = 252, least: int = 1000, least_excess: int = 50) -> dict:
+    """Peaks over a threshold: shape, scale, value at risk, expected shortfall, losses by return period.
+
+    ``shape_low`` and ``shape_high`` show how the shape moves as the threshold
+    does.  Too few losses, or too few beyond the threshold, give no fit.
+    """
     losses = losses[np.isfinite(losses)]
-    if len(losses) < 50:
-        return {"threshold": None, "shape": None, "scale": None, "var": None, "es": None, "n": len(losses)}
-    u = float(np.quantile(losses, cut))
-    excess = losses[losses > u] - u
-    shape, scale = fit_pareto(excess)
-    ratio = (1 - level) / (len(excess) / len(losses))
-    var = u + (scale / shape * (ratio**-shape - 1) if abs(shape) > 1e-6 else -scale * math.log(ratio))
-    es = (var + scale - shape * u) / (1 - shape) if shape < 1 else None
-    return {"threshold": u, "shape": shape, "scale": scale, "var": var, "es": es, "n": len(losses)}
+    names = ["threshold", "shape", "scale", "var", "es", "shape_low", "shape_high", *(f"loss_{y}y" for y in PERIODS)]
+    out = dict.fromkeys(names) | {"n": len(losses)}
+    if len(losses) < least:
+        return out
+
+    def fitted(at: float) -> tuple[float, np.ndarray, float, float] | None:
+        u = float(np.quantile(losses, at))
+        excess = losses[losses > u] - u
+        return (u, excess, *fit_pareto(excess)) if len(excess) >= least_excess else None
+
+    if (main := fitted(cut)) is None:
+        return out
+    u, excess, shape, scale = main
+    share = len(excess) / len(losses)
+
+    def beyond(p: float) -> float:
+        """The loss exceeded with probability p."""
+        ratio = p / share
+        return u + (scale / shape * (ratio**-shape - 1) if abs(shape) > 1e-6 else -scale * math.log(ratio))
+
+    var = beyond(1 - level)
+    others = [f[2] for f in map(fitted, (0.90, 0.925, 0.95, 0.97)) if f is not None]
+    out |= {"threshold": u, "shape": shape, "scale": scale, "var": var, "es": (var + scale - shape * u) / (1 - shape) if shape < 1 else None}
+    out |= {"shape_low": min(others), "shape_high": max(others)}
+    return out | {f"loss_{y}y": beyond(1 / (y * per_year)) for y in PERIODS}
 
 
 def spectral_test(x: np.ndarray, draws: int, seed: int) -> dict:
@@ -101,39 +124,54 @@ def spectral_test(x: np.ndarray, draws: int, seed: int) -> dict:
 
 
 def event_impact(treated: np.ndarray, controls: np.ndarray, at: int, post: int, draws: int, seed: int) -> dict:
-    """Cumulated gap to a regression on controls fitted before the event, with a residual-block null."""
+    """Cumulated gap to a regression on controls fitted before the event.
+
+    Under the null the gap is a block of the residuals before the event plus
+    what the uncertain coefficients add over the rows after it.
+    """
     design = np.column_stack([np.ones(len(controls)), controls])
-    coef, *_ = np.linalg.lstsq(design[:at], treated[:at], rcond=None)
+    before, after = design[:at], design[at : at + post]
+    coef, *_ = np.linalg.lstsq(before, treated[:at], rcond=None)
     gap = treated - design @ coef
     pre = gap[:at]
-    r2 = 1 - float((pre**2).sum() / ((treated[:at] - treated[:at].mean()) ** 2).sum())
+    spread = float(((treated[:at] - treated[:at].mean()) ** 2).sum())
+    r2 = 1 - float((pre**2).sum()) / spread if spread > 0 else 0.0
     effect = float(gap[at : at + post].sum())
     rng = np.random.default_rng(seed)
-    starts = rng.integers(0, max(at - post, 1), draws)
-    null = np.array([pre[s : s + post].sum() for s in starts])
+    variance = float((pre**2).sum()) / max(at - design.shape[1], 1)
+    cov = variance * np.linalg.pinv(before.T @ before)
+    drift = after.sum(0) @ rng.multivariate_normal(np.zeros(len(coef)), cov, draws, method="eigh").T
+    starts = rng.integers(0, max(at - post, 0) + 1, draws)
+    sums = np.concatenate([[0.0], np.cumsum(pre)])
+    null = sums[starts + min(post, at)] - sums[starts] + drift
     return {"effect": effect, "p": (int((np.abs(null) >= abs(effect)).sum()) + 1) / (draws + 1), "r2": r2, "n_pre": at}
 
 
-def overfit_probability(returns: np.ndarray, slices: int = 10) -> dict:
-    """Share of symmetric splits in which the best column in sample ranks below the median out of sample."""
-    from itertools import combinations
-
-    parts = np.array_split(np.arange(len(returns)), slices)
-    below, total, logits = 0, 0, []
-    for chosen in combinations(range(slices), slices // 2):
-        inside = np.concatenate([parts[i] for i in chosen])
-        outside = np.concatenate([parts[i] for i in range(slices) if i not in chosen])
-
-        def sharpe(rows: np.ndarray) -> np.ndarray:
-            return returns[rows].mean(0) / np.maximum(returns[rows].std(0, ddof=1), 1e-12)
-
-        best = int(np.argmax(sharpe(inside)))
-        out = sharpe(outside)
-        w = float(((out <= out[best]).sum()) / (returns.shape[1] + 1))
-        logits.append(math.log(w / (1 - w)))
-        below += w <= 0.5
-        total += 1
-    return {"pbo": below / total, "splits": total, "median_logit": float(np.median(logits))}
+def canonical(x: np.ndarray, y: np.ndarray) -> dict:
+    """First two canonical correlations, and the share of y's variance that x explains."""
+    if len(x) <= x.shape[1] + y.shape[1]:
+        return {"first": None, "second": None, "explained": None, "n": len(x)}
+    x, y = x - x.mean(0), y - y.mean(0)
+    qx, qy = np.linalg.qr(x)[0], np.linalg.qr(y)[0]
+    found = np.clip(np.linalg.svd(qx.T @ qy, compute_uv=False), 0, 1)
+    fitted = qx @ (qx.T @ y)
+    return {"first": float(found[0]), "second": float(found[1]), "explained": float((fitted**2).sum() / (y**2).sum()), "n": len(x)}
+
+
+def quantile_line(x: np.ndarray, y: np.ndarray, q: float, rounds: int = 300) -> tuple[float, float]:
+    """Intercept and slope of the line that a share q of the points lies below, by reweighted least squares."""
+    design = np.column_stack([np.ones(len(x)), x])
+    coef = np.array([np.quantile(y, q), 0.0])
+    floor = 1e-6 * max(float(y.std()), 1e-12)
+    for _ in range(rounds):
+        gap = y - design @ coef
+        weight = np.where(gap >= 0, q, 1 - q) / np.maximum(np.abs(gap), floor)
+        scaled = design * weight[:, None]
+        new = np.linalg.solve(scaled.T @ design, scaled.T @ y)
+        if np.allclose(new, coef, rtol=1e-10, atol=1e-12):
+            break
+        coef = new
+    return float(coef[0]), float(coef[1])
 
 
 def local_level(y: np.ndarray, ratio: float) -> np.ndarray:

@@ -80,6 +80,39 @@ def cluster_bootstrap(values: np.ndarray, clusters: np.ndarray, draws: int, seed
     return {"mean": float(values.mean()), "low": float(low), "high": float(high), "clusters": len(kinds), "n": len(values)}
 
 
+def event_bootstrap(values: np.ndarray, base: float, draws: int, seed: int) -> dict:
+    """Mean, rising share and difference to a fixed base rate when events are drawn again."""
+    rng = np.random.default_rng(seed)
+    picked = values[rng.integers(0, len(values), size=(draws, len(values)))]
+    means, ups = picked.mean(1), (picked > 0).mean(1)
+    bounds = {n: np.percentile(x, [2.5, 97.5]) for n, x in (("mean", means), ("up", ups), ("diff", means - base))}
+    out = {f"{n}_{side}": float(v) for n, pair in bounds.items() for side, v in zip(("low", "high"), pair)}
+    return out | {"mean": float(values.mean()), "up": float((values > 0).mean()), "n": len(values)}
+
+
+def rank_area(y: np.ndarray, codes: np.ndarray) -> float:
+    """Area under the ROC curve from dense codes of a score; ties count half."""
+    size = int(codes.max()) + 1
+    pos, neg = np.bincount(codes[y == 1], minlength=size), np.bincount(codes[y == 0], minlength=size)
+    below = np.cumsum(neg) - neg
+    return float((pos * (below + neg / 2)).sum() / (pos.sum() * neg.sum()))
+
+
+def auc_difference(y: np.ndarray, a: np.ndarray, b: np.ndarray, block: int, draws: int, seed: int) -> dict:
+    """AUC of one score less that of another, with a circular block bootstrap of the rows under both."""
+    n, out = len(y), {"diff": None, "low": None, "high": None, "p": None, "n": len(y)}
+    if n < 3 * block or len(np.unique(y)) < 2:
+        return out
+    codes = [np.unique(x, return_inverse=True)[1] for x in (a, b)]
+    rng = np.random.default_rng(seed)
+    starts = rng.integers(0, n, size=(draws, -(-n // block)))
+    at = ((starts[:, :, None] + np.arange(block)) % n).reshape(draws, -1)[:, :n]
+    d = np.array([rank_area(y[i], codes[0][i]) - rank_area(y[i], codes[1][i]) for i in at if 0 < y[i].sum() < n])
+    low, high = np.percentile(d, [2.5, 97.5])
+    p = min(1.0, 2 * min((d <= 0).mean(), (d >= 0).mean()))
+    return out | {"diff": rank_area(y, codes[0]) - rank_area(y, codes[1]), "low": float(low), "high": float(high), "p": float(p)}
+
+
 def per_group(df: DataFrame, keys: Sequence[str], order: str, schema: str, test) -> DataFrame:
     """One row per group: ``test(frame in order, seed)`` as a dict."""
     keys = list(keys)

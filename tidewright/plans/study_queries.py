@@ -163,20 +163,11 @@ def udf15_tail_risk(spark, sf_dir):
     def test(frame, seed):
         return m.tail_risk(-frame["r"].to_numpy())
 
-    schema = "asset string, threshold double, shape double, scale double, var double, es double, n long"
+    names = ["threshold", "shape", "scale", "var", "es", "shape_low", "shape_high", "loss_5y", "loss_10y", "loss_20y"]
+    schema = f"asset string, {', '.join(f'{n} double' for n in names)}, n long"
     return b.per_group(_with_forward(spark, sf_dir), ["asset"], "date", schema, test)
 
 
-@query(dates="")
-def udf17_overfit_probability(spark, sf_dir):
-    def test(frame, seed):
-        wide = frame.pivot_table(index="date", columns="asset", values="r").fillna(0.0)
-        return m.overfit_probability(wide.to_numpy(), slices=10)
-
-    r = _with_forward(spark, sf_dir).withColumn("study", F.lit("assets"))
-    return b.per_group(r, ["study"], "date", "study string, pbo double, splits long, median_logit double", test)
-
-
 @query(dates="")
 def udf18_spectral(spark, sf_dir):
     def test(frame, seed):
@@ -185,17 +176,6 @@ def udf18_spectral(spark, sf_dir):
     return b.per_group(_with_forward(spark, sf_dir), ["asset"], "date", "asset string, phi double, peak double, period double, p double, n long", test)
 
 
-@query(dates="")
-def udf19_event_impact(spark, sf_dir):
-    def test(frame, seed):
-        frame = frame.dropna()
-        at = len(frame) * 2 // 3
-        return m.event_impact(frame["1-URGENT"].to_numpy(), frame[["2-HIGH", "5-LOW"]].to_numpy(), at, 20, 300, seed)
-
-    p = _returns(spark, sf_dir).groupBy("date").pivot("asset", ["1-URGENT", "2-HIGH", "5-LOW"]).agg(F.max("r"))
-    return b.per_group(p.withColumn("event", F.lit("cut")), ["event"], "date", "event string, effect double, p double, r2 double, n_pre long", test)
-
-
 @query(dates="")
 def sta19_local_level(spark, sf_dir):
     def run(frame):
