@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -211,25 +210,3 @@ def sta03_hash_chain(spark, sf_dir):
     sealed = l.seal(o, "ledger", "o_orderkey", ["o_orderkey", "o_totalprice"])
     edited = sealed.withColumn("o_totalprice", F.when(F.col("o_orderkey") == 5, 0.0).otherwise(F.col("o_totalprice")))
     return l.broken_links(edited, "ledger", "o_orderkey", ["o_orderkey", "o_totalprice"]).groupBy("ledger").agg(F.count("*").alias("broken"), F.min("o_orderkey").alias("first"))
-
-
-@query(dates="")
-def sta13_portfolio_replay(spark, sf_dir):
-    """Monthly rebalancing into the strongest asset, one fold per strategy."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        back = int(frame["back"].iloc[0])
-        wide = frame.pivot(index="date", columns="asset", values="value").sort_index().ffill().dropna()
-        cash, held, units, out = 1000.0, None, 0.0, []
-        for i in range(back, len(wide)):
-            now = wide.iloc[i]
-            if (i - back) % 21 == 0:
-                best = (now / wide.iloc[i - back]).idxmax()
-                if best != held:
-                    cash = cash if held is None else units * now[held] * (1 - 0.0002)
-                    held, units = best, cash * (1 - 0.0002) / now[best]
-            out.append((f"momentum{back}", str(wide.index[i]), held, float(units * now[held])))
-        return pd.DataFrame(out, columns=["strategy", "date", "holding", "equity"])
-
-    p = a.daily_prices(spark, sf_dir).withColumn("back", F.explode(F.array(F.lit(21), F.lit(63))))
-    return p.groupBy("back").applyInPandas(run, "strategy string, date string, holding string, equity double")
