@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -87,29 +86,55 @@ def is_prefix(old: DataFrame, new: DataFrame, position: str) -> DataFrame:
     return old.exceptAll(new).select(position)
 
 
-def _chain(frame: pd.DataFrame, order: str, fields: list[str]) -> pd.DataFrame:
-    frame = frame.sort_values(order, ignore_index=True)
-    prev, hashes, before = "", [], []
-    for row in frame[fields].to_dict("records"):
-        before.append(prev)
-        text = json.dumps({k: None if v is None or v != v else str(v) for k, v in row.items()}, sort_keys=True, separators=(",", ":"))
-        prev = hashlib.sha256((prev + text).encode()).hexdigest()
-        hashes.append(prev)
-    return frame.assign(prev_hash=before, row_hash=hashes)
+def canonical(fields: Sequence[str]) -> Column:
+    """A row's JSON text: fields by name, values as text, nulls kept."""
+    texts = [F.col(c).cast("string").alias(c) for c in sorted(fields)]
+    return F.to_json(F.struct(*texts), {"ignoreNullFields": "false"})
+
+
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hash chains over rows sorted by ledger and order; only the last hash is kept."""
+    last, prev = None, ""
+    for batch in batches:
+        before, hashes = [], []
+        for name, text in zip(batch.column("_ledger").to_pylist(), batch.column("_text").to_pylist()):
+            if name != last:
+                last, prev = name, ""
+            before.append(prev)
+            prev = hashlib.sha256((prev + text).encode()).hexdigest()
+            hashes.append(prev)
+        kept = batch.drop_columns(["_ledger", "_text"])
+        yield kept.append_column("prev_hash", pa.array(before, pa.string())).append_column("row_hash", pa.array(hashes, pa.string()))
 
 
 def seal(df: DataFrame, ledger: str, order: str, fields: Sequence[str]) -> DataFrame:
     """Adds the hash chain of each ledger: every hash covers the row and the hash before.
 
-    A chain is an ordered fold, so one ledger is one group; ledgers run in parallel.
+    Spark writes the rows' texts and sorts each ledger within one partition; the
+    fold streams over it in batches and holds one hash, so a ledger may be of any
+    length.  Ledgers run in parallel.
     """
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.StringType()) for n in ("prev_hash", "row_hash"))])
-    fields = list(fields)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return _chain(frame, order, fields)
-
-    return df.groupBy(ledger).applyInPandas(run, schema)
+    rows = df.select("*", F.coalesce(F.col(ledger).cast("string"), F.lit("")).alias("_ledger"), canonical(fields).alias("_text"))
+    rows = rows.repartition("_ledger").sortWithinPartitions("_ledger", order)
+    return rows.mapInArrow(_chained, schema)
+
+
+def seal_manifest(sealed: DataFrame, ledger: str, order: str, note: str) -> DataFrame:
+    """One record per sealed ledger: rows and the hash of the last, which covers all before it."""
+    head = F.max_by("row_hash", order).alias("head")
+    return sealed.groupBy(ledger).agg(F.count("*").alias("n_rows"), head).withColumn("note", F.lit(note))
+
+
+def verify_manifest(manifest: DataFrame, current: DataFrame, ledger: str, order: str) -> DataFrame:
+    """State of each recorded ledger: intact, extended, truncated, or edited at or before the recorded row."""
+    numbered = current.withColumn("_i", F.row_number().over(Window.partitionBy(ledger).orderBy(order)))
+    sizes = current.groupBy(ledger).agg(F.count("*").alias("_now"))
+    at = numbered.select(ledger, F.col("_i").alias("n_rows"), F.col("row_hash").alias("_hash"))
+    x = manifest.join(sizes, ledger, "left").join(at, [ledger, "n_rows"], "left")
+    same = F.col("_hash").eqNullSafe(F.col("head"))
+    state = F.when(F.coalesce("_now", F.lit(0)) < F.col("n_rows"), "truncated").when(~same, "edited").when(F.col("_now") > F.col("n_rows"), "extended").otherwise("intact")
+    return x.select(ledger, "n_rows", state.alias("state"))
 
 
 def broken_links(sealed: DataFrame, ledger: str, order: str, fields: Sequence[str]) -> DataFrame:

@@ -76,11 +76,16 @@ def welch(df: DataFrame, x: str, group: str, keys: Sequence[str]) -> DataFrame:
 
 
 def conformal_band(df: DataFrame, residual: str, alpha: float, keys: Sequence[str]) -> DataFrame:
-    """Half-width of a split-conformal band: the finite-sample rank of the absolute residuals."""
-    held = F.array_sort(F.collect_list(F.abs(F.col(residual))))
-    at = F.ceil((F.size("held") + 1) * (1 - alpha)).cast("int")
-    df = df.groupBy(*keys).agg(held.alias("held"))
-    return df.select(*keys, F.size("held").cast("long").alias("n"), F.when(at <= F.size("held"), F.element_at("held", at)).alias("width"))
+    """Half-width of a split-conformal band: the finite-sample rank of the absolute residuals.
+
+    Null where a key has too few residuals for that rank.
+    """
+    size = F.abs(F.col(residual))
+    part = Window.partitionBy(*keys)
+    ranked = df.filter(F.col(residual).isNotNull()).withColumn("_i", F.row_number().over(part.orderBy(size)))
+    n = F.count("*").over(part)
+    ranked = ranked.withColumn("_n", n).withColumn("_at", F.ceil((F.col("_n") + 1) * (1 - alpha)))
+    return ranked.groupBy(*keys).agg(F.first("_n").alias("n"), F.max(F.when(F.col("_i") == F.col("_at"), size)).alias("width"))
 
 
 def expected_calibration_error(df: DataFrame, p: str, label: str, bins: int, keys: Sequence[str]) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,3 +50,42 @@ def append_daily(df: DataFrame, folder: str, day: str) -> None:
 def with_existing(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """The wanted columns that exist, in the wanted order."""
     return df.select(*[c for c in wanted if c in df.columns])
+
+
+def replace_table(df: DataFrame, folder: str) -> None:
+    """Rewrite a table that the rows may themselves come from: staged beside it, then written over it."""
+    staged = folder.rstrip("/") + ".staged"
+    df.write.mode("overwrite").parquet(staged)
+    df.sparkSession.read.schema(df.schema).parquet(staged).write.mode("overwrite").parquet(folder)
+
+
+def append_record(df: DataFrame, folder: str) -> None:
+    """Add rows to a manifest; what is there is never rewritten."""
+    df.write.mode("append").parquet(folder)
+
+
+def write_csv(df: DataFrame, folder: str) -> None:
+    """CSV parts with a header; columns keep their order."""
+    df.write.mode("overwrite").option("header", True).csv(folder)
+
+
+def write_bytes(spark: SparkSession, folder: str, name: str, data: bytes) -> None:
+    """One file in any file system that Spark reaches."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(data))
+    out.close()
+
+
+def write_symbol_files(df: DataFrame, folder: str) -> None:
+    """``<symbol>.csv`` for every symbol, written by the task that holds it, in a folder all workers share."""
+    where = folder.removeprefix("file://")
+
+    def write(frame: pd.DataFrame) -> pd.DataFrame:
+        os.makedirs(where, exist_ok=True)
+        name = frame["symbol"].iloc[0]
+        frame.sort_values("date")[["date", "value"]].to_csv(f"{where}/{name}.csv", index=False)
+        return pd.DataFrame({"symbol": [name], "n": [len(frame)]})
+
+    df.groupBy("symbol").applyInPandas(write, "symbol string, n long").collect()  # one row per file
