@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidewright.llm.source_mix import min_cost_flow, mix_sources, routed, targets
 from tidewright.llm.vector_dup import vector_duplicates
@@ -10,12 +11,12 @@ from tidewright.llm.vector_dup import vector_duplicates
 def brute_links(rows, cosine):
     unit = {}
     for i, (_, v) in enumerate(rows):
-        if v and len(v) == 16 and all(x is not None and math.isfinite(x) for x in v) and any(v):
+        if v and all(x is not None and math.isfinite(x) for x in v) and any(v):
             unit[i] = np.array(v) / np.linalg.norm(v)
     links = {i: set() for i in range(len(rows))}
     for i in unit:
         for j in unit:
-            if i < j and float(unit[i] @ unit[j]) >= cosine:
+            if i < j and len(unit[i]) == len(unit[j]) and float(unit[i] @ unit[j]) >= cosine:
                 links[i].add(j), links[j].add(i)
     root = {}
     for i in range(len(rows)):
@@ -47,6 +48,29 @@ def test_vector_duplicates(spark):
     assert vector_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_any_length_and_size(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 0.0]), (3, [1.0] * 5), (4, [1.0] * 5), (5, [5e-324, 0.0]), (6, [0.0, -1e300]), (7, [1.0, 1e-9]), (8, [])]
+    rows += [(9, [2.0] * 5), (10, [1.0] * 5 + [0.0]), (3, [1.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"left": F.lit(0), "block": F.lit("x"), "cls": F.lit(None)})
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vector_duplicates(df).collect())
+    near = {1: (3, 1), 2: (3, 1), 5: (3, 1), 7: (3, 1), 3: (3, 3), 4: (3, 3), 9: (3, 3)}
+    assert got == sorted((i, *near.get(i, (0, i))) for i, _ in rows)
+
+
+def test_recall_of_planted_pairs_at_the_threshold(spark):
+    rng = np.random.default_rng(8)
+    u = rng.normal(size=(2000, 64))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    w = rng.normal(size=u.shape)
+    w -= (w * u).sum(1)[:, None] * u
+    w /= np.linalg.norm(w, axis=1)[:, None]
+    v = 0.9001 * u + math.sqrt(1 - 0.9001**2) * w
+    rows = [(i, x.tolist()) for i, x in enumerate(np.concatenate([u, v]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["component_id"] for r in vector_duplicates(df, block_rows=1500).collect()}
+    assert sum(got[i + 2000] == i for i in range(2000)) >= 0.99 * 2000
+
+
 def test_vector_duplicates_in_a_tight_group(spark):
     rng = np.random.default_rng(5)
     one = rng.normal(size=64)

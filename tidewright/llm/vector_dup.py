@@ -7,13 +7,17 @@ vectors at the threshold the difference on a Gaussian line is normal with a
 known deviation, so window and count are set from the wanted recall, and
 vectors closer than the threshold are found the more surely.
 
-Vectors are sorted by the first of these projections into blocks of bounded
-size.  Two blocks are compared only if close pairs can lie in them, so each task holds two
-blocks, in which collisions are counted as whole arrays, line by line.  Copies of one vector count as one with a weight.
-Each pair of blocks reports link counts and a spanning forest, never pairs.
-
-Null, zero and non-finite vectors, and those of another length than most, link
-with nothing.  Rows that repeat an id count as vectors of their own.
+Vectors are sorted by length and by the first of these projections into blocks
+of bounded size.  Two blocks are compared only if close pairs can lie in them, so
+each task holds two blocks, in which collisions are counted as whole arrays, line
+by line.  Copies of one vector count as one with a weight.  Each pair of blocks
+reports link counts and a spanning forest, never pairs.  The driver holds the
+first projection's range in each block: a row for every ``block_rows`` vectors.
+
+Null, empty and zero vectors and those with a null or non-finite component link
+with nothing; vectors of different lengths don't link with each other.  Vectors
+are scaled before their norm is taken, so no finite one overflows.  Rows that
+repeat an id count as vectors of their own.
 """
 
 from __future__ import annotations
@@ -26,13 +30,14 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import connected_components, stored
 
-CLASS = "vec_id long, cls binary, place double, unit binary"
+CLASS = "vec_id long, cls binary, dim int, place double, unit binary"
 
 
 def lines(count: int, dim: int, seed: int) -> np.ndarray:
@@ -64,29 +69,34 @@ def calibrated(cosine: float, count: int, recall: float) -> tuple[float, int]:
     return best[1], best[2]
 
 
-def _placed(batches: Iterator[pa.RecordBatch], count: int, dim: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """Class, first projection and unit vector of each vector; nulls if it links with nothing."""
-    line = lines(count, dim, seed)[:, 0]  # the same line as the first of _compared
+def unit_vectors(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows scaled to length 1, and which of them can be: those finite and not zero."""
+    top = np.abs(values).max(1)
+    ok = np.isfinite(top) & (top > 0)
+    scaled = values[ok] / top[ok, None]
+    return scaled / np.linalg.norm(scaled, axis=1)[:, None], ok
+
+
+def _placed(batches: Iterator[pa.RecordBatch], count: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Class, length, first projection and unit vector of each vector; nulls if it links with nothing."""
     for batch in batches:
-        cls, place, unit = [], [], []
-        for v in batch.column(1).to_pylist():
-            v = np.array(v if v is not None and None not in v else [], np.float64)
-            norm = float(np.linalg.norm(v)) if len(v) == dim and np.isfinite(v).all() else 0.0
-            if norm > 0 and math.isfinite(norm):
-                u = v / norm
-                cls.append(hashlib.blake2b((v + 0.0).tobytes(), digest_size=16).digest())
-                place.append(float(u @ line))
-                unit.append(u.tobytes())
-            else:
-                cls.append(None), place.append(None), unit.append(None)
-        cols = [batch.column(0), pa.array(cls, pa.binary())]
-        cols += [pa.array(place, pa.float64()), pa.array(unit, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, names=["vec_id", "cls", "place", "unit"])
-
-
-def _compared(rows: pd.DataFrame, cosine: float, reach: float, width: float, least: int, count: int, dim: int, seed: int) -> pd.DataFrame:
+        vectors = batch.column(1)
+        lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy()
+        cls, place, unit = ([None] * len(lengths) for _ in range(3))
+        for dim in np.unique(lengths[lengths > 0]).tolist():
+            at = np.flatnonzero(lengths == dim)
+            values = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            units, ok = unit_vectors(values)
+            places = units @ lines(count, dim, seed)[:, 0]  # the same line as the first of _compared
+            for i, v, p, u in zip(at[ok].tolist(), values[ok] + 0.0, places.tolist(), units):
+                cls[i], place[i], unit[i] = hashlib.blake2b(v.tobytes(), digest_size=16).digest(), p, u.tobytes()
+        cols = [batch.column(0), pa.array(cls, pa.binary()), pa.array(lengths, pa.int32()), pa.array(place, pa.float64()), pa.array(unit, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=["vec_id", "cls", "dim", "place", "unit"])
+
+
+def _compared(rows: pd.DataFrame, cosine: float, reach: float, width: float, least: int, count: int, seed: int) -> pd.DataFrame:
     """Links between two blocks (or within one): weight linked and a forest edge for each vector."""
-    a, b = int(rows["left"].iloc[0]), int(rows["right"].iloc[0])
+    a, b, dim = (int(rows[c].iloc[0]) for c in ("left", "right", "dim"))
     axes = lines(count, dim, seed)
     sides = []
     for block in (a, b):
@@ -145,7 +155,7 @@ def vector_duplicates(
     cosine: float = 0.9,
     count: int = 20,
     recall: float = 0.995,
-    block_rows: int = 4096,
+    block_rows: int = 16384,
     seed: int = 20,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
@@ -156,30 +166,32 @@ def vector_duplicates(
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    lengths = rows.filter("v is not null").groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"))
-    usual = lengths.orderBy(F.desc("n"), "d").first()
-    dim = usual["d"] if usual else 0
-    placed = stored(rows.mapInArrow(partial(_placed, count=count, dim=dim, seed=seed), CLASS), "placed")
-    classes = placed.filter("cls is not null").groupBy("cls").agg(
-        F.count("*").alias("copies"), F.min("vec_id").alias("first"), F.first("place").alias("place"), F.first("unit").alias("unit")
-    )
+    placed = stored(rows.mapInArrow(partial(_placed, count=count, seed=seed), CLASS), "placed")
+    one = [F.first(c).alias(c) for c in ("dim", "place", "unit")]
+    classes = placed.filter("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"), *one)
     classes = stored(classes, "vectors")
-    n = classes.count()
-    # Blocks are ranges of the first projection; the edges are approximate quantiles.
-    blocks = -(-n // block_rows)
-    cuts = classes.approxQuantile("place", [i / blocks for i in range(1, blocks)], 1 / (8 * max(blocks, 1))) if blocks > 1 else []
-    cuts = sorted(set(cuts))
-    width, least = calibrated(cosine, count, recall)
-    block = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda acc, x: acc + (F.col("place") >= x).cast("int")) if cuts else F.lit(0)
-    # A pair of blocks meets if the first projections of a pair at the threshold may lie in
+    # Blocks are ranges of length and first projection, one for about ``block_rows`` vectors.
+    blocks = -(-classes.count() // block_rows)
+    ranged = classes.repartitionByRange(max(blocks, 1), "dim", "place").withColumn("part", F.spark_partition_id())
+    ranged = stored(ranged, "blocks")
+    edges = ranged.groupBy("dim", "part").agg(F.min("place").alias("low"), F.max("place").alias("high")).toArrow().to_pandas()
+    # Two blocks meet if the first projections of a pair at the threshold may lie in
     # them: all but one in two thousand differ by less than 3.5 deviations.
-    edges = [-math.inf, *cuts, math.inf]
+    width, least = calibrated(cosine, count, recall)
     reach = 3.5 * math.sqrt(2 - 2 * cosine)
-    pairs = [(i, j) for i in range(len(edges) - 1) for j in range(i, len(edges) - 1) if j == i or edges[j] - edges[i + 1] <= reach]
-    meets = spark.createDataFrame([(k, i, j) for i, j in pairs for k in {i, j}], "block int, left int, right int")
-    meeting = classes.withColumn("block", block).join(meets, "block")
+    edges = edges.sort_values(["dim", "low", "high"], ignore_index=True)
+    edges["block"] = np.arange(len(edges))
+    last = edges["block"].to_numpy().copy()
+    for at in edges.groupby("dim").indices.values():
+        last[at] = at[0] + np.searchsorted(edges["low"].to_numpy()[at], edges["high"].to_numpy()[at] + reach, "right") - 1
+    edges["last"] = last
+    edges = spark.createDataFrame(edges[["dim", "part", "block", "last"]], "dim int, part int, block int, last int")
+    pairs = edges.select(F.col("block").alias("left"), F.explode(F.sequence("block", "last")).alias("right"))
+    sides = pairs.select("left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
+    meets = sides.join(edges.select("dim", "part", "block"), "block")
+    meeting = ranged.join(meets, ["dim", "part"])
     schema = T.StructType.fromDDL("cls binary, n long, other binary")
-    run = partial(_compared, cosine=cosine, reach=reach, width=width, least=least, count=count, dim=dim, seed=seed)
+    run = partial(_compared, cosine=cosine, reach=reach, width=width, least=least, count=count, seed=seed)
     links = stored(meeting.groupBy("left", "right").applyInPandas(run, schema), "links")
     roots = connected_components(links.filter("cls <> other").select(F.col("cls").alias("a"), F.col("other").alias("b")))
     linked = links.groupBy("cls").agg(F.sum("n").alias("n"))
