@@ -147,6 +147,12 @@ def test_secret_layers():
     assert scan("ſecret=abcdefgh1", 1 << 20)[0] == []
 
 
+def test_bare_deflate_layer():
+    tool = zlib.compressobj(9, zlib.DEFLATED, -15)
+    text = "see " + b64(tool.compress(b"some words then token=abcdefgh12 and more") + tool.flush()) + " end"
+    assert scan(text, 1 << 20)[1] == [("assign", 4, len(text) - 4)]
+
+
 def quoted(raw, safe="/"):
     return urllib.parse.quote(raw, safe=safe)
 

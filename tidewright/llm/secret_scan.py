@@ -248,6 +248,30 @@ class Unpacker:
                 self.rest = raw
 
 
+def deflated(raw: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """The content of a bare deflate stream, in pieces of bounded size; ends where it is damaged."""
+    tool = zlib.decompressobj(-15)
+    try:
+        while raw and not tool.eof:
+            if out := tool.decompress(raw, most):
+                yield out
+            raw = tool.unconsumed_tail
+    except zlib.error:
+        return
+
+
+def is_deflate(raw: bytes) -> bool:
+    """Whether the bytes are a whole bare deflate stream with content; it has no mark to go by."""
+    tool, n = zlib.decompressobj(-15), 0
+    try:
+        while raw and not tool.eof:
+            n += len(tool.decompress(raw, 1 << 20))
+            raw = tool.unconsumed_tail
+    except zlib.error:
+        return False
+    return tool.eof and n >= 8
+
+
 def windows(pieces: Iterable[bytes], most: int) -> Iterator[bytes]:
     """The joined pieces in windows of ``most`` bytes, each with the last half of the one before."""
     pieces, held, size, fresh, later = iter(pieces), [], 0, True, False
@@ -325,6 +349,8 @@ def scan(text: str, most: int) -> tuple[list[Span], list[Span]]:
                 work.append(unfolded(raw, a, b, most))
             else:
                 work.extend(Layer(t, a, b) for t in texts_of(raw))
+                if readable(raw) is None and is_deflate(raw):
+                    work.append(((w, a, b) for w in windows(deflated(raw), most)))
             continue
         if item.starts is not None:
             where = (item.starts, item.ends) if isinstance(item.starts, int) else None
