@@ -5,7 +5,8 @@ Counts of documents with each n-gram, by label, come from all labelled training
 rows; each feature is scaled by its log-count ratio, smoothed in proportion to
 the class sizes so that an n-gram never seen weighs nothing.  A logistic
 regression with an L2 penalty is fitted on the features that tell the classes
-apart best.
+apart best; how many is chosen within the training rows, by learning from one
+part of them and taking the number with the least log loss on the other.
 
 Only the text enters a score.  Rows whose ``crc32`` of the id as text is 1
 modulo 3 are held out and never learned from.  Null and empty texts score what
@@ -15,7 +16,7 @@ Repeated rows give repeated results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache, partial
 
 import numpy as np
@@ -54,14 +55,18 @@ def features(text: str, bits: int) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    n = np.zeros((2, 1 << bits), np.int64)
+    """Documents with each bucket, by label, of all rows and of those of the inner part."""
+    n = np.zeros((4, 1 << bits), np.int32)
     for batch in batches:
         for part in slices(batch):
-            for label, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                n[label][features(text, bits)] += 1
-    at = np.flatnonzero(n.any(0))
-    cols = [pa.array(at, pa.int64()), pa.array(n[1][at], pa.int64()), pa.array(n[0][at], pa.int64())]
-    yield pa.RecordBatch.from_arrays(cols, names=["bucket", "toxic", "clean"])
+            for label, inner, text in zip(*[part.column(i).to_pylist() for i in range(3)]):
+                x = features(text, bits)
+                n[label][x] += 1
+                if inner:
+                    n[2 + label][x] += 1
+    at = np.flatnonzero(n[:2].any(0))
+    cols = [pa.array(at, pa.int64()), *(pa.array(n[k][at], pa.int64()) for k in (1, 0, 3, 2))]
+    yield pa.RecordBatch.from_arrays(cols, names=["bucket", "toxic", "clean", "inner_toxic", "inner_clean"])
 
 
 def _rows(batches: Iterator[pa.RecordBatch], bits: int, chosen) -> Iterator[pa.RecordBatch]:
@@ -69,9 +74,9 @@ def _rows(batches: Iterator[pa.RecordBatch], bits: int, chosen) -> Iterator[pa.R
     keep[chosen.value] = True
     for batch in batches:
         for part in slices(batch):
-            xs = [features(t, bits) for t in part.column(1).to_pylist()]
-            xs = pa.array([x[keep[x]] for x in xs], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), xs], names=["label", "x"])
+            xs = [features(t, bits) for t in part.column(2).to_pylist()]
+            xs = pa.array([x[keep[x]].astype(np.int32) for x in xs], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), xs], names=["label", "inner", "x"])
 
 
 def evidence(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarray:
@@ -118,6 +123,39 @@ def fit_logistic(cols: np.ndarray, sizes: np.ndarray, y: np.ndarray, scale: np.n
     return w, b
 
 
+class Rows:
+    """Sampled rows as lists of ranked features: rank 0 tells the classes apart best."""
+
+    def __init__(self, cols: np.ndarray, sizes: np.ndarray, y: np.ndarray):
+        self.cols, self.of, self.y = cols, np.repeat(np.arange(len(sizes)), sizes), y
+
+    def part(self, rows: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Feature lists of the rows marked, with the ``best`` first features only."""
+        keep = rows[self.of] & (self.cols < best)
+        sizes = np.bincount(self.of[keep], minlength=len(rows))[rows]
+        return self.cols[keep], sizes, self.y[rows]
+
+
+def log_ratio(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int, smoothing: float) -> np.ndarray:
+    n = n1 + n0
+    return np.log(((c1 + smoothing * n1 / n) / n1) / ((c0 + smoothing * n0 / n) / n0))
+
+
+def chosen_number(rows: Rows, inner: np.ndarray, ratio: np.ndarray, numbers: list[int], penalty: float, steps: int) -> int:
+    """The number of features that does best on the outer part after learning from the inner one.
+
+    Features are ranked, and their ratios taken, by the inner part alone.
+    """
+    found = []
+    for k in numbers:
+        cols, sizes, y = rows.part(inner, k)
+        w, b = fit_logistic(cols, sizes, y, ratio[:k], penalty, steps)
+        cols, sizes, y = rows.part(~inner, k)
+        z = np.bincount(np.repeat(np.arange(len(sizes)), sizes), (w * ratio[:k])[cols], len(sizes)) + b
+        found.append((float(np.mean(np.logaddexp(0, z) - y * z)), k))
+    return min(found)[1]
+
+
 def _scores(batches: Iterator[pa.RecordBatch], bits: int, model, threshold: float) -> Iterator[pa.RecordBatch]:
     chosen, weights, bias = model.value
     full = np.zeros(1 << bits)
@@ -141,7 +179,7 @@ def fit_toxicity(
     labels: DataFrame,
     bits: int = 20,
     smoothing: float = 10.0,
-    columns: int = 1024,
+    columns: Sequence[int] = (256, 512, 1024, 2048),
     fit_rows: int = 20_000,
     penalty: float = 1e-4,
     steps: int = 300,
@@ -151,9 +189,11 @@ def fit_toxicity(
 ):
     """Learn from all labelled rows that aren't held out; returns (bits, broadcast model).
 
-    The log-count ratios use every such row.  Only the weights are fitted on a
-    sample: about ``fit_rows`` rows picked by a hash of the id.  The driver holds
-    2**bits counts and that sample's chosen columns.
+    The log-count ratios use every such row.  Only the weights are fitted, and
+    one of the numbers of features in ``columns`` is chosen, on a sample: about
+    ``fit_rows`` rows picked by a hash of the id.  The driver holds 2**bits counts
+    and the features of that sample.  If a part lacks a class, the third number
+    (or the last, if there are fewer) is taken.
     """
     spark = docs.sparkSession
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
@@ -167,25 +207,49 @@ def fit_toxicity(
         share = min(max(n1 / max(n1 + n0, 1), 1e-9), 1 - 1e-9)
         bias = float(np.log(share / (1 - share)))
         return bits, spark.sparkContext.broadcast((np.zeros(0, np.int64), np.zeros(0), bias))
-    counts = train.select("label", "text").mapInArrow(partial(_counts, bits=bits), "bucket long, toxic long, clean long")
-    counts = counts.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
-    bucket, c1, c0 = (counts[c].to_numpy() for c in ("bucket", "toxic", "clean"))
-    best = np.lexsort((bucket, -evidence(c1, c0, n1, n0)))[:columns]
-    bucket, c1, c0 = bucket[best], c1[best], c0[best]
-    n = n1 + n0
-    ratio = np.log(((c1 + smoothing * n1 / n) / n1) / ((c0 + smoothing * n0 / n) / n0))
-    share = min(1.0, fit_rows / n)
+    # Half of the training rows, by the same remainder that holds others out.
+    inner = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0).alias("inner")
+    train = train.select("label", inner, "text", "doc_id")
+    names = ["bucket", "toxic", "clean", "inner_toxic", "inner_clean"]
+    schema = ", ".join(f"{c} long" for c in names)
+    counts = train.select("label", "inner", "text").mapInArrow(partial(_counts, bits=bits), schema)
+    counts = counts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names[1:]]).toArrow()
+    bucket, c1, c0, i1, i0 = (counts[c].to_numpy() for c in names)
+    parts = {tuple(r)[:2]: r["n"] for r in train.groupBy("label", "inner").agg(F.count("*").alias("n")).collect()}
+    m1, m0 = parts.get((1, True), 0), parts.get((0, True), 0)
+    numbers = sorted({min(k, len(bucket)) for k in columns})
+    selectable = len(parts) == 4 and len(numbers) > 1
+    best = np.lexsort((bucket, -evidence(c1, c0, n1, n0)))[: numbers[-1]]
+    wanted = best
+    if selectable:
+        by_inner = np.lexsort((bucket, -evidence(i1, i0, m1, m0)))[: numbers[-1]]
+        wanted = np.union1d(best, by_inner)
+    share = min(1.0, fit_rows / (n1 + n0))
     sample = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    chosen = spark.sparkContext.broadcast(np.sort(bucket))
-    rows = sample.select("label", "text").mapInArrow(partial(_rows, bits=bits, chosen=chosen), "label int, x array<long>")
-    rows = rows.toArrow().combine_chunks()
-    order = np.argsort(bucket)
-    bucket, ratio = bucket[order], ratio[order]
+    sent = spark.sparkContext.broadcast(np.sort(bucket[wanted]))
+    rows = sample.select("label", "inner", "text").mapInArrow(partial(_rows, bits=bits, chosen=sent), "label int, inner boolean, x array<int>")
+    rows = rows.toArrow()
+    at = {int(x): i for i, x in enumerate(np.sort(bucket[wanted]))}
     lists = rows["x"].chunks
-    cols = np.concatenate([np.searchsorted(bucket, c.flatten().to_numpy()) for c in lists] or [np.zeros(0, np.int64)])
-    sizes = np.concatenate([c.value_lengths().to_numpy() for c in lists] or [np.zeros(0, np.int64)])
-    w, b = fit_logistic(cols, sizes, rows["label"].to_numpy().astype(np.float64), ratio, penalty, steps)
-    return bits, spark.sparkContext.broadcast((bucket, w * ratio, b))
+    flat = np.concatenate([c.flatten().to_numpy() for c in lists] or [np.zeros(0, np.int32)])
+    sizes = np.concatenate([c.value_lengths().to_numpy() for c in lists] or [np.zeros(0, np.int32)]).astype(np.int64)
+    y = rows["label"].to_numpy().astype(np.float64)
+
+    def ranked(by: np.ndarray) -> np.ndarray:
+        """For each bucket sent, its rank in an order of places; those not in it last."""
+        rank = np.full(len(at), len(at), np.int64)
+        rank[[at[int(x)] for x in bucket[by]]] = np.arange(len(by))
+        return rank[np.searchsorted(np.sort(bucket[wanted]), flat)]
+
+    number = numbers[min(2, len(numbers) - 1)]
+    if selectable:
+        ratio = log_ratio(i1[by_inner], i0[by_inner], m1, m0, smoothing)
+        number = chosen_number(Rows(ranked(by_inner), sizes, y), rows["inner"].to_numpy().astype(bool), ratio, numbers, penalty, steps)
+    best = best[:number]
+    ratio = log_ratio(c1[best], c0[best], n1, n0, smoothing)
+    cols, sizes, y = Rows(ranked(best), sizes, y).part(np.ones(len(y), bool), number)
+    w, b = fit_logistic(cols, sizes, y, ratio, penalty, steps)
+    return bits, spark.sparkContext.broadcast((bucket[best], w * ratio, b))
 
 
 def toxicity_scores(
