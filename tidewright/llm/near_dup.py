@@ -313,7 +313,8 @@ def near_duplicates(
     # Smallest id of each component.
     named = classes.select("cls", F.col("doc_id").alias("own")).join(labels, F.col("cls") == F.col("node"), "left")
     named = named.withColumn("root", F.coalesce("root", "cls"))
-    first = named.groupBy("root").agg(F.min("own").alias("component_id"))
+    # Written first, so that the join has plain shuffles on both sides and a large component is split.
+    first = stored(named.groupBy("root").agg(F.min("own").alias("component_id")), "least-ids")
     named = named.join(first, "root").select("cls", "component_id")
     out = signed.drop("keys").join(named, "cls", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))

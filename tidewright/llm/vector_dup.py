@@ -198,7 +198,8 @@ def vector_duplicates(
     per = classes.select("cls", "copies", "first").join(linked, "cls", "left")
     per = per.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
     per = per.withColumn("n_links", F.coalesce("n", F.lit(0)) + F.col("copies") - 1)
-    least_id = per.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Written first, so that the join has plain shuffles on both sides and a large component is split.
+    least_id = stored(per.groupBy("root").agg(F.min("first").alias("component_id")), "least-ids")
     per = per.join(least_id, "root").select("cls", "n_links", "component_id")
     out = placed.select("vec_id", "cls").join(per, "cls", "left")
     out = out.select(
