@@ -38,10 +38,3 @@ def test_query_matches_sql(spark, sql, name):
     names = [d[0] for d in wanted.description]
     assert sorted(found.columns) == sorted(names)
     assert plain(found.collect(), found.columns) == plain(wanted.fetchall(), names)
-
-
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
-def test_query_without_sql_runs(spark, name):
-    workers.find_package(spark)
-    found = registry.queries()[name]
-    assert found(spark, DATA).columns == found(spark, DATA).columns

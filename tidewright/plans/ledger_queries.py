@@ -203,7 +203,7 @@ def snk04_upsert(spark, sf_dir):
     return l.upsert(o.filter("id % 3 <> 0"), o.filter("id % 3 <> 1").withColumn("v", F.col("v") * 2), ["id"])
 
 
-@query(dates="")
+@query("SELECT o_orderpriority AS ledger, count(*) AS broken, min(o_orderkey) AS first FROM orders WHERE o_orderkey >= 5 AND o_orderpriority = (SELECT o_orderpriority FROM orders WHERE o_orderkey = 5) GROUP BY 1", dates="")
 def sta03_hash_chain(spark, sf_dir):
     """Seals a ledger per priority, changes a row, and lists what no longer fits."""
     o = a.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("ledger"), "o_orderkey", "o_totalprice")

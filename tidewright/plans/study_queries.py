@@ -176,7 +176,12 @@ def udf18_spectral(spark, sf_dir):
     return b.per_group(_with_forward(spark, sf_dir), ["asset"], "date", "asset string, phi double, peak double, period double, p double, n long", test)
 
 
-@query(dates="")
+LEVEL = sql("p", f"""WITH n AS (SELECT asset, date, value, row_number() {O} AS i FROM p), f AS (SELECT asset, i, date, value, value AS level, 1.1 / 2.1::DOUBLE AS var FROM n WHERE i = 1
+UNION ALL SELECT n.asset, n.i, n.date, n.value, f.level + (f.var + 0.1) / (f.var + 1.1) * (n.value - f.level), (f.var + 0.1) / (f.var + 1.1) FROM f JOIN n ON n.asset = f.asset AND n.i = f.i + 1)
+SELECT asset, CAST(date AS VARCHAR) AS date, round(level, 6) AS level FROM f""")
+
+
+@query(LEVEL.replace("WITH", "WITH RECURSIVE", 1), dates="")
 def sta19_local_level(spark, sf_dir):
     def run(frame):
         frame = frame.sort_values("date", ignore_index=True)
@@ -223,7 +228,14 @@ def udf31_principal_components(spark, sf_dir):
     return m.principal_components(wide.drop("date"), assets, 3, "1-URGENT")
 
 
-@query(dates="")
+Z_SQL = f"(value - avg(value) {last(60)}) / nullif(stddev_pop(value) {last(60)}, 0)"
+ISOTONIC = f"""{RET}, z AS (SELECT r, value / lag(value, 20) {O} - 1 AS momentum, CASE WHEN count(value) {last(60)} >= 60 THEN {Z_SQL} END AS z, CASE WHEN lead(value, 5) {O} > value THEN 1.0 WHEN lead(value, 5) {O} IS NOT NULL THEN 0.0 END AS y FROM r),
+g AS (SELECT round(z, 1) AS x, avg(y) AS rate, count(*) AS n FROM z WHERE r IS NOT NULL AND momentum IS NOT NULL AND z IS NOT NULL AND y IS NOT NULL GROUP BY 1), h AS (SELECT *, row_number() OVER (ORDER BY x) AS i, sum(rate) OVER (ORDER BY x) AS s FROM g),
+m AS (SELECT a.i AS j, b.i AS k, (b.s - a.s + a.rate) / (b.i - a.i + 1) AS mean FROM h AS a JOIN h AS b ON a.i <= b.i), lo AS (SELECT h.i, m.j, min(mean) AS low FROM h JOIN m ON m.j <= h.i AND m.k >= h.i GROUP BY 1, 2), fit AS (SELECT i, max(low) AS fit FROM lo GROUP BY 1)
+SELECT x, rate, n, round(fit, 6) AS calibrated FROM h JOIN fit ON fit.i = h.i"""
+
+
+@query(sql("p", ISOTONIC), dates="")
 def udf12_isotonic(spark, sf_dir):
     f = _flags(spark, sf_dir).groupBy(F.round("z", 1).alias("x")).agg(F.avg("y").alias("rate"), F.count("*").alias("n"))
     return m.isotonic(f, "x", "rate").select("x", "rate", "n", F.round("calibrated", 6).alias("calibrated"))

@@ -257,7 +257,16 @@ def sta13_portfolio_replay(spark, sf_dir):
     return md.select(F.col("m").alias("date"), "holding", F.round("r", 6).alias("next_month"), F.round(equity, 6).alias("equity"))
 
 
-@query(dates="")
+BUYS = "e.side = 'buy' AND a.cash >= e.price"
+SELLS = "e.side = 'sell' AND a.units > 0"
+ACCOUNTS = f"""WITH RECURSIVE ev AS (SELECT user_id, CASE WHEN event_id % 5 = 0 THEN 'sell' ELSE 'buy' END AS side, abs(value) + 1 AS price, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE value IS NOT NULL),
+a AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, 1000.0::DOUBLE AS cash, 0.0::DOUBLE AS units, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS gain FROM ev
+UNION ALL SELECT a.user_id, e.i, CASE WHEN {BUYS} THEN a.cash - e.price WHEN {SELLS} THEN a.cash + e.price * a.units ELSE a.cash END, CASE WHEN {BUYS} THEN a.units + 1 WHEN {SELLS} THEN 0 ELSE a.units END,
+CASE WHEN {BUYS} THEN (a.cost * a.units + e.price) / (a.units + 1) WHEN {SELLS} THEN 0 ELSE a.cost END, CASE WHEN {SELLS} THEN a.gain + (e.price - a.cost) * a.units ELSE a.gain END FROM a JOIN ev AS e ON e.user_id = a.user_id AND e.i = a.i + 1),
+l AS (SELECT user_id, max(i) AS n FROM ev GROUP BY 1) SELECT a.user_id, n, round(cash, 4) AS cash, units, round(cost, 4) AS mean_cost, round(gain, 4) AS realised FROM a JOIN l ON l.user_id = a.user_id AND l.n = a.i"""
+
+
+@query(ACCOUNTS, dates="")
 def sta24_trading_account(spark, sf_dir):
     """Cash, units and mean cost of accounts that buy on clicks and sell all on refunds, folded in order.
 
@@ -273,12 +282,13 @@ def sta24_trading_account(spark, sf_dir):
             elif side == "sell" and units:
                 gain += (price - cost) * units
                 cash, units, cost = cash + price * units, 0.0, 0.0
-        out.append((int(frame["user_id"].iloc[0]), len(frame), round(cash, 6), units, round(cost, 6), round(gain, 6)))
+        out.append((int(frame["user_id"].iloc[0]), len(frame), cash, units, cost, gain))
         return pd.DataFrame(out, columns=["user_id", "n", "cash", "units", "mean_cost", "realised"])
 
     e = a.table(spark, sf_dir, "events").filter("value is not null")
     e = e.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.when(F.col("event_id") % 5 == 0, "sell").otherwise("buy").alias("side"), (F.abs("value") + 1).alias("price"))
-    return e.groupBy("user_id").applyInPandas(run, "user_id long, n long, cash double, units double, mean_cost double, realised double")
+    found = e.groupBy("user_id").applyInPandas(run, "user_id long, n long, cash double, units double, mean_cost double, realised double")
+    return found.withColumns({c: F.round(c, 4) for c in ("cash", "mean_cost", "realised")})
 
 
 # ---- offerings: stages, alerts, aftermath ----------------------------------------------
