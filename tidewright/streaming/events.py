@@ -6,7 +6,6 @@ runs on a batch frame, but for those that keep state of their own.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,14 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..scratch import own_folder
+
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder under the shared one that ``spark.checkpoint.dir`` names; a temporary one on a local master."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if where is None:
-        local = spark.sparkContext.master.startswith("local")
-        where = tempfile.gettempdir() if local else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A fresh folder that all executors share."""
+    return f"{own_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def read_events(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFrame:
