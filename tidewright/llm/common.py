@@ -2,33 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Where it is unset: a temporary folder under a local master (tests), else a
-    folder of the warehouse, which all executors share.
-    """
-    sc = spark.sparkContext
-    if where := sc.getConf().get("spark.checkpoint.dir", None):
-        return where
-    if (made := getattr(sc, "_own_scratch", None)) is None:
-        if sc.master.startswith("local"):
-            made = tempfile.mkdtemp(prefix="scratch-")
-        else:
-            made = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        sc.setCheckpointDir(made)
-        sc._own_scratch = made
-    return made
+from ..scratch import own_folder
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -37,13 +19,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     Cuts lineage with files that outlive any executor.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    scratch_dir(df.sparkSession)
+    own_folder(df.sparkSession)  # sets a checkpoint folder where none is set
     return df.checkpoint(eager=True)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_dir
+from ..scratch import own_folder
 from .id_files import read_ids, write_ids
 from .media_store import media_round_trip
 from .near_dup import near_duplicates
@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{scratch_dir(spark).rstrip('/')}/id-files-{uuid.uuid4().hex}"
+    folder = f"{own_folder(spark)}/id-files-{uuid.uuid4().hex}"
     write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder, end_id=0)
     return read_ids(spark, folder)
 
