@@ -9,6 +9,13 @@ Each stage works on all that its predecessor kept:
 4. source_mix: documents repeat, or are left out, as source weights ask;
 5. encoding: every document's byte-level BPE ids, checked by decoding.
 
+Null and empty texts score what no evidence scores, have no duplicates and no
+secrets, add no words to the mix (which leaves them out) and encode to nothing.
+Rows that repeat in full count as one from the second stage on; rows that share
+an id but not the text stay apart.  An empty table gives an empty one.  Extra
+columns pass through all stages but the last, whatever their names, except for
+``_th``, ``_copy`` and ``copies``, which the stages use themselves.
+
 ``ORACLE_SQL`` is None: SQL can express neither the classifier nor the encoder.
 The tests hold every stage against a brute-force version.
 """
