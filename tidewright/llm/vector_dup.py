@@ -12,7 +12,8 @@ of bounded size.  Two blocks are compared only if close pairs can lie in them, s
 each task holds two blocks, in which collisions are counted as whole arrays, line
 by line.  Copies of one vector count as one with a weight.  Each pair of blocks
 reports link counts and a spanning forest, never pairs.  The driver holds the
-first projection's range in each block: a row for every ``block_rows`` vectors.
+first projection's range in each part of a block: four rows for every
+``block_rows`` vectors.
 
 Null, empty and zero vectors and those with a null or non-finite component link
 with nothing; vectors of different lengths don't link with each other.  Vectors
@@ -170,25 +171,28 @@ def vector_duplicates(
     one = [F.first(c).alias(c) for c in ("dim", "place", "unit")]
     classes = placed.filter("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"), *one)
     classes = stored(classes, "vectors")
-    # Blocks are ranges of length and first projection, one for about ``block_rows`` vectors.
-    blocks = -(-classes.count() // block_rows)
-    ranged = classes.repartitionByRange(max(blocks, 1), "dim", "place").withColumn("part", F.spark_partition_id())
-    ranged = stored(ranged, "blocks")
-    edges = ranged.groupBy("dim", "part").agg(F.min("place").alias("low"), F.max("place").alias("high")).toArrow().to_pandas()
+    # Parts are ranges of length and first projection; blocks are neighbouring parts of about ``block_rows`` vectors.
+    parts = 4 * -(-classes.count() // block_rows)
+    ranged = classes.repartitionByRange(max(parts, 1), "dim", "place").withColumn("part", F.spark_partition_id())
+    ranged = stored(ranged, "ranges")
+    size = [F.min("place").alias("low"), F.max("place").alias("high"), F.count("*").alias("n")]
+    edges = ranged.groupBy("dim", "part").agg(*size).toArrow().to_pandas()
+    edges = edges.sort_values(["dim", "low", "high"], ignore_index=True)
+    edges["of"] = (edges.groupby("dim")["n"].cumsum() - edges["n"]) // block_rows
+    edges["block"] = edges.groupby(["dim", "of"]).ngroup()
     # Two blocks meet if the first projections of a pair at the threshold may lie in
     # them: all but one in two thousand differ by less than 3.5 deviations.
     width, least = calibrated(cosine, count, recall)
     reach = 3.5 * math.sqrt(2 - 2 * cosine)
-    edges = edges.sort_values(["dim", "low", "high"], ignore_index=True)
-    edges["block"] = np.arange(len(edges))
-    last = edges["block"].to_numpy().copy()
-    for at in edges.groupby("dim").indices.values():
-        last[at] = at[0] + np.searchsorted(edges["low"].to_numpy()[at], edges["high"].to_numpy()[at] + reach, "right") - 1
-    edges["last"] = last
-    edges = spark.createDataFrame(edges[["dim", "part", "block", "last"]], "dim int, part int, block int, last int")
-    pairs = edges.select(F.col("block").alias("left"), F.explode(F.sequence("block", "last")).alias("right"))
+    ends = edges.groupby("block", as_index=False).agg(dim=("dim", "first"), low=("low", "min"), high=("high", "max"))
+    last = ends["block"].to_numpy().copy()
+    for at in ends.groupby("dim").indices.values():
+        last[at] = at[0] + np.searchsorted(ends["low"].to_numpy()[at], ends["high"].to_numpy()[at] + reach, "right") - 1
+    ends = spark.createDataFrame(ends[["block"]].assign(last=last), "block int, last int")
+    edges = spark.createDataFrame(edges[["dim", "part", "block"]], "dim int, part int, block int")
+    pairs = ends.select(F.col("block").alias("left"), F.explode(F.sequence("block", "last")).alias("right"))
     sides = pairs.select("left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
-    meets = sides.join(edges.select("dim", "part", "block"), "block")
+    meets = sides.join(edges, "block")
     meeting = ranged.join(meets, ["dim", "part"])
     schema = T.StructType.fromDDL("cls binary, n long, other binary")
     run = partial(_compared, cosine=cosine, reach=reach, width=width, least=least, count=count, seed=seed)
