@@ -316,7 +316,7 @@ def udf21_segment_lens(spark, sf_dir):
     return by.agg(F.count(F.when(on, 1)).alias("n_on"), *lens, F.count(F.when(on & new, 1)).alias("n_recent"))
 
 
-@query(sql("p", f"""{FACTOR_SQL}, a AS (SELECT key, avg(y) FILTER (sel) - avg(y) AS diff, count(*) FILTER (sel) AS n FROM fc GROUP BY 1) SELECT 'factor' AS family, key, n AS n_on, round(diff, 6) AS diff, sign(round(diff, 9)) AS direction FROM a"""), dates="")
+@query(sql("p", f"""{FACTOR_SQL}, a AS (SELECT key, avg(y) FILTER (sel) - avg(y) AS diff, count(*) FILTER (sel) AS n FROM fc GROUP BY 1) SELECT 'factor' AS family, key, n AS n_on, round(diff, 6) AS diff, CAST(sign(round(diff, 9)) AS INT) AS direction FROM a"""), dates="")
 def q12d_factors(spark, sf_dir):
     on, y = F.col("sel"), F.col("y")
     by = _factors(spark, sf_dir).groupBy("key").agg(F.count(F.when(on, 1)).alias("n_on"), (F.avg(F.when(on, y)) - F.avg(y)).alias("diff"))
@@ -427,7 +427,7 @@ def _after_anchor(rows):
 
 
 @query(sql("t", f"""{RT}, {ALL_SQL}, d AS (SELECT family, key, avg(y) FILTER (sel) - avg(y) AS f, avg(y) FILTER (sel AND date > DATE '{ANCHOR}') - avg(y) FILTER (date > DATE '{ANCHOR}') AS l, count(*) FILTER (sel AND date > DATE '{ANCHOR}') AS oos_n, count(*) FILTER (NOT sel AND date > DATE '{ANCHOR}') AS others FROM ck GROUP BY 1, 2)
-SELECT family, key, sign(round(f, 9)) AS full_sign, sign(round(l, 9)) AS oos_sign, oos_n, CASE WHEN oos_n < 30 OR others < 30 THEN 'pending' WHEN sign(round(f, 9)) <> sign(round(l, 9)) THEN 'overturned' ELSE 'open' END AS by_sign FROM d"""), dates="")
+SELECT family, key, CAST(sign(round(f, 9)) AS INT) AS full_sign, CAST(sign(round(l, 9)) AS INT) AS oos_sign, oos_n, CASE WHEN oos_n < 30 OR others < 30 THEN 'pending' WHEN sign(round(f, 9)) <> sign(round(l, 9)) THEN 'overturned' ELSE 'open' END AS by_sign FROM d"""), dates="")
 def q13_gate_signs(spark, sf_dir):
     """What the gate knows before any draw: enough triggers after the anchor, and their direction."""
     rows = _union([f(spark, sf_dir) for f in (_rebound, _regime, _streaks)])

@@ -341,7 +341,7 @@ def q19_risk_dashboard(spark, sf_dir):
     """Downside and lowest point of the next 20 rows by quartile of volatility."""
     v = _returns(spark, sf_dir).withColumn("v", S.deviation("r", 20)).withColumn("f", S.forward_change("value", 20))
     v = v.withColumn("dip", S.guarded(F.min, "value", S.ahead(20), 20) / F.col("value") - 1).filter("v is not null and f is not null and dip is not null")
-    k = v.withColumn("bin", F.ntile(4).over(Window.partitionBy("asset").orderBy("v", "date"))).groupBy("asset", "bin")
+    k = v.withColumn("bin", F.ntile(4).over(Window.partitionBy("asset").orderBy("v", "date")).cast("long")).groupBy("asset", "bin")
     return k.agg(F.count("*").alias("n"), *_r(downside=F.percentile("f", F.lit(0.05)), path_low=F.avg("dip"), from_v=F.min("v"), to_v=F.max("v")))
 
 

@@ -464,7 +464,7 @@ def sca30_verdicts(spark, sf_dir):
     return x.select("p_partkey", *[v.alias(n) for n, v in cols.items()])
 
 
-@query(sql("p", f"""{RET} SELECT asset, date, CASE WHEN r > 0.01 THEN 'up' WHEN r < -0.01 THEN 'down' WHEN r IS NOT NULL THEN 'flat' END AS bucket, sign(r) AS direction FROM r"""))
+@query(sql("p", f"""{RET} SELECT asset, date, CASE WHEN r > 0.01 THEN 'up' WHEN r < -0.01 THEN 'down' WHEN r IS NOT NULL THEN 'flat' END AS bucket, CAST(sign(r) AS INT) AS direction FROM r"""))
 def sca31_zones(spark, sf_dir):
     r = F.col("r")
     zone = F.when(r > 0.01, "up").when(r < -0.01, "down").when(r.isNotNull(), "flat")
