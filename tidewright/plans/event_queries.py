@@ -271,7 +271,8 @@ def _splits(spark, sf_dir, slices=10):
     days = r.select("date").distinct().withColumn("slice", F.ntile(slices).over(Window.orderBy("date")) - 1)
     sums = r.join(days, "date").groupBy("asset", "slice").agg(F.sum("r").alias("s"), F.sum(F.col("r") ** 2).alias("q"))
     sizes = days.groupBy("slice").agg(F.count("*").alias("n"))  # days without a row count as 0
-    moments = r.select("asset").distinct().join(sizes, how="cross").join(sums, ["asset", "slice"], "left").fillna(0.0, ["s", "q"])
+    grid = r.select("asset").distinct().withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    moments = grid.join(sizes, "slice").join(sums, ["asset", "slice"], "left").fillna(0.0, ["s", "q"])
     chosen = F.filter(F.sequence(F.lit(0), F.lit((1 << slices) - 1)), lambda c: F.bit_count(c) == slices // 2)
     x = moments.withColumn("c", F.explode(chosen)).withColumn("inside", F.expr("shiftright(c, slice) & 1"))
     x = x.groupBy("c", "asset", "inside").agg(*[F.sum(k).alias(k) for k in ("n", "s", "q")])

@@ -151,7 +151,7 @@ def src17_search_hits(spark, sf_dir):
     o = t(spark, sf_dir, "orders")
     source = F.struct(F.array(F.format_string("%010d", "o_custkey")).alias("ciks"), F.when(F.col("o_orderstatus") == "F", "S-1").otherwise("424B").alias("root_form"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("file_date"), F.array(F.concat(F.lit("Company "), F.col("o_custkey").cast("string"))).alias("display_names"))
     hit = F.struct(F.col("o_orderkey").cast("string").alias("_id"), source.alias("_source"))
-    page = o.groupBy((F.col("o_orderkey") % 100).alias("page")).agg(F.collect_list(hit).alias("hits"))  # pages of a search, as small as they come
+    page = o.groupBy(F.floor(F.col("o_orderkey") / 10).alias("page")).agg(F.collect_list(hit).alias("hits"))  # ten hits on a page
     return r.search_hits(page.select(F.to_json(F.struct(F.struct("hits").alias("hits"))).alias("json")))
 
 
