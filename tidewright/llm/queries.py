@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import own_folder
+from .chat_format import chat_digests, format_chats
 from .id_files import read_ids, write_ids
 from .media_store import media_round_trip
 from .near_dup import near_duplicates
@@ -84,7 +85,16 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(docs, ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_id_files, op2_source_mix, op3_secret_scan, op4_toxicity, op5_near_dup, op6_token_counts, op7_media_store, op8_vector_dup, op9_repeats, op10_bpe_round_trip)}
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    convs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(planted)
+    folder = f"{own_folder(spark)}/chats-{uuid.uuid4().hex}"
+    format_chats(convs, folder, public_tokenizers.path("byte_bpe_50k.json"), budget=1024, history=256)
+    return chat_digests(spark, folder)
+
+
+QUERIES = {f.__name__: f for f in (op1_id_files, op2_source_mix, op3_secret_scan, op4_toxicity, op5_near_dup, op6_token_counts, op7_media_store, op8_vector_dup, op9_repeats, op10_bpe_round_trip, op11_chat_format)}
 
 ORACLE_SQL: dict[str, str] = {
     "op8_vector_dup": r"""
