@@ -19,7 +19,9 @@ from .source_mix import mix_sources
 from .token_counts import token_counts
 from .toxicity import fit_toxicity, toxicity_scores
 from .tree_bpe import bpe_round_trip
+from .vector_codes import vector_codes
 from .vector_dup import vector_duplicates
+from .whitening import whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,9 +96,53 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_id_files, op2_source_mix, op3_secret_scan, op4_toxicity, op5_near_dup, op6_token_counts, op7_media_store, op8_vector_dup, op9_repeats, op10_bpe_round_trip, op11_chat_format)}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening(table(spark, sf_dir, "embeddings"), components=16)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4)
+
+
+QUERIES = {f.__name__: f for f in (op1_id_files, op2_source_mix, op3_secret_scan, op4_toxicity, op5_near_dup, op6_token_counts, op7_media_store, op8_vector_dup, op9_repeats, op10_bpe_round_trip, op11_chat_format, op12_whitening, op13_vector_codes)}
+
+
+
+def _vector_codes_sql(rounds: int = 4, width: int = 16) -> str:
+    """Lloyd's rounds of op13 as one common table expression after another."""
+
+    def nearest(book: str) -> str:
+        return f"""SELECT vec_id, part, arg_min(entry, 256 * d + entry) AS entry, min(d) AS d FROM (
+  SELECT p.vec_id, p.part, b.entry,
+         CAST(list_inner_product(p.v, p.v) + list_inner_product(b.v, b.v) - 2 * list_inner_product(p.v, b.v) AS BIGINT) AS d
+  FROM p JOIN {book} AS b ON p.part = b.part) GROUP BY vec_id, part"""
+
+    means = ", ".join(f"floor(sum(v[{i}]) / count(*))" for i in range(1, width + 1))
+    steps = [
+        """k AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda c: floor(1024 * c)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding))""",
+        f"p AS MATERIALIZED (SELECT vec_id, label, part, x[{width} * part + 1 : {width} * (part + 1)] AS v FROM k, (SELECT unnest(range(4)) AS part))",
+        "f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k ORDER BY vec_id LIMIT 256)",
+        "b0 AS MATERIALIZED (SELECT part, entry, v FROM p JOIN f USING (vec_id))",
+    ]
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED ({nearest(f'b{i}')})")
+        steps.append(f"n{i} AS (SELECT part, entry, [{means}] AS v FROM a{i} JOIN p USING (vec_id, part) GROUP BY part, entry)")
+        steps.append(f"b{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(n{i}.v, b{i}.v) AS v FROM b{i} LEFT JOIN n{i} USING (part, entry))")
+    steps += [
+        f"last AS MATERIALIZED ({nearest(f'b{rounds}')})",
+        f"""h AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda c: CAST(c AS BIGINT)), ','), ',' ORDER BY part, entry)) AS codebooks_sha256
+  FROM b{rounds})""",
+        """c AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM last GROUP BY vec_id)""",
+    ]
+    return f"""WITH {', '.join(steps)}
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM c JOIN k USING (vec_id), h"""
+
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_vector_codes": _vector_codes_sql(),
     "op8_vector_dup": r"""
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
