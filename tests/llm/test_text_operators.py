@@ -174,6 +174,38 @@ def test_secret_layers_in_other_writings():
             assert spans and all(3 <= a < b <= len(text) - 4 for _, a, b in spans), (pack, k, spans)
 
 
+def test_secrets_under_random_nestings():
+    import bz2
+    import gzip
+    import json
+    import urllib.parse
+    import zlib
+
+    rng = random.Random(31)
+    packed = lambda f: lambda s: base64.b64encode(f(s.encode())).decode()
+    each = lambda form: lambda s: "".join(form.format(ord(c)) for c in s)
+    ways = [str, urllib.parse.quote, urllib.parse.quote_plus, packed(bytes), packed(gzip.compress), packed(zlib.compress), packed(bz2.compress), json.dumps]
+    ways += [each(f) for f in ("%{:02X}", "\\u{:04x}", "\\u{{{:x}}}", "\\U{:08x}", "\\x{:02x}", "%u{:04X}", "&#{};", "&#x{:x};")]
+    ways += [lambda s: json.dumps(each("\\u{:04x}")(s)), lambda s: each("%{:02x}")(gzip.compress(s.encode()).decode("latin-1"))]
+    for _ in range(200):
+        said = "password = hunter2hunter2x"
+        for way in rng.choices(ways, k=rng.randint(1, 5)):
+            said = way(said) if len(said) < 50_000 else said
+        spans = scan(f"Words before {said} and after", 1 << 28)[1]
+        assert any(k == "assign" and a >= 13 and b <= 14 + len(said) for k, a, b in spans), said[:300]
+
+
+def test_deep_nesting_takes_no_square_of_time():
+    import time
+
+    began = time.time()
+    for text in ("%" + "25" * 300_000 + "41", "\\u" + "005cu" * 60_000 + "0041", "&#" + "38;#" * 60_000 + "65;", "\\" * 60_000 + "u0041"):
+        scan(text, 1 << 28)
+    assert time.time() - began < 30
+    deep = "password%" + "25" * 40 + "3Dabcdefgh%" + "25" * 7 + "31"
+    assert ("assign", 0, len(deep)) in scan(deep, 1 << 28)[1]
+
+
 def test_secret_spans(spark):
     rows = [(1, None), (2, ""), (3, "api_key = 'ABCDEFGH1' " + "f" * 40 + " AKIA" + "Q" * 12), (3, "x"), (None, "SECRET:12345678")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -4,7 +4,11 @@ A worklist holds layers still to scan.  The first is the text itself; scanning
 a layer also unwraps what it encodes: percent escapes and Unicode escapes are
 decoded in place over the whole layer, Base64 runs and compressed bytes become
 layers of their own.  Compressed bytes may be written in a mix of escapes and
-plain characters; they are looked for wherever their first bytes stand.  It ends when no layer is new.  A layer seen before (by
+plain characters; they are looked for wherever their first bytes stand.  String
+literals are also read as such, so that ``\\\\u0041`` becomes ``\\u0041`` and then a
+letter.  An escape that holds itself many times (``%252525...``) is brought down
+by as many levels at once as all such escapes of the layer have, so the time
+doesn't grow with depth times length.  It ends when no layer is new.  A layer seen before (by
 its content and origin) is not scanned again, which ends cycles such as an
 archive that holds itself.  Each layer maps its characters to spans of the
 original text, so a secret found three layers down is reported where its
@@ -44,6 +48,24 @@ ESCAPE = re.compile(
     r"\\u\{(?P<b>[0-9A-Fa-f]{1,6})\}|(?:\\u|%u)(?P<u>[0-9A-Fa-f]{4})|\\U(?P<w>[0-9A-Fa-f]{8})"
     r"|\\x(?P<x>[0-9A-Fa-f]{2})|&#(?P<d>[0-9]{1,7});|&#[xX](?P<h>[0-9A-Fa-f]{1,6});"
 )
+# Source code and JSON put a backslash before quotes and backslashes too.
+STRING = re.compile(r"\\(?P<c>[abfnrtv\\'\"/])|" + ESCAPE.pattern)
+PLAIN = re.compile(r"\\[abfnrtv\\'\"/]")
+# An escape of the character that escapes begin with, again and again, and what it ends in.
+_HEX = "[0-9A-Fa-f]"
+NESTED = [
+    (re.compile(f"({lead})((?:{unit})+)(?={last})"), re.compile(unit))
+    for lead, unit, last in (
+        ("%", "25", _HEX + "{2}"),
+        ("%u", "0025u", _HEX + "{4}"),
+        (r"\\u", "005[cC]u", _HEX + "{4}"),
+        (r"\\U", "0000005[cC]U", _HEX + "{8}"),
+        (r"\\x", "5[cC]x", _HEX + "{2}"),
+        (r"\\u\{", r"0*5[cC]\}u\{", _HEX + r"{1,6}\}"),
+        ("&#", "0*38;#", "[0-9]{1,7};"),
+        ("&#[xX]", "0*26;#[xX]", _HEX + "{1,6};"),
+    )
+]
 # 19 characters are the shortest encoding of a secret.
 RUN = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")
 WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{2,}={0,2}")
@@ -121,9 +143,9 @@ def percent_bytes(run: str) -> bytes:
     return bytes.fromhex(run.replace("%", ""))
 
 
-def percent_decoded(layer: Layer) -> Layer | None:
-    """The layer with percent escapes decoded as UTF-8 (else Latin-1)."""
-    parts = []
+def percent_decoded(layer: Layer, form: bool = False) -> Layer | None:
+    """The layer with percent escapes decoded as UTF-8 (else Latin-1); of a form, with pluses as spaces."""
+    parts = [(m.start(), m.end(), [(" ", *m.span())]) for m in re.finditer(r"\+", layer.text)] if form else []
     for m in PERCENT.finditer(layer.text):
         raw = percent_bytes(m[0])
         try:
@@ -135,7 +157,7 @@ def percent_decoded(layer: Layer) -> Layer | None:
             out.append((c, at, at + 3 * n))
             at += 3 * n
         parts.append((m.start(), m.end(), out))
-    return layer.replaced(parts) if parts else None
+    return layer.replaced(sorted(parts)) if parts else None
 
 
 def byte_views(layer: Layer) -> Iterator[Layer]:
@@ -181,10 +203,13 @@ def packed_in(view: Layer) -> Iterator[tuple[bytes, int, int]]:
         at = start + stop if some and used.whole else m.start() + 1
 
 
-def escapes_decoded(layer: Layer) -> Layer | None:
-    """The layer with backslash, %u and numeric entity escapes decoded."""
+def escapes_decoded(layer: Layer, pattern: re.Pattern = ESCAPE) -> Layer | None:
+    """The layer with backslash, %u and numeric entity escapes decoded; by STRING as a string literal."""
     parts: list = []
-    for m in ESCAPE.finditer(layer.text):
+    for m in pattern.finditer(layer.text):
+        if pattern is STRING and m["c"]:
+            parts.append((*m.span(), [(NAMED[m["c"]], *m.span())]))
+            continue
         value = int(m["d"]) if m["d"] else int(m["b"] or m["u"] or m["w"] or m["x"] or m["h"], 16)
         if value > 0x10FFFF:
             continue
@@ -198,6 +223,24 @@ def escapes_decoded(layer: Layer) -> Layer | None:
     return layer.replaced(parts) if parts else None
 
 
+def less_nested(layer: Layer) -> Layer | None:
+    """The layer as many single steps on as its escapes that hold themselves all allow, if that is several."""
+    found = []
+    for nested, unit in NESTED:
+        for m in nested.finditer(layer.text):
+            ends = [u.end() for u in unit.finditer(layer.text, *m.span(2))]
+            found.append((m.start(), len(m[1]), ends))
+    steps = min((len(ends) for _, _, ends in found), default=0)
+    if steps < 2:
+        return None
+    parts = []
+    for a, width, ends in sorted(found):
+        b, keep = ends[steps - 1], width - 1  # the last characters of the unit are those after the first of the lead
+        tail = [(layer.text[k], k, k + 1) for k in range(b - keep, b)]
+        parts.append((a, b, [(layer.text[a], a, b - keep), *tail]))
+    return layer.replaced(parts)
+
+
 class Unpacker:
     """Iterates over the decompressed content of byte pieces, in pieces of bounded size.
 
@@ -360,11 +403,17 @@ def scan(text: str, most: int) -> tuple[list[Span], list[Span]]:
             for kind, a, b in matches(item.text):
                 found.add((kind, *item.span(a, b)))
         now = item.text
-        if "%" in now:
-            if (inner := percent_decoded(item)) is not None:
+        marked = "\\" in now or "&#" in now or "%u" in now
+        if ("%25" in now or marked) and (inner := less_nested(item)) is not None:
+            work.append(inner)
+        else:
+            if "%" in now and (inner := percent_decoded(item)) is not None:
+                work.append(inner)
+                if "+" in now:
+                    work.append(percent_decoded(item, form=True))
+            if marked and (inner := escapes_decoded(item)) is not None:
                 work.append(inner)
-        if "\\" in now or "&#" in now or "%u" in now:
-            if (inner := escapes_decoded(item)) is not None:
+            if "\\" in now and PLAIN.search(now) and (inner := escapes_decoded(item, STRING)) is not None:
                 work.append(inner)
         for view in byte_views(item):
             work.extend(packed_in(view))
