@@ -1,6 +1,10 @@
 import random
 import re
 
+import numpy as np
+import pandas as pd
+
+from tidewright.llm import near_dup as n
 from tidewright.llm.near_dup import near_duplicates
 
 
@@ -54,6 +58,32 @@ def test_odd_rows(spark):
     assert result(spark, rows[:0], 5) == []
 
 
+def test_words_that_polynomials_confuse(spark):
+    """A word of 1,024 letters and its complement, whose polynomial hashes modulo powers of two are equal."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, f"x {word} y"), (4, f"x {other} y"), (5, word.upper())]
+    assert result(spark, rows, 2) == brute(rows, 2, 80)
+    assert result(spark, rows, 2, secret=b"another") == brute(rows, 2, 80)
+
+
+def test_half_hashes_that_collide(monkeypatch):
+    """With first halves cut to a few bits, whole hashes still decide."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices("abcdefghijkl", k=60)).encode() for _ in range(12)]
+    whole = [n.shingle_set(t, 3) for t in texts]
+    plain = n.mixed
+    cut_mask = np.array([7, 2**64 - 1], np.uint64)
+    monkeypatch.setattr(n, "mixed", lambda x: plain(x) & cut_mask if x.ndim == 2 else plain(x))
+    cut = [n.shingle_set(t, 3) for t in texts]
+    for a, b in zip(whole, cut):
+        assert len(a) == len(b)
+        assert [n.common_shingles(b, c) for c in cut] == [n.common_shingles(a, c) for c in whole]
+    frame = pd.DataFrame({"left": 0, "right": 0, "block": 0, "cls": [b"%d" % i for i in range(24)], "text": [t.decode() for t in texts + texts]})
+    linked = n._block_links(frame, 3, 80, n.KEY)
+    assert sorted(zip(linked["a"], linked["b"])) == sorted((b"%d" % (i + 12), b"%d" % i) for i in range(12))
+
+
 def test_extra_columns_and_null_id(spark):
     df = spark.createDataFrame([(None, "a b c", "x"), (3, "a b c", "y")], "doc_id long, text string, cls string")
     found = {tuple(r) for r in near_duplicates(df, width=2).collect()}

@@ -175,12 +175,6 @@ def test_secret_layers_in_other_writings():
 
 
 def test_secrets_under_random_nestings():
-    import bz2
-    import gzip
-    import json
-    import urllib.parse
-    import zlib
-
     rng = random.Random(31)
     packed = lambda f: lambda s: base64.b64encode(f(s.encode())).decode()
     each = lambda form: lambda s: "".join(form.format(ord(c)) for c in s)

@@ -20,6 +20,9 @@ components overlap a lot; what they connect forms groups, which are dealt into
 blocks, and each two blocks of a group count their common shingles as a matrix
 product.  This loses no link of a bucket, and no bucket is gathered in one task.
 
+Sets hold keyed 128-bit digests made of the words' own, so distinct shingles are
+told apart whatever the texts.
+
 Null and empty texts, and those without words, have no shingles and no links:
 their component is their own id.  Rows that repeat an id each get a row; a null
 id takes part by its text but is never the name of a component, unless alone.
@@ -53,12 +56,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 BASE = U(0x9E3779B97F4A7C15)
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
-BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
-BYTES[65:91] = BYTES[97:123]  # A-Z count as a-z
-BLANK = np.zeros(256, bool)
-BLANK[[32, 9, 10, 11, 12, 13]] = True
-
-
 @cache
 def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     n = 1 << bits
@@ -67,31 +64,55 @@ def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of each word, from one prefix sum over the bytes."""
-    b = np.frombuffer(raw, np.uint8)
-    if not len(b):
-        return np.zeros(0, np.uint64)
-    gap = np.concatenate([[True], BLANK[b], [True]])
-    starts = np.flatnonzero(gap[:-1] & ~gap[1:])
-    ends = np.flatnonzero(~gap[:-1] & gap[1:])
-    up, down = powers(max(12, len(b).bit_length()))
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(BYTES[b] * up[: len(b)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts])
-
-
-def shingle_set(raw: bytes, width: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles."""
-    words = word_hashes(raw)
-    n = len(words)
-    if not n:
-        return words
-    take = min(width, n)
-    h = np.full(n - take + 1, U(take))
+KEY = b"tidewright words"
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
+class Words(dict):
+    """Numbers of words seen of late, and a keyed 128-bit digest of each as two integers."""
+
+    def __init__(self, key: bytes, limit: int = 500_000):
+        self.key, self.limit, self.digests = key, limit, np.zeros((4096, 2), np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        if n == len(self.digests):
+            self.digests = np.concatenate([self.digests, np.zeros_like(self.digests)])
+        self.digests[n] = np.frombuffer(hashlib.blake2b(word, digest_size=16, key=self.key).digest(), np.uint64)
+        return n
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.limit:
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.digests[at]
+
+
+words_of = cache(Words)
+
+
+def shingle_set(raw: bytes, width: int, key: bytes = KEY) -> np.ndarray:
+    """The distinct shingles of a text as keyed 128-bit hashes: sorted rows of two integers."""
+    words = raw.translate(LOWER).split()  # at space and bytes 9 to 13
+    if not words:
+        return np.zeros((0, 2), np.uint64)
+    d, take = words_of(key).of(words), min(width, len(words))
+    h = np.full((len(words) - take + 1, 2), U(take))
     for k in range(take):
-        h = h * BASE + words[k : n - take + 1 + k]
-    return np.unique(mixed(h))
+        h = mixed(h * BASE + d[k : len(words) - take + 1 + k])
+    h = h[np.argsort(h[:, 0], kind="stable")]
+    same = h[1:, 0] == h[:-1, 0]
+    if (same & (h[1:, 1] != h[:-1, 1])).any():  # first halves that collide
+        return np.unique(h, axis=0)
+    return h[np.concatenate([[True], ~same])]
+
+
+def common_shingles(a: np.ndarray, b: np.ndarray) -> int:
+    """How many rows two sorted sets share."""
+    if any((x[1:, 0] == x[:-1, 0]).any() for x in (a, b)):
+        return len(set(map(tuple, a.tolist())) & set(map(tuple, b.tolist())))
+    _, i, j = np.intersect1d(a[:, 0], b[:, 0], assume_unique=True, return_indices=True)
+    return int((a[i, 1] == b[j, 1]).sum())
 
 
 @cache
@@ -102,6 +123,7 @@ def permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
 
 def signature(shingles: np.ndarray, count: int) -> np.ndarray:
     """``count`` MinHash components, each cut to 16 bits."""
+    shingles = shingles[:, 0]
     a, b = permutations(count)
     low = np.full(count, U(2**64 - 1))
     for at in range(0, len(shingles), 2048):
@@ -124,12 +146,12 @@ def bucket_keys(sig: np.ndarray) -> np.ndarray:
 ROWS = "doc_id long, th long, n_shingles long, cls binary, keys array<long>"
 
 
-def _signed(batches: Iterator[pa.RecordBatch], width: int, chunks: int) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], width: int, chunks: int, secret: bytes) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
             n, cls, keys = [], [], []
             for text in part.column(2):
-                s = shingle_set(text.as_buffer().to_pybytes() if text.as_buffer() else b"", width)
+                s = shingle_set(text.as_buffer().to_pybytes() if text.as_buffer() else b"", width, secret)
                 n.append(len(s))
                 cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 keys.append(bucket_keys(signature(s, GROUP * chunks)) if len(s) else None)
@@ -139,33 +161,35 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int, chunks: int) -> Itera
             )
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _confirmed(batches: Iterator[pa.RecordBatch], width: int, percent: int, secret: bytes) -> Iterator[pa.RecordBatch]:
     """Pairs whose whole sets are alike enough."""
     last, own = None, None
     for batch in batches:
         ok = []
         for a, ta, tb in zip(batch.column(0), batch.column(2), batch.column(3)):
             if a != last:
-                last, own = a, shingle_set(ta.as_buffer().to_pybytes(), width)
-            other = shingle_set(tb.as_buffer().to_pybytes(), width)
-            both = len(np.intersect1d(own, other, assume_unique=True))
+                last, own = a, shingle_set(ta.as_buffer().to_pybytes(), width, secret)
+            other = shingle_set(tb.as_buffer().to_pybytes(), width, secret)
+            both = common_shingles(own, other)
             ok.append(100 * both >= percent * (len(own) + len(other) - both))
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int, secret: bytes) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            sets = [shingle_set(t.as_buffer().to_pybytes(), width).view(np.int64) for t in part.column(1)]
+            sets = [np.unique(shingle_set(t.as_buffer().to_pybytes(), width, secret)[:, 0]).view(np.int64) for t in part.column(1)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "s"])
 
 
-def _bounds(held: DataFrame, width: int, percent: int) -> DataFrame:
+def _bounds(held: DataFrame, width: int, percent: int, secret: bytes) -> DataFrame:
     """``cls, n, most``: each class's shingles, and how many another class can share.
 
+    Counted by half hashes: one that collides only makes a bound larger.
+
     Classes that can share too few for a link with any are left out.
     """
-    sets = stored(held.select("cls", "text").mapInArrow(partial(_sets, width=width), "cls binary, s array<long>"), "sets")
+    sets = stored(held.select("cls", "text").mapInArrow(partial(_sets, width=width, secret=secret), "cls binary, s array<long>"), "sets")
     seen = sets.select(F.xxhash64("cls").alias("of"), F.explode("s").alias("s"))
     seen = seen.groupBy("s").agg(F.count("*").alias("c"), F.min("of").alias("of"))
     own = seen.filter("c = 1").groupBy("of").agg(F.count("*").alias("own"))
@@ -174,14 +198,17 @@ def _bounds(held: DataFrame, width: int, percent: int) -> DataFrame:
     return bounds.filter(F.col("most") * 100 >= F.col("n") * percent)
 
 
-def _block_links(frame: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame:
+def _block_links(frame: pd.DataFrame, shingle: int, percent: int, secret: bytes) -> pd.DataFrame:
     """A forest of the links between two blocks of a group (or within one)."""
     sides = [frame[frame["block"] == b] for b in dict.fromkeys((frame["left"].iloc[0], frame["right"].iloc[0]))]
     names = pd.concat([s["cls"] for s in sides]).to_numpy()
-    sets = [shingle_set(t.encode(), shingle) for s in sides for t in s["text"]]
+    sets = [shingle_set(t.encode(), shingle, secret) for s in sides for t in s["text"]]
     sizes = np.array([len(x) for x in sets])
     of = np.repeat(np.arange(len(sets)), sizes)
-    _, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    every = np.concatenate(sets)
+    _, first, at, seen = np.unique(every[:, 0], return_index=True, return_inverse=True, return_counts=True)
+    if (every[first[at], 1] != every[:, 1]).any():  # half hashes that collide: by whole ones
+        _, at, seen = np.unique(every, axis=0, return_inverse=True, return_counts=True)
     shared = seen[at] > 1
     of, at = of[shared], at[shared]
     column = np.cumsum(seen > 1)[at] - 1
@@ -214,7 +241,7 @@ def _block_links(frame: pd.DataFrame, shingle: int, percent: int) -> pd.DataFram
 
 
 def _group_links(
-    rows: DataFrame, held: DataFrame, width: int, percent: int, block_rows: int = 2000, block_bytes: int = 1 << 23
+    rows: DataFrame, held: DataFrame, width: int, percent: int, secret: bytes, block_rows: int = 2000, block_bytes: int = 1 << 23
 ) -> DataFrame:
     """Links between classes of groups that the buckets of ``rows`` connect.
 
@@ -231,7 +258,7 @@ def _group_links(
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = [F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right")]
     dealt = dealt.select(F.col("node").alias("cls"), "root", F.col("block"), *pair).join(held, "cls")
-    run = partial(_block_links, shingle=width, percent=percent)
+    run = partial(_block_links, shingle=width, percent=percent, secret=secret)
     return dealt.groupBy("root", "left", "right").applyInPandas(run, "a binary, b binary")
 
 
@@ -244,14 +271,17 @@ def near_duplicates(
     text_col: str = "text",
     keep_hash: bool = False,
     small_bucket: int = 64,
+    secret: bytes = KEY,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row, and ``th``, the text's xxhash64, on request.
 
     Links texts whose sets share at least ``percent`` % of their union.
+    ``secret`` keys the words' digests, so that nobody without it can write texts
+    whose shingles collide.
     """
     spark = docs.sparkSession
     texts = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    signed = stored(texts.mapInArrow(partial(_signed, width=width, chunks=chunks), ROWS), "signed")
+    signed = stored(texts.mapInArrow(partial(_signed, width=width, chunks=chunks, secret=secret), ROWS), "signed")
     found = signed.filter("cls is not null")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
     classes = found.groupBy("cls").agg(F.min(order).alias("own"), F.min(F.struct("doc_id", "th", "keys")).alias("x"))
@@ -272,7 +302,7 @@ def near_duplicates(
     held.write.option("compression", "zstd").bucketBy(tasks, "cls").sortBy("cls").saveAsTable(name)
     held = spark.table(name)
 
-    rows = stored(buckets.join(_bounds(held, width, percent), "cls"), "bounded")
+    rows = stored(buckets.join(_bounds(held, width, percent, secret), "cls"), "bounded")
     able = F.least("most", "p_most")
     able = able * 100 >= (F.col("n") + F.col("p_n") - able) * percent
     as_pivot = [F.col(c).alias(f"p_{c}") for c in ("cls", "n", "most")]
@@ -281,7 +311,7 @@ def near_duplicates(
         pairs = pairs.select(F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b")).distinct()
         pairs = pairs.join(held.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
         pairs = pairs.join(held.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
-        check = partial(_confirmed, width=width, percent=percent)
+        check = partial(_confirmed, width=width, percent=percent, secret=secret)
         return pairs.select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary")
 
     # Every class of a bucket with the one that has the least share of own shingles.
@@ -306,7 +336,7 @@ def near_duplicates(
     joins = joins.union(confirmed(across))
     large = largest.filter(F.col("size") > small_bucket).select("key", "size")
     if not large.isEmpty():
-        joins = joins.union(_group_links(rows.join(large, "key"), held, width, percent))
+        joins = joins.union(_group_links(rows.join(large, "key"), held, width, percent, secret))
     labels = connected_components(joins)
     spark.sql(f"DROP TABLE IF EXISTS {name}")
 
