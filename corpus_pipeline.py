@@ -13,8 +13,7 @@ Null and empty texts score what no evidence scores, have no duplicates and no
 secrets, add no words to the mix (which leaves them out) and encode to nothing.
 Rows that repeat in full count as one from the second stage on; rows that share
 an id but not the text stay apart.  An empty table gives an empty one.  Extra
-columns pass through all stages but the last, whatever their names, except for
-``_th``, ``_copy`` and ``copies``, which the stages use themselves.
+columns pass through all stages but the last, whatever their names.
 
 ``ORACLE_SQL`` is None: SQL can express neither the classifier nor the encoder.
 The tests hold every stage against a brute-force version.
@@ -41,23 +40,31 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_toxic(docs, fit_toxicity(docs, labels), threshold=0.7)
 
 
-def _same_row(docs: DataFrame, other: DataFrame) -> F.Column:
-    return docs["doc_id"].eqNullSafe(other["doc_id"]) & (docs["_th"] == other["_th"])
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the rows don't hold."""
+    held = {c.lower() for c in docs.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    """Rows with a hash of their text, which tells rows of one id apart."""
-    return docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Rows with a hash of their text, which tells rows of one id apart, and its column's name."""
+    key = _free(docs, "_th")
+    return docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit("")))), key
+
+
+def _same_row(docs: DataFrame, key: str, other: DataFrame) -> F.Column:
+    return docs["doc_id"].eqNullSafe(other["doc_id"]) & (docs[key] == other["th"])
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the smallest id of each group; equal rows count as one."""
     workers.find_package(spark)
-    rows = _named(docs)
-    groups = near_duplicates(docs, width=5, percent=80, keep_hash=True).filter("kept")
-    kept = groups.select("doc_id", F.col("th").alias("_th")).distinct()
-    rows = rows.join(kept, _same_row(rows, kept), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_th"]).select(docs.columns)
+    rows, key = _keyed(docs)
+    kept = near_duplicates(docs, width=5, percent=80, keep_hash=True).filter("kept").select("doc_id", "th").distinct()
+    rows = rows.join(kept, _same_row(rows, key, kept), "left_semi")
+    return rows.dropDuplicates(["doc_id", key]).select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,11 +80,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix takes them; equal rows share their copies evenly."""
     workers.find_package(spark)
-    rows = _named(docs)
-    mixed = mix_sources(rows, weights=(5, 2, 1), total=1.5, most=2, keep=("_th",))
-    mixed = mixed.groupBy("doc_id", "_th").agg(F.round(F.avg("copies")).cast("int").alias("copies")).filter("copies > 0")
-    taken = rows.join(mixed, _same_row(rows, mixed)).select(*[rows[c] for c in docs.columns], "copies")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+    rows, key = _keyed(docs)
+    one = _free(docs, "_copy")
+    plain = rows.select("doc_id", "source", "text", F.col(key).alias("th"))
+    mixed = mix_sources(plain, weights=(5, 2, 1), total=1.5, most=2, keep=("th",))
+    mixed = mixed.groupBy("doc_id", "th").agg(F.round(F.avg("copies")).cast("int").alias("copies")).filter("copies > 0")
+    taken = rows.join(mixed, _same_row(rows, key, mixed))
+    return taken.select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), mixed["copies"])).alias(one)).select(docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
