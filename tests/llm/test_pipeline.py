@@ -106,11 +106,13 @@ def test_empty_tables_and_clashing_columns(spark):
     docs = spark.createDataFrame(
         [(1, "a b c d e f", "s"), (2, "a b c d e f", "s"), (3, None, None), (4, "token=abcdefgh12 and more words", "s")], "doc_id long, text string, source string"
     )
-    names = ["_th", "th", "copies", "_copy", "label", "score", "kept", "cls", "ids"]
-    odd = docs.withColumns({c: F.lit(i) for i, c in enumerate(names) if not c.startswith("_") and c != "copies"})
+    names = ["_th", "_th_", "th", "copies", "_copy", "_Copy_", "size", "taken", "label", "score", "kept", "cls", "ids"]
+    odd = docs.withColumns({c: F.lit(i) for i, c in enumerate(names)})
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd.limit(0), SF).count() == 0
         found = stage(spark, odd, SF)
         assert name == "encoding" or found.columns == odd.columns
+        if name != "encoding":
+            assert all(r[c] == i for r in found.collect() for i, c in enumerate(names))
         plain = stage(spark, docs, SF)
         assert sorted(map(str, found.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
