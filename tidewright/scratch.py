@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def own_folder(spark: SparkSession) -> str:
@@ -28,3 +29,10 @@ def own_folder(spark: SparkSession) -> str:
         files.deleteOnExit(path)
         sc._tidewright_folder = made
     return made
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as written to the shared scratch folder: work that follows doesn't repeat what made them."""
+    path = f"{own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
