@@ -210,3 +210,64 @@ def test_duel(spark):
         assert r[f"brier_low_{block}"] <= r["boosted_brier"] - r["linear_brier"] <= r[f"brier_high_{block}"]
         assert r[f"draws_{block}"] > 1900 and r[f"auc_low_{block}"] <= r["boosted_auc"] - r["linear_auc"] <= r[f"auc_high_{block}"]
     assert 0.3 < r["linear_auc"] < 0.8 and r["verdict"] in ("promote", "not_promote", "borderline_stop")
+
+
+# ---- attributions ------------------------------------------------------------
+
+
+def random_tree(rng, depth, rows):
+    if depth == 0 or rows < 2 or rng.random() < 0.15:
+        return {"value": float(rng.normal()), "rows": rows}
+    left = int(rng.integers(0, rows + 1))
+    node = {"feature": int(rng.integers(0, 4)), "threshold": float(rng.normal()), "rows": rows}
+    return node | {"left": random_tree(rng, depth - 1, left), "right": random_tree(rng, depth - 1, rows - left)}
+
+
+def expected(tree, x, known):
+    """The output where features outside ``known`` follow both branches."""
+    if "value" in tree:
+        return tree["value"]
+    if tree["feature"] in known:
+        return expected(tree["left" if x[tree["feature"]] <= tree["threshold"] else "right"], x, known)
+    return sum(tree[s]["rows"] / tree["rows"] * expected(tree[s], x, known) for s in ("left", "right"))
+
+
+def test_attributions_equal_all_coalitions():
+    from tidewright.operators.attribution import base_value, leaves_of, shapley
+
+    rng = np.random.default_rng(6)
+    for _ in range(25):
+        tree = random_tree(rng, 5, 200)
+        leaves, x = leaves_of(tree), rng.normal(size=(6, 4))
+        got = shapley(x, leaves)
+        assert abs(base_value(leaves) - expected(tree, x[0], set())) < 1e-12
+        for row, values in zip(x, got):
+            for i in range(4):
+                want = 0.0
+                for k in range(4):
+                    for known in itertools.combinations([j for j in range(4) if j != i], k):
+                        w = math.factorial(k) * math.factorial(3 - k) / math.factorial(4)
+                        want += w * (expected(tree, row, {*known, i}) - expected(tree, row, set(known)))
+                assert abs(values[i] - want) < 1e-12
+            assert abs(base_value(leaves) + values.sum() - expected(tree, row, {0, 1, 2, 3})) < 1e-12
+
+
+@pytest.mark.parametrize("kind", ["boosted", "forest"])
+def test_attributions_sum_to_the_fitted_output(spark, kind):
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from tidewright.operators.attribution import attributions, fitted_leaves
+
+    x, y = labelled(9, 300)
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(label=y, **{"e e": 1}))
+    rows = VectorAssembler(inputCols=list("abc"), outputCol="features").transform(df)
+    trees = GBTClassifier(maxIter=6, maxDepth=3, seed=1) if kind == "boosted" else RandomForestClassifier(numTrees=7, maxDepth=4, seed=1)
+    model = trees.fit(rows)
+    out = attributions(model.transform(rows).select("a", "b", "c", "e e", vector_to_array("rawPrediction" if kind == "boosted" else "probability")[1].alias("want")), list("abc"), fitted_leaves(model)).toPandas()
+    assert np.allclose(out["output"], out["want"], atol=1e-9)
+    assert np.allclose(out[["a_adds", "b_adds", "c_adds"]].sum(axis=1) + out["base"], out["want"])
+    assert out["a_adds"].abs().mean() > 3 * out["c_adds"].abs().mean()
+    missing = attributions(df.withColumn("b", F.lit(None).cast("double")), list("abc"), fitted_leaves(model))
+    assert missing.filter("a_adds is null or isnan(a_adds)").count() == 300
