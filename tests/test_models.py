@@ -271,3 +271,230 @@ def test_attributions_sum_to_the_fitted_output(spark, kind):
     assert out["a_adds"].abs().mean() > 3 * out["c_adds"].abs().mean()
     missing = attributions(df.withColumn("b", F.lit(None).cast("double")), list("abc"), fitted_leaves(model))
     assert missing.filter("a_adds is null or isnan(a_adds)").count() == 300
+
+
+# ---- kernels -----------------------------------------------------------------
+
+
+def test_fourier_features_are_near_the_kernel():
+    from tidewright.operators.kernels import fourier_lines, fourier_map
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 5))
+    want = np.exp(-0.2 * ((x[:, None] - x[None]) ** 2).sum(-1))
+    for count, seed in itertools.product((256, 4096), (1, 2)):
+        z = fourier_map(x, fourier_lines(5, count, 0.2, seed))
+        # Hoeffding: terms lie in [-2, 2]; of 7,140 pairs none is beyond this in all but one case of a thousand.
+        bound = math.sqrt(8 * math.log(2 * 7140 * 1000) / count)
+        assert np.abs(z @ z.T - want).max() < bound
+
+
+def test_a_radial_classifier_learns_a_ring(spark):
+    from tidewright.operators.kernels import radial_classifier
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 2)) * [3.0, 0.2]
+    y = ((x / [3.0, 0.2]) ** 2).sum(1) < 1.2
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]).assign(y=y.astype(int), at=range(700)))
+    train, test = df.filter("at < 400"), df.filter("at >= 400").union(spark.createDataFrame([(None, 1.0, 1, 999)], df.schema))
+    got = radial_classifier(train, test, ["a", "b"], "y").toPandas()
+    assert got["decision"].isna().sum() == 1
+    got = got.dropna()
+    assert ((got["decision"] > 0) == (got["y"] == 1)).mean() > 0.93
+    assert radial_classifier(train.limit(0), test, ["a", "b"], "y").filter("decision is not null").count() == 0
+
+
+# ---- hidden states -----------------------------------------------------------
+
+
+def planted_states(seed, n):
+    rng = np.random.default_rng(seed)
+    stay, state, states = 0.95, 0, []
+    for _ in range(n):
+        state = state if rng.random() < stay else int(rng.integers(0, 3))
+        states.append(state)
+    states = np.array(states)
+    return states, np.array([-2.0, 0.0, 2.5])[states] + rng.normal(size=n) * np.array([0.6, 0.3, 0.8])[states]
+
+
+def plain_forward_backward(x, params):
+    """By plain probabilities in logarithms, row after row."""
+    start, trans, mean, var = params
+    d = -0.5 * (np.log(2 * np.pi * var) + (x[:, None] - mean) ** 2 / var)
+    n, k = d.shape
+    add = np.logaddexp.reduce
+    a, b = np.empty((n, k)), np.zeros((n, k))
+    a[0] = np.log(start) + d[0]
+    for t in range(1, n):
+        a[t] = add(a[t - 1][:, None] + np.log(trans), axis=0) + d[t]
+    for t in range(n - 2, -1, -1):
+        b[t] = add(np.log(trans) + d[t + 1] + b[t + 1], axis=1)
+    total = add(a[-1])
+    joint = sum(np.exp(a[t][:, None] + np.log(trans) + d[t + 1] + b[t + 1] - total) for t in range(n - 1))
+    score, back = np.log(start) + d[0], []
+    for t in range(1, n):
+        ways = score[:, None] + np.log(trans)
+        back.append(ways.argmax(0))
+        score = ways.max(0) + d[t]
+    path = [int(score.argmax())]
+    for way in reversed(back):
+        path.append(int(way[path[-1]]))
+    return np.exp(a + b - total), joint, total, path[::-1]
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 11])
+def test_states_equal_a_sequential_run_whatever_the_cuts(spark, ranges):
+    from tidewright.operators import hidden_states as hs
+
+    params, frames = {}, []
+    for i, key in enumerate("ab"):
+        _, x = planted_states(i, 260 - 100 * i)
+        frames.append(pd.DataFrame({"k": key, "t": range(len(x)), "v": x}))
+        params[key,] = (np.array([0.2, 0.5, 0.3]), np.array([[0.8, 0.1, 0.1], [0.2, 0.7, 0.1], [0.05, 0.15, 0.8]]), np.array([0.5, -1.5, 2.0]), np.array([0.5, 0.4, 0.9]))
+    df = spark.createDataFrame(pd.concat(frames)).withColumn("v", F.when(F.col("t") != 250, F.col("v")))  # a missing value is left out
+    rows = hs.prepared(df, ["k"], ["t"], "v", ranges)
+    got = hs.expectations(rows, ["k"], params).groupBy("k").sum().toPandas().set_index("k")
+    paths = hs.most_likely(rows, ["k"], params).toPandas().sort_values(["k", "t"])
+    for key, frame in zip("ab", frames):
+        x = frame[frame["t"] != 250]["v"].to_numpy()
+        gamma, joint, total, path = plain_forward_backward(x, params[key,])
+        r = got.loc[key]
+        assert abs(r["sum(likelihood)"] - total) < 1e-7
+        assert np.allclose([r[f"sum(g{i})"] for i in range(3)], gamma.sum(0)) and np.allclose([r[f"sum(x{i})"] for i in range(3)], gamma.T @ x)
+        assert np.allclose([r[f"sum(j{i})"] for i in range(9)], joint.ravel()) and np.allclose([r[f"sum(p{i})"] for i in range(3)], gamma[0])
+        rank = {1: 0, 0: 1, 2: 2}
+        assert paths[paths["k"] == key]["state"].tolist() == [rank[s] for s in path]
+
+
+def test_planted_states_are_found(spark):
+    from tidewright.operators import hidden_states as hs
+
+    states, x = planted_states(7, 1500)
+    rows = hs.prepared(spark.createDataFrame(pd.DataFrame({"t": range(1500), "v": x})), [], ["t"], "v", 4)
+    params, seen = hs.fit_states(rows, [], rounds=8)
+    assert all(b > a - 1e-6 for a, b in zip(seen[()], seen[()][1:]))  # the likelihood never falls
+    assert np.abs(np.sort(params[()][2]) - [-2.0, 0.0, 2.5]).max() < 0.25
+    got = hs.most_likely(rows, [], params).toPandas().sort_values("t")["state"].to_numpy()
+    assert (got == states).mean() > 0.95
+    assert hs.fit_states(hs.prepared(spark.createDataFrame([], "t int, v double"), [], ["t"], "v"), [])[0] == {}
+
+
+# ---- lags --------------------------------------------------------------------
+
+
+def least_squares(y, *x):
+    """Coefficients, residuals and rows of y on a constant and columns."""
+    design = np.column_stack([np.ones(len(y)), *x])
+    b = np.linalg.lstsq(design, y, rcond=None)[0]
+    return b, y - design @ b, design
+
+
+def walks(seed, n=320):
+    """Two walks that hang together, one apart."""
+    rng = np.random.default_rng(seed)
+    one = np.cumsum(rng.normal(size=n)) * 50 + 1000
+    gap = np.zeros(n)
+    for t in range(1, n):
+        gap[t] = 0.5 * gap[t - 1] + rng.normal() * 20
+    return pd.DataFrame({"t": range(n), "a": one, "b": 2 * one + gap + 5, "c": np.cumsum(rng.normal(size=n))})
+
+
+def test_unit_roots_against_plain_regressions(spark):
+    from tidewright.operators.lag_models import unit_root_p, unit_roots
+
+    f = walks(1)
+    long = pd.concat([pd.DataFrame({"k": k, "t": f["t"], "v": v}) for k, v in (("walk", f["a"]), ("steps", f["c"].diff().fillna(0)), ("gap", f["b"] - 2 * f["a"]))])
+    df = spark.createDataFrame(long).union(spark.createDataFrame([("short", 1, 2.0), ("short", 2, None)], "k string, t long, v double"))
+    for choose, ranges in ((True, 5), (False, 1)):
+        got = {r["k"]: r for r in unit_roots(df, ["k"], ["t"], "v", 4, choose, ranges).collect()}
+        assert got["short"]["statistic"] is None
+        for k, own in long.groupby("k"):
+            y = own.sort_values("t")["v"].to_numpy()
+            d = np.diff(y)
+
+            def fit(lags, start):
+                rows = np.arange(start, len(d))
+                b, e, x = least_squares(d[rows], y[rows], *[d[rows - i] for i in range(1, lags + 1)])
+                n = len(rows)
+                se = math.sqrt(e @ e / (n - lags - 2) * np.linalg.inv(x.T @ x)[1, 1])
+                return n * math.log(e @ e / n) + 2 * (lags + 2), b[1] / se, n
+
+            lags = min(range(5), key=lambda k: (fit(k, 4)[0], k)) if choose else 4
+            _, t, n = fit(lags, lags)
+            assert got[k]["lags"] == lags and got[k]["n"] == n and abs(got[k]["statistic"] - t) < 1e-6
+        assert got["walk"]["p"] > 0.05 > 0.01 > got["gap"]["p"]
+    # Published 5 and 1 % points of the test.
+    assert abs(unit_root_p(-2.86) - 0.05) < 0.002 and abs(unit_root_p(-3.43) - 0.01) < 0.001
+
+
+@pytest.mark.parametrize("ranges", [1, 6])
+def test_causality_and_responses_against_plain_regressions(spark, ranges):
+    from tidewright.operators.lag_models import best_lags, causality, impulse_responses
+
+    rng = np.random.default_rng(11)
+    n, x = 300, np.zeros((300, 3))
+    for t in range(2, n):
+        x[t] = 0.3 * x[t - 1] + rng.normal(size=3)
+        x[t, 1] += 0.6 * x[t - 2, 0]
+    x = x * [1, 100, 0.01] + [0, 7, 1]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(t=range(n)))
+    tests = causality(df, ["t"], list("abc"), 3, ranges)
+    for r in tests.collect():
+        i, j, k = "abc".index(r["effect"]), "abc".index(r["cause"]), r["lag"]
+        own, other = ([x[k - m : n - m, c] for m in range(1, k + 1)] for c in (i, j))
+        one, both = (float(e @ e) for _, e, _ in (least_squares(x[k:, i], *own), least_squares(x[k:, i], *own, *other)))
+        want = (one - both) / k / (both / (n - k - 2 * k - 1))
+        assert r["n"] == n - k and abs(r["f"] - want) < 1e-6 * max(1, want)
+    best = {(r["cause"], r["effect"]): r for r in best_lags(tests).collect()}
+    assert best["a", "b"]["p"] < 1e-6 and best["a", "b"]["lag"] == 2 and best["c", "b"]["p"] > 1e-3
+    got = impulse_responses(df, ["t"], list("abc"), 3, 6, ranges).toPandas()
+    p = int(got["lags"].iloc[0])
+    assert p == 2
+    lags = [x[p - m : n - m] for m in range(1, p + 1)]
+    fits = [least_squares(x[p:, i], *[col for block in lags for col in block.T]) for i in range(3)]
+    a = [np.array([f[0][1 + 3 * m : 4 + 3 * m] for f in fits]) for m in range(p)]
+    e = np.array([f[1] for f in fits])
+    root = np.linalg.cholesky(e @ e.T / (n - p - 3 * p - 1))
+    powers = [np.eye(3)]
+    for day in range(1, 6):
+        powers.append(sum(a[m] @ powers[day - 1 - m] for m in range(min(p, day))))
+    for r in got.itertuples():
+        i, j = "abc".index(r.target), "abc".index(r.shock)
+        size = abs(powers[r.day]).max()
+        assert abs(r.response - powers[r.day][i, j]) < 1e-7 * size and abs(r.orthogonal - (powers[r.day] @ root)[i, j]) < 1e-7 * 100
+
+
+def test_the_f_tail_against_draws():
+    from tidewright.operators.lag_models import f_tail
+
+    rng = np.random.default_rng(1)
+    draws = (rng.chisquare(3, 200_000) / 3) / (rng.chisquare(40, 200_000) / 40)
+    for f in (0.5, 1.0, 2.5, 4.0):
+        assert abs(f_tail(f, 3, 40) - (draws > f).mean()) < 0.005
+    assert f_tail(0.0, 2, 9) == 1.0
+
+
+def test_a_planted_relation_is_found(spark):
+    from tidewright.operators.lag_models import cointegration
+
+    f = walks(2)
+    got = cointegration(spark.createDataFrame(f), ["t"], list("abc"), 2, 4).toPandas()
+    # The same eigenvalues from residuals, row by row.
+    x = f[list("abc")].to_numpy()
+    d = np.diff(x, axis=0)
+    rows = np.arange(2, len(d))
+    z = [d[rows - i] for i in (1, 2)]
+    left = np.array([least_squares(d[rows, i], *[c for b in z for c in b.T])[1] for i in range(3)])
+    right = np.array([least_squares(x[rows, i], *[c for b in z for c in b.T])[1] for i in range(3)])
+    s00, s01, s11 = left @ left.T, left @ right.T, right @ right.T
+    want = np.sort(np.linalg.eigvals(np.linalg.inv(s11) @ s01.T @ np.linalg.inv(s00) @ s01).real)[::-1]
+    first = got[got["name"] == "a"].sort_values("relation")
+    assert np.allclose(first["eigenvalue"], want, atol=1e-8) and first["found"].tolist() == [True, False, False]
+    assert np.allclose(first["trace"], [-len(rows) * np.log(1 - want[r:]).sum() for r in range(3)])
+    one = got[got["relation"] == 1].set_index("name")
+    assert abs(one.loc["b", "weight"] + 0.5) < 0.01 and abs(one.loc["c", "weight"]) < 0.5
+    assert one.loc["b", "adjustment"] > 0 > one.loc["b", "weight"]  # b moves against a gap
+    # Adjustments are the regression of differences on the relation.
+    beta = one.loc[list("abc"), "weight"].to_numpy()
+    slope = [least_squares(d[rows, i], x[rows] @ beta, *[c for b in z for c in b.T])[0][1] for i in range(3)]
+    assert np.allclose(one.loc[list("abc"), "adjustment"], slope, rtol=1e-5, atol=1e-9)

@@ -94,3 +94,17 @@ def folded(
         return finish(rows.sort_values(ROW, ignore_index=True), start.iloc[0].to_dict())
 
     return df.groupBy(*names).cogroup(start.groupBy(*names)).applyInPandas(finished, schema)
+
+
+def lagged(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], lags: int, ranges: int | None = None) -> DataFrame:
+    """Adds ``position`` and ``<column>_1`` to ``<column>_<lags>``, the values of the rows before.
+
+    Rows are dealt by stretches of positions that overlap by the number of lags,
+    so a long key is spread over tasks.
+    """
+    rows, stretch = positions(df, keys, order, ranges=ranges), max(8 * lags, 4096)
+    own, to = F.expr(f"position div {stretch}"), F.expr(f"(position + {lags}) div {stretch}")
+    rows = rows.withColumn("_own", own).withColumn("_stretch", F.explode(F.sequence(own, to)))
+    w = Window.partitionBy(*keys, "_stretch").orderBy("position")
+    rows = rows.withColumns({f"{c}_{k}": F.lag(c, k).over(w) for c in columns for k in range(1, lags + 1)})
+    return rows.filter(F.col("_own") == F.col("_stretch")).drop("_own", "_stretch")
