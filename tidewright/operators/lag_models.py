@@ -153,7 +153,7 @@ def lag_moments(wide: DataFrame, order: Sequence[str], names: Sequence[str], lag
     return moments(rows, [], columns, lags), columns, {c: v or 1.0 for c, v in scales.items()}
 
 
-def _solved(found: DataFrame, columns: list[str], lags: int, schema: str, solve: Callable[[Moments], list[tuple]]) -> DataFrame:
+def solved(found: DataFrame, columns: list[str], lags: int, schema: str, solve: Callable[[Moments], list[tuple]]) -> DataFrame:
     """A small solution from a table of moments, in one task: its size is that of the moments."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -182,7 +182,7 @@ def causality(wide: DataFrame, order: Sequence[str], names: Sequence[str], lags:
                     out.append((cause, effect, k, f, f_tail(f, k, n - 2 * k - 1), n))
         return out
 
-    return _solved(found, columns, lags, "cause string, effect string, lag int, f double, p double, n long", solve)
+    return solved(found, columns, lags, "cause string, effect string, lag int, f double, p double, n long", solve)
 
 
 def best_lags(tests: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def impulse_responses(wide: DataFrame, order: Sequence[str], names: Sequence[str
             out += [(names[j], names[i], day, float(own[i, j]), float(orthogonal[i, j]), p) for i in range(k) for j in range(k)]
         return out
 
-    return _solved(found, columns, lags, "shock string, target string, day int, response double, orthogonal double, lags int", solve)
+    return solved(found, columns, lags, "shock string, target string, day int, response double, orthogonal double, lags int", solve)
 
 
 #: 95 % critical values of the trace statistic with a constant, by the number of relations left (fixed values).
@@ -290,4 +290,4 @@ def cointegration(wide: DataFrame, order: Sequence[str], names: Sequence[str], l
 
     if k > max(TRACE):
         raise ValueError(f"critical values are known for {max(TRACE)} series at most")
-    return _solved(found, columns, lags + 1, "relation int, eigenvalue double, trace double, critical double, found boolean, name string, weight double, adjustment double, n long", solve)
+    return solved(found, columns, lags + 1, "relation int, eigenvalue double, trace double, critical double, found boolean, name string, weight double, adjustment double, n long", solve)

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import bootstrap as bs
+from ..operators import attribution as at
 from ..operators import boosting as eb
+from ..operators import bootstrap as bs
+from ..operators import hidden_states as hs
+from ..operators import kernels as kr
+from ..operators import lag_models as lm
 from ..operators import significance as s
 from ..operators.windows import Series
 from ..sources import adapters as a
 from .registry import query
+from .study_queries import _flags, _split
 from .window_queries import RET, O, _returns, last
 
 S = Series(("asset",), "date")
@@ -123,3 +130,139 @@ def udf35_gate(spark, sf_dir):
     side = {b: eb.interval_side(F.col(f"low{b}"), F.col(f"high{b}")) for b in (20, 40)}
     verdict = eb.promotion(side[20], side[40], F.col("diff"), F.col("diff"), F.col("diff") >= 0)
     return found.select("asset", "n", *[F.round(c, 6).alias(c) for c in ("diff", "low20", "high20", "p20", "low40", "high40")], verdict.alias("verdict"))
+
+
+# ---- attributions, radial classifier -----------------------------------------
+
+MODEL_INPUTS = ["r", "momentum", "z"]
+
+
+def _boosted(rows):
+    assembled = VectorAssembler(inputCols=MODEL_INPUTS, outputCol="features").transform(rows)
+    return GBTClassifier(labelCol="y", maxIter=15, maxDepth=3, seed=7).fit(assembled)
+
+
+@query(dates="")
+def udf34_attributions(spark, sf_dir):
+    """Mean size of what each feature adds to boosted trees' margins, and its rank."""
+    rows = _flags(spark, sf_dir)
+    found = at.attributions(rows, MODEL_INPUTS, at.fitted_leaves(_boosted(rows)))
+    sizes = found.agg(*[F.avg(F.abs(f"{f}_adds")).alias(f) for f in MODEL_INPUTS])
+    long = sizes.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("mean_size")) for f in MODEL_INPUTS])).alias("x")).select("x.*")
+    return long.withColumn("rank", F.rank().over(Window.orderBy(F.desc("mean_size"))))  # a row for each feature
+
+
+@query(dates="")
+def q50_explained_latest(spark, sf_dir):
+    """The latest row of each asset: what its features add to the margin, the most supporting and the most opposing one."""
+    rows = _flags(spark, sf_dir)
+    latest = rows.groupBy("asset").agg(F.max_by(F.struct(*rows.columns), "date").alias("x")).select("x.*")
+    found = at.attributions(latest, MODEL_INPUTS, at.fitted_leaves(_boosted(rows)))
+    adds = F.array(*[F.struct(F.col(f"{f}_adds").alias("adds"), F.lit(f).alias("feature")) for f in MODEL_INPUTS])
+    return found.select("asset", "output", "base", *[f"{f}_adds" for f in MODEL_INPUTS], F.array_max(adds)["feature"].alias("supports"), F.array_min(adds)["feature"].alias("opposes"))
+
+
+@query(dates="")
+def udf30_radial(spark, sf_dir):
+    """Held-out area of the radial classifier, by asset."""
+    train, test = _split(_flags(spark, sf_dir))
+    out = kr.radial_classifier(train, test, MODEL_INPUTS, "y")
+    return s.auc(out.withColumn("y", F.col("y").cast("int")), "decision", "y", ["asset"]).select("asset", "auc", "n")
+
+
+# ---- hidden states -----------------------------------------------------------
+
+
+def _regimes(spark, sf_dir):
+    rows = hs.prepared(_returns(spark, sf_dir).select("asset", "date", (F.log1p("r")).alias("r")), ["asset"], ["date"], "r")
+    return rows, hs.fit_states(rows, ["asset"], 3, rounds=6)[0]
+
+
+@query(dates="")
+def udf34_regimes(spark, sf_dir):
+    """States of each asset's most likely path: rows, mean and deviation of returns."""
+    rows, params = _regimes(spark, sf_dir)
+    path = hs.most_likely(rows, ["asset"], params)
+    share = F.count("*") / F.sum(F.count("*")).over(Window.partitionBy("asset"))
+    return path.groupBy("asset", "state").agg(F.count("*").alias("n"), share.alias("share"), F.avg("r").alias("mean"), F.stddev_pop("r").alias("deviation"))
+
+
+# ---- lags --------------------------------------------------------------------
+
+ASSETS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+NAMES = ["a1", "a2", "a3", "a4", "a5"]
+
+
+def _wide(spark, sf_dir):
+    """``date, a1 .. a5``: log values of all assets on days that have them all."""
+    p = a.daily_prices(spark, sf_dir)
+    wide = p.groupBy("date").agg(*[F.max(F.when(F.col("asset") == x, F.ln("value"))).alias(n) for x, n in zip(ASSETS, NAMES)])
+    return wide.dropna()
+
+
+WIDE = f"WITH w AS (SELECT date, {', '.join(f'''max(CASE WHEN asset = '{x}' THEN ln(value) END) AS {n}''' for x, n in zip(ASSETS, NAMES))} FROM p GROUP BY date), x AS (SELECT * FROM w WHERE {' AND '.join(f'{n} IS NOT NULL' for n in NAMES)})"
+LONG = f"{WIDE}, g AS ({' UNION ALL '.join(f'''SELECT '{n}' AS name, date, {n} AS v, lag({n}) OVER (ORDER BY date) AS v1, lag({n}, 2) OVER (ORDER BY date) AS v2, row_number() OVER (ORDER BY date) - 1 AS i FROM x''' for n in NAMES)})"
+
+
+@query(sql("p", f"""{LONG}, c AS (SELECT e.name AS effect, c.name AS cause, count(*) AS n, corr(e.v, e.v1) AS r1, corr(e.v, c.v1) AS r2, corr(e.v1, c.v1) AS r12 FROM g AS e JOIN g AS c ON c.i = e.i AND c.name <> e.name WHERE e.i > 0 GROUP BY 1, 2),
+q AS (SELECT *, (r1 * r1 + r2 * r2 - 2 * r1 * r2 * r12) / (1 - r12 * r12) AS fit FROM c) SELECT cause, effect, n, round((fit - r1 * r1) / (1 - fit) * (n - 3), 5) AS f FROM q"""), dates="")
+def udf34_causality_one_lag(spark, sf_dir):
+    """F statistics of one lag, for all ordered pairs."""
+    found = lm.causality(_wide(spark, sf_dir), ["date"], NAMES, 1)
+    return found.select("cause", "effect", "n", F.round("f", 5).alias("f"))
+
+
+@query(dates="")
+def udf34_causality(spark, sf_dir):
+    """The best of ten lags for each ordered pair, with its F statistic and p-value."""
+    return lm.best_lags(lm.causality(_wide(spark, sf_dir), ["date"], NAMES, 10)).withColumn("significant", F.col("p") < 0.05)
+
+
+@query(sql("p", """WITH g AS (SELECT asset, value - lag(value) OVER w AS d, lag(value) OVER w AS v FROM p WINDOW w AS (PARTITION BY asset ORDER BY date)), c AS (SELECT asset, count(*) AS n, corr(d, v) AS r FROM g WHERE v IS NOT NULL GROUP BY 1)
+SELECT asset, n, round(r * sqrt((n - 2) / (1 - r * r)), 6) AS statistic FROM c"""), dates="")
+def udf34_unit_root_no_lags(spark, sf_dir):
+    """Dickey-Fuller statistics without lagged differences."""
+    found = lm.unit_roots(a.daily_prices(spark, sf_dir), ["asset"], ["date"], "value", 0)
+    return found.select("asset", "n", F.round("statistic", 6).alias("statistic"))
+
+
+@query(dates="")
+def udf34_unit_roots(spark, sf_dir):
+    """Augmented tests of every asset with lags by Akaike's criterion."""
+    found = lm.unit_roots(a.daily_prices(spark, sf_dir), ["asset"], ["date"], "value")
+    return found.withColumn("stationary", F.col("p") < 0.05)
+
+
+@query(sql("p", f"""{LONG}, j AS (SELECT e.name AS name, c.name AS other, 0 AS k, e.v AS x, c.v AS y FROM g AS e JOIN g AS c ON c.i = e.i UNION ALL SELECT e.name, c.name, 1, e.v, c.v1 FROM g AS e JOIN g AS c ON c.i = e.i UNION ALL SELECT e.name, c.name, 2, e.v, c.v2 FROM g AS e JOIN g AS c ON c.i = e.i)
+SELECT name, other, k, count(*) AS n, round(covar_pop(x, y), 7) AS covariance, round(corr(x, y), 6) AS correlation FROM j WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2, 3"""), dates="")
+def udf34_lag_moments(spark, sf_dir):
+    """Covariances of each asset's log value with each other's, up to two rows before."""
+    found, columns, scales = lm.lag_moments(_wide(spark, sf_dir), ["date"], NAMES, 2)
+
+    def solve(m):
+        out = []
+        for x in NAMES:
+            for y in NAMES:
+                for k in range(3):
+                    z, n = y if k == 0 else f"{y}_{k}", m.rows(k)
+                    (sx, sy), ((xx, xy), (_, yy)) = m.of(k, ["1"], [x, z])[0], m.of(k, [x, z], [x, z])
+                    xx, xy, yy = xx / n - (sx / n) ** 2, xy / n - sx * sy / n / n, yy / n - (sy / n) ** 2
+                    out.append((x, y, k, n, float(xy) * scales[x] * scales[y], float(xy / (xx * yy) ** 0.5)))
+        return out
+
+    table = lm.solved(found, columns, 2, "name string, other string, k int, n long, covariance double, correlation double", solve)
+    return table.select("name", "other", "k", "n", F.round("covariance", 7).alias("covariance"), F.round("correlation", 6).alias("correlation"))
+
+
+@query(dates="")
+def udf34_impulse_responses(spark, sf_dir):
+    """Responses of log changes to shocks over 20 rows, order by Akaike's criterion."""
+    w = Series((), "date")
+    changes = _wide(spark, sf_dir).select("date", *[(F.col(n) - w.lagged(n)).alias(n) for n in NAMES]).dropna()
+    return lm.impulse_responses(changes, ["date"], NAMES, 10, 20)
+
+
+@query(dates="")
+def udf34_cointegration(spark, sf_dir):
+    """Cointegrating relations of three assets' log values, two lagged differences."""
+    return lm.cointegration(_wide(spark, sf_dir), ["date"], NAMES[:3], 2)
