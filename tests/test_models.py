@@ -498,3 +498,87 @@ def test_a_planted_relation_is_found(spark):
     beta = one.loc[list("abc"), "weight"].to_numpy()
     slope = [least_squares(d[rows, i], x[rows] @ beta, *[c for b in z for c in b.T])[0][1] for i in range(3)]
     assert np.allclose(one.loc[list("abc"), "adjustment"], slope, rtol=1e-5, atol=1e-9)
+
+
+# ---- variances and breaks ----------------------------------------------------
+
+
+def garch_series(seed, n, w=0.1, a=0.12, b=0.8):
+    rng = np.random.default_rng(seed)
+    h, x = w / (1 - a - b), []
+    for _ in range(n):
+        e = rng.normal() * math.sqrt(h)
+        x.append(e)
+        h = w + a * e * e + b * h
+    return np.array(x)
+
+
+@pytest.mark.parametrize("ranges", [1, 5])
+def test_variances_equal_a_loop_and_find_planted_parameters(spark, ranges):
+    from tidewright.operators import garch
+
+    frames = [pd.DataFrame({"k": k, "t": range(n), "v": garch_series(i, n) * scale}) for i, (k, n, scale) in enumerate((("a", 3000, 1.0), ("b", 400, 50.0)))]
+    rows = garch.prepared(spark.createDataFrame(pd.concat(frames)), ["k"], ["t"], "v", ranges)
+    candidates, variances = {}, {}
+    for f in frames:
+        e = (f["v"] - f["v"].mean()) ** 2
+        variances[f["k"].iloc[0],] = v = float(e.mean())
+        candidates[f["k"].iloc[0],] = np.array([[0.1 * v, 0.1, 0.8], [0.3 * v, 0.2, 0.5]])
+    got = {(r["k"], r["at"]): r["likelihood"] for r in garch.evaluated(rows, ["k"], candidates, variances).collect()}
+    for f in frames:
+        k, e = f["k"].iloc[0], ((f["v"] - f["v"].mean()) ** 2).tolist()
+        for i, (w, a, b) in enumerate(candidates[k,]):
+            h, total = variances[k,], 0.0
+            for x in e:
+                total -= 0.5 * (math.log(2 * math.pi) + math.log(h) + x / h)
+                h = w + a * x + b * h
+            assert abs(got[k, i] - total) < 1e-6
+    if ranges > 1:
+        fitted = garch.fit(rows, ["k"])
+        (w, a, b), best = fitted["a",]
+        assert abs(a - 0.12) < 0.04 and abs(b - 0.8) < 0.08 and abs(w / (1 - a - b) / variances["a",] - 1) < 0.25
+        # No neighbour of the found point is better by more than the last grid's step can tell.
+        around = {k: np.array([p * np.array(f) for f in itertools.product((0.98, 1.02), repeat=3)]) for k, (p, _) in fitted.items()}
+        assert all(r["likelihood"] <= fitted[r["k"],][1] + 1.0 for r in garch.evaluated(rows, ["k"], around, variances).collect())
+        path = garch.variance_path(rows, ["k"], fitted).filter("k = 'a'").orderBy("t").toPandas()["variance"]
+        assert np.isclose(path[0], variances["a",]) and len(path) == 3000 and (path > 0).all()
+    assert garch.fit(rows.limit(0), ["k"]) == {}
+
+
+def test_pruned_search_equals_the_unpruned():
+    from tidewright.operators.change_points import breaks, segment_costs
+
+    rng = np.random.default_rng(5)
+    for case in range(60):
+        n, least = int(rng.integers(3, 140)), int(rng.integers(1, 9))
+        x = rng.normal(size=n) + np.repeat(rng.normal(size=n) * 3, rng.integers(1, 40, n))[:n]
+        sums, squares = (np.concatenate([[0.0], np.cumsum(v)]) for v in (x, x * x))
+        for cost, penalty in (("level", 4.0), ("level", 25.0), ("spread", 6.0)):
+            least = max(least, 2) if cost == "spread" else least
+            found = [breaks(sums, squares, penalty, least, cost, pruned) for pruned in (True, False)]
+            price = [sum(segment_costs(sums, squares, np.array([a]), b, cost)[0] + penalty for a, b in zip([0, *f], [*f, n])) for f in found]
+            assert abs(price[0] - price[1]) < 1e-7 * max(1, abs(price[1])), (case, cost)
+            assert all(b - a >= least for a, b in zip([0, *found[0]], [*found[0], n])) or n < 2 * least
+            if n <= 40:  # all partitions, by a plain recursion
+                best = {0: -penalty}
+                for t in range(1, n + 1):
+                    best[t] = min((best[s] + segment_costs(sums, squares, np.array([s]), t, cost)[0] + penalty for s in range(t) if t - s >= least and s in best and best[s] < math.inf), default=math.inf)
+                if n >= 2 * least:
+                    assert abs(best[n] - (price[1] - penalty)) < 1e-7 * max(1, abs(price[1]))
+
+
+@pytest.mark.parametrize("ranges", [1, 6])
+def test_planted_breaks_are_found(spark, ranges):
+    from tidewright.operators.change_points import segments
+
+    rng = np.random.default_rng(6)
+    level = np.repeat([0.0, 5.0, -1.0], [80, 50, 70])
+    f = pd.DataFrame({"k": "a", "t": range(200), "v": level + rng.normal(size=200)})
+    short = pd.DataFrame({"k": "b", "t": range(5), "v": 1.0})
+    df = spark.createDataFrame(pd.concat([f, short])).union(spark.createDataFrame([("a", 999, None)], "k string, t long, v double"))
+    got = segments(df, ["k"], "t", "v", (3.0, 1000.0), ranges=ranges).toPandas().sort_values(["k", "penalty", "segment"])
+    assert got[(got["k"] == "a") & (got["penalty"] == 3.0)]["begins"].tolist() == [0, 80, 130]
+    assert got[(got["k"] == "a") & (got["penalty"] == 1000.0)]["rows"].tolist() == [200]
+    assert got[got["k"] == "b"]["rows"].tolist() == [5, 5]
+    one = got[(got["k"] == "a") & (got["penalty"] == 3.0)].iloc[1]
+    assert abs(one["mean"] - f["v"][80:130].mean()) < 1e-9 and abs(one["deviation"] - f["v"][80:130].std(ddof=0)) < 1e-9
