@@ -582,3 +582,78 @@ def test_planted_breaks_are_found(spark, ranges):
     assert got[got["k"] == "b"]["rows"].tolist() == [5, 5]
     one = got[(got["k"] == "a") & (got["penalty"] == 3.0)].iloc[1]
     assert abs(one["mean"] - f["v"][80:130].mean()) < 1e-9 and abs(one["deviation"] - f["v"][80:130].std(ddof=0)) < 1e-9
+
+
+# ---- seasons -----------------------------------------------------------------
+
+
+def plain_line(y, w, span, x):
+    """One local fit by weighted least squares."""
+    n, q = len(y), min(span, len(y))
+    near = sorted(range(n), key=lambda i: (abs(i - x), -i))[:q]
+    reach = max(abs(i - x) for i in near) + max((span - n) // 2, 0)
+    rows, weight = [], []
+    for i in near:
+        u = abs(i - x) / reach
+        k = 1.0 if u <= 0.001 else (1 - u**3) ** 3 if u <= 0.999 else 0.0
+        if k * w[i] > 0:
+            rows.append((1.0, i - x, y[i])), weight.append(math.sqrt(k * w[i]))
+    if not rows:
+        return y[min(max(round(x), 0), n - 1)]
+    rows, weight = np.array(rows), np.array(weight)
+    if len(rows) == 1:
+        return rows[0, 2]
+    return float(np.linalg.lstsq(rows[:, :2] * weight[:, None], rows[:, 2] * weight, rcond=None)[0][0])
+
+
+def plain_decomposition(y, period, seasonal, passes, robust):
+    n, trend, weights = len(y), np.zeros(len(y)), np.ones(len(y))
+    span = int(math.ceil(1.5 * period / (1 - 1.5 / seasonal)))
+    span += span % 2 == 0
+    low_span = period + 1 if period % 2 == 0 else period + 2
+    for turn in range(robust + 1):
+        for _ in range(passes):
+            cycle = np.zeros(n + 2 * period)
+            for phase in range(period):
+                own = list(range(phase, n, period))
+                for i in range(-1, len(own) + 1):
+                    cycle[phase + (i + 1) * period] = plain_line((y - trend)[own], weights[own], seasonal, i)
+            low = cycle
+            for k in (period, period, 3):
+                low = np.convolve(low, np.ones(k) / k, "valid")
+            season = cycle[period : period + n] - np.array([plain_line(low, np.ones(n), low_span, i) for i in range(n)])
+            trend = np.array([plain_line(y - season, weights, span, i) for i in range(n)])
+        if turn < robust:
+            gap = np.abs(y - season - trend)
+            u = gap / (6 * np.median(gap))
+            weights = np.where(u <= 0.001, 1.0, np.where(u <= 0.999, (1 - u**2) ** 2, 0.0))
+    return season, trend, weights
+
+
+@pytest.mark.parametrize("n, stretch", [(75, 4096), (700, 1)])
+def test_seasons_equal_plain_local_regressions_whatever_the_stretches(spark, n, stretch):
+    from tidewright.operators.seasonal import decomposed, seasonal_strength
+
+    rng = np.random.default_rng(n)
+    t = np.arange(n)
+    y = 0.02 * t + 3 * np.sin(2 * np.pi * t / 4) + rng.normal(size=n) * 0.3
+    y[[20, n // 2]] += 15  # outliers
+    df = spark.createDataFrame(pd.concat([pd.DataFrame({"k": "a", "t": t, "v": y}), pd.DataFrame({"k": "b", "t": range(5), "v": 1.0})]))
+    parts = decomposed(df, ["k"], "t", "v", period=4, seasonal=7, robust=2, stretch=stretch)
+    got = parts.filter("k = 'a'").orderBy("t").toPandas()
+    season, trend, weights = plain_decomposition(y, 4, 7, 2, 2)
+    assert np.abs(got["season"] - season).max() < 1e-8 and np.abs(got["trend"] - trend).max() < 1e-8 and np.abs(got["weight"] - weights).max() < 1e-8
+    assert np.allclose(got["season"] + got["trend"] + got["rest"], y) and got["weight"][20] == 0
+    assert parts.filter("k = 'b' and season is null").count() == 5
+    strength = {r["k"]: r["strength"] for r in seasonal_strength(parts.filter("weight > 0"), ["k"]).collect()}
+    assert strength["a"] > 0.9
+
+
+def test_quantiles_over_ranges(spark):
+    rng = np.random.default_rng(1)
+    f = pd.DataFrame({"k": np.where(np.arange(900) % 3 == 0, "a", "b"), "v": np.round(rng.normal(size=900), 1)})
+    df = spark.createDataFrame(f).union(spark.createDataFrame([("c", 2.0), ("a", None)], "k string, v double"))
+    got = {r["k"]: r for r in rg.quantiles(df, ["k"], "v", {"m": 0.5, "t": 0.93}, 5).collect()}
+    assert got["c"]["m"] == got["c"]["t"] == 2.0
+    for k, own in f.groupby("k"):
+        assert np.isclose(got[k]["m"], own["v"].quantile(0.5)) and np.isclose(got[k]["t"], own["v"].quantile(0.93))

@@ -108,3 +108,18 @@ def lagged(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Se
     w = Window.partitionBy(*keys, "_stretch").orderBy("position")
     rows = rows.withColumns({f"{c}_{k}": F.lag(c, k).over(w) for c in columns for k in range(1, lags + 1)})
     return rows.filter(F.col("_own") == F.col("_stretch")).drop("_own", "_stretch")
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float], ranges: int | None = None) -> DataFrame:
+    """Exact quantiles of each key, interpolated between neighbours: rows are ranked over ranges, so no task holds a key."""
+    rows = positions(df.filter(F.col(value).isNotNull()).select(*keys, value), keys, [value], "_at", ranges)
+    n = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    rows = rows.join(n, list(keys)) if keys else rows.join(n)  # one row a key
+    out = []
+    for name, q in wanted.items():
+        place = F.lit(q) * (F.col("_n") - 1)
+        low = F.max(F.when(F.col("_at") == F.floor(place), F.col(value)))
+        high = F.max(F.when(F.col("_at") == F.ceil(place), F.col(value)))
+        part = F.max(place - F.floor(place))
+        out.append((low + part * (high - low)).alias(name))
+    return rows.groupBy(*keys).agg(*out)
