@@ -657,3 +657,40 @@ def test_quantiles_over_ranges(spark):
     assert got["c"]["m"] == got["c"]["t"] == 2.0
     for k, own in f.groupby("k"):
         assert np.isclose(got[k]["m"], own["v"].quantile(0.5)) and np.isclose(got[k]["t"], own["v"].quantile(0.93))
+
+
+# ---- order statistics --------------------------------------------------------
+
+
+def test_growing_quantiles_whatever_the_cuts(spark):
+    from tidewright.operators.order_statistics import expanding_quantiles
+
+    rng = np.random.default_rng(2)
+    frames = [pd.DataFrame({"k": k, "t": range(n), "v": np.round(rng.normal(size=n).cumsum() * s, 1)}) for k, n, s in (("a", 600, 1.0), ("b", 90, 0.0), ("c", 1, 1.0))]
+    f = pd.concat(frames)
+    df = spark.createDataFrame(f).withColumn("v", F.when(F.col("t") % 9 != 4, F.col("v"))).withColumn("more", F.lit("x"))
+    f.loc[f["t"] % 9 == 4, "v"] = np.nan
+    for ranges in (None, 3, 12):
+        got = expanding_quantiles(df.repartition(5), ["k"], "t", "v", {"low": 0.05, "middle": 0.5, "top": 1.0}, 20, ranges=ranges).toPandas()
+        assert len(got) == len(f)
+        for k, own in f.groupby("k"):
+            mine, seen = got[got["k"] == k].sort_values("t"), own.sort_values("t")["v"].expanding(20)
+            for name, q in (("low", 0.05), ("middle", 0.5), ("top", 1.0)):
+                assert np.allclose(mine[name].astype(float), seen.quantile(q), equal_nan=True), (ranges, k, name)
+    one = expanding_quantiles(df.filter("k = 'a'").drop("k"), [], "t", "v", {"m": 0.3}, 1, ranges=7).toPandas().sort_values("t")
+    assert np.allclose(one["m"].astype(float), f[f["k"] == "a"].sort_values("t")["v"].expanding(1).quantile(0.3))
+
+
+@pytest.mark.parametrize("most", [100_000, 50])
+def test_moving_shares_whatever_the_stretches(spark, most):
+    from tidewright.operators.order_statistics import rolling_share
+
+    rng = np.random.default_rng(3)
+    f = pd.concat([pd.DataFrame({"k": k, "t": range(n), "v": np.round(rng.normal(size=n), 1)}) for k, n in (("a", 400), ("b", 6))])
+    df = spark.createDataFrame(f).withColumn("v", F.when(F.col("t") != 77, F.col("v")))
+    f.loc[f["t"] == 77, "v"] = np.nan
+    got = rolling_share(df, ["k"], "t", "v", 21, "share", most).toPandas()
+    for k, own in f.groupby("k"):
+        v = own.sort_values("t")["v"].to_numpy()
+        want = [np.nan if i < 20 or np.isnan(v[i - 20 : i + 1]).any() else (v[i - 20 : i + 1] <= v[i]).mean() for i in range(len(v))]
+        assert np.allclose(got[got["k"] == k].sort_values("t")["share"].astype(float), want, equal_nan=True)

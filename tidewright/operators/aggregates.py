@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranges import quantiles
 from .windows import Series
 
 
@@ -63,7 +64,14 @@ def right_closed_bin(x: str, edges: Sequence[float]) -> Column:
 
 
 def quantile_bins(df: DataFrame, x: str, n: int, keys: Sequence[str], name: str = "bin") -> DataFrame:
-    """Adds the number of the quantile bin of x among its group; the first bin is closed."""
+    """Adds the number of the quantile bin of x among its group; the first bin is closed.
+
+    Without keys the table is ranked over ranges, for its values may not fit a task.
+    """
+    if not keys:
+        edges = quantiles(df, [], x, {f"_{i}": i / n for i in range(1, n)})
+        df = df.join(edges.select(F.array(*edges.columns).alias("_edges")))  # one row
+        return df.withColumn(name, 1 + F.size(F.filter("_edges", lambda e: F.col(x) > e))).drop("_edges")
     edges = df.groupBy(*keys).agg(F.percentile(x, [i / n for i in range(1, n)]).alias("_edges"))
     df = df.join(edges, list(keys))
     return df.withColumn(name, 1 + F.size(F.filter("_edges", lambda e: F.col(x) > e))).drop("_edges")

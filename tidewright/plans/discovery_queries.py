@@ -20,7 +20,8 @@ from ..operators import resampling as b
 from ..operators import significance as s
 from ..operators.joins import asof_join
 from ..operators.ledger import keep_members, transitions
-from ..operators.windows import Series, expanding_quantiles
+from ..operators.order_statistics import expanding_quantiles, rolling_share
+from ..operators.windows import Series
 from ..sources import adapters as a
 from .registry import query
 from .signal_queries import FLAGS, HOLIDAYS, RET, TECH, _technical
@@ -185,8 +186,8 @@ WARM_UP = 252
 def _trailing(spark, sf_dir):
     frames = []
     for n in (20, 60):
-        t = _market(spark, sf_dir).withColumn("m", ONE.change("value", n)).withColumn("one", F.lit(0))
-        t = expanding_quantiles(t, ("one",), "date", "m", {"q_low": 0.1, "q_high": 0.9}, WARM_UP)
+        t = _market(spark, sf_dir).withColumn("m", ONE.change("value", n))
+        t = expanding_quantiles(t, (), "date", "m", {"q_low": 0.1, "q_high": 0.9}, WARM_UP)
         t = t.filter("q_low is not null and m is not null")
         on = {"low": F.col("m") <= F.col("q_low"), "high": F.col("m") >= F.col("q_high")}
         frames.append(_rows(t, [("trailing", f"n{n}_{side}_h{h}", on[side], h) for k, side, h in TRAILING if k == n]))
@@ -204,8 +205,7 @@ REPORTS = 156
 
 def _ranked_reports(spark, sf_dir):
     """Weekly reports with the share of the last 156 reports at or below each."""
-    week = Series((), "report_date")
-    return a.weekly_reports(spark, sf_dir).withColumn("rank", week.self_percentile("value", REPORTS))
+    return rolling_share(a.weekly_reports(spark, sf_dir), (), "report_date", "value", REPORTS, "rank")
 
 
 RANK_SQL = f"""w1 AS (SELECT *, row_number() OVER (ORDER BY report_date) AS i FROM wr), w2 AS (SELECT x.report_date, any_value(x.usable_from) AS usable_from, any_value(x.value) AS value,

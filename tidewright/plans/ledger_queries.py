@@ -62,8 +62,8 @@ e AS (SELECT list_transform(range(1, 7), lambda i: i / 7.0) AS qs), q AS (SELECT
 b AS (SELECT p, y, 1 + len(list_filter(edges, lambda v: p > v)) AS bin FROM x, q) SELECT bin, count(*) AS n, round(avg(p), 6) AS predicted, round(avg(y), 6) AS actual FROM b GROUP BY bin"""), dates="")
 def agg31_quantile_calibration(spark, sf_dir):
     x = _returns(spark, sf_dir).filter("r is not null")
-    x = x.select(F.least(F.greatest((F.col("r") + 1) / 4, F.lit(0.0)), F.lit(1.0)).alias("p"), (F.col("r") > 0).cast("double").alias("y"), F.lit("all").alias("k"))
-    x = g.quantile_bins(x, "p", 7, ["k"]).groupBy(F.col("bin").cast("long").alias("bin"))
+    x = x.select(F.least(F.greatest((F.col("r") + 1) / 4, F.lit(0.0)), F.lit(1.0)).alias("p"), (F.col("r") > 0).cast("double").alias("y"))
+    x = g.quantile_bins(x, "p", 7, []).groupBy(F.col("bin").cast("long").alias("bin"))
     return x.agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("predicted"), F.round(F.avg("y"), 6).alias("actual"))
 
 

@@ -10,9 +10,12 @@ from pyspark.sql.window import Window
 from ..operators import attribution as at
 from ..operators import boosting as eb
 from ..operators import bootstrap as bs
+from ..operators import change_points as cp
+from ..operators import garch as gm
 from ..operators import hidden_states as hs
 from ..operators import kernels as kr
 from ..operators import lag_models as lm
+from ..operators import seasonal as sd
 from ..operators import significance as s
 from ..operators.windows import Series
 from ..sources import adapters as a
@@ -266,3 +269,43 @@ def udf34_impulse_responses(spark, sf_dir):
 def udf34_cointegration(spark, sf_dir):
     """Cointegrating relations of three assets' log values, two lagged differences."""
     return lm.cointegration(_wide(spark, sf_dir), ["date"], NAMES[:3], 2)
+
+
+# ---- variances, breaks, seasons ----------------------------------------------
+
+
+@query(dates="")
+def udf34_volatility(spark, sf_dir):
+    """GARCH(1,1) of each asset's returns: parameters, the latest variance and its place among all."""
+    rows = gm.prepared(_returns(spark, sf_dir).select("asset", "date", "r"), ["asset"], ["date"], "r")
+    fitted = gm.fit(rows, ["asset"], rounds=4)
+    table = [(k[0], *map(float, p), float(likelihood)) for k, (p, likelihood) in fitted.items()]
+    params = spark.createDataFrame(table, "asset string, constant double, square double, carry double, likelihood double")
+    path = gm.variance_path(rows, ["asset"], fitted).withColumn("level", F.sqrt("variance") * F.sqrt(F.lit(252.0)))
+    last_one = path.groupBy("asset").agg(F.max_by("level", "date").alias("latest"))
+    share = F.avg((F.col("level") <= F.col("latest")).cast("double"))
+    found = path.join(last_one, "asset").groupBy("asset").agg(F.first("latest").alias("latest"), F.avg("level").alias("mean"), share.alias("share"), F.count("*").alias("n"))
+    return params.join(found, "asset")
+
+
+def _monthly(spark, sf_dir):
+    """``asset, month, value``: the last value of each month."""
+    p = a.daily_prices(spark, sf_dir)
+    return p.groupBy("asset", F.trunc("date", "month").alias("month")).agg(F.max_by("value", "date").alias("value"))
+
+
+@query(dates="")
+def udf34_breaks(spark, sf_dir):
+    """Segments of monthly changes in level and spread, by penalty."""
+    w = Series(("asset",), "month")
+    changes = _monthly(spark, sf_dir).withColumn("r", w.change("value"))
+    found = cp.segments(changes, ["asset"], "month", "r", (1.0, 3.0), 6, "spread")
+    return found.withColumn("begins", F.col("begins").cast("string"))
+
+
+@query(dates="")
+def udf34_season(spark, sf_dir):
+    """Season, trend and rest of monthly values, with the season's strength."""
+    parts = sd.decomposed(_monthly(spark, sf_dir), ["asset"], "month", "value", 12, robust=2)
+    found = parts.join(sd.seasonal_strength(parts, ["asset"]), "asset")
+    return found.withColumn("month", F.col("month").cast("string"))

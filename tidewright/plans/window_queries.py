@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import episodes
-from ..operators.windows import Series, expanding_quantiles
+from ..operators.order_statistics import expanding_quantiles, rolling_share
+from ..operators.windows import Series
 from ..sources import adapters as a
 from .registry import query
 
@@ -107,7 +108,8 @@ def win09_rolling_sum(spark, sf_dir):
 SELECT x.asset, x.date, round(CASE WHEN count(*) >= 60 THEN sum(CASE WHEN y.value <= x.value THEN 1.0 ELSE 0.0 END) / 60 END, 6) AS share
 FROM n AS x JOIN n AS y ON x.asset = y.asset AND y.i BETWEEN x.i - 59 AND x.i GROUP BY x.asset, x.date"""))
 def win10_self_percentile(spark, sf_dir):
-    return a.daily_prices(spark, sf_dir).select("asset", "date", *_r(share=S.self_percentile("value", 60)))
+    p = rolling_share(a.daily_prices(spark, sf_dir), ["asset"], "date", "value", 60, "share")
+    return p.select("asset", "date", *_r(share=F.col("share")))
 
 
 @query(sql("p", f"SELECT asset, date, round((value - {_g('avg(value)', 252)}) / nullif({_g('stddev_pop(value)', 252)}, 0), 6) AS z FROM p"))
