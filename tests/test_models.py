@@ -694,3 +694,42 @@ def test_moving_shares_whatever_the_stretches(spark, most):
         v = own.sort_values("t")["v"].to_numpy()
         want = [np.nan if i < 20 or np.isnan(v[i - 20 : i + 1]).any() else (v[i - 20 : i + 1] <= v[i]).mean() for i in range(len(v))]
         assert np.allclose(got[got["k"] == k].sort_values("t")["share"].astype(float), want, equal_nan=True)
+
+
+# ---- folds -------------------------------------------------------------------
+
+
+def test_local_levels_whatever_the_cuts(spark):
+    from tidewright.operators.folds import gains, local_levels
+
+    rng = np.random.default_rng(4)
+    f = pd.concat([pd.DataFrame({"k": k, "t": range(n), "v": rng.normal(size=n).cumsum()}) for k, n in (("a", 500), ("b", 3))])
+    df = spark.createDataFrame(f)
+    for ratio, ranges in ((0.1, None), (0.1, 7), (0.0003, 7)):
+        got = local_levels(df, ["k"], "t", "v", ratio, ranges=ranges).toPandas()
+        for k, own in f.groupby("k"):
+            level, var, want = own["v"].iloc[0], 1.0, []
+            for v in own["v"]:
+                var += ratio
+                gain = var / (var + 1)
+                level, var = level + gain * (v - level), var * (1 - gain)
+                want.append(level)
+            assert np.allclose(got[got["k"] == k].sort_values("t")["level"], want, atol=1e-12)
+    assert np.array_equal(gains(0, 900, 0.1)[700:], gains(700, 200, 0.1))
+
+
+def test_a_walk_holds_one_state(spark):
+    from tidewright.operators.folds import walked
+
+    def step(state, row):
+        state[0] += 1
+        state[1] = state[1] * 0.5 + row[0]
+
+    rows = [("a", i, float(i)) for i in range(50)] + [(None, 1, 2.0), ("b", 0, None)]
+    df = spark.createDataFrame(rows, "k string, t int, v double").fillna(0.0, ["v"]).repartition(5)
+    got = {r["k"]: (r["n"], r["x"]) for r in walked(df, ["k"], ["t"], ["v"], lambda: [0, 0.0], step, "n long, x double").collect()}
+    x = 0.0
+    for i in range(50):
+        x = x * 0.5 + i
+    assert got == {"a": (50, x), None: (1, 2.0), "b": (1, 0.0)}
+    assert walked(df.limit(0), ["k"], ["t"], ["v"], lambda: [0, 0.0], step, "n long, x double").count() == 0

@@ -174,18 +174,6 @@ def quantile_line(x: np.ndarray, y: np.ndarray, q: float, rounds: int = 300) ->
     return float(coef[0]), float(coef[1])
 
 
-def local_level(y: np.ndarray, ratio: float) -> np.ndarray:
-    """Filtered level of a local-level model with a given signal-to-noise variance ratio."""
-    level, var, out = y[0], 1.0, np.empty(len(y))
-    for i, v in enumerate(y):
-        var += ratio
-        gain = var / (var + 1)
-        level += gain * (v - level)
-        var *= 1 - gain
-        out[i] = level
-    return out
-
-
 # ---- MLlib ------------------------------------------------------------------
 
 

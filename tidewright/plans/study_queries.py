@@ -10,6 +10,7 @@ from ..operators import aggregates as g
 from ..operators import models as m
 from ..operators import resampling as b
 from ..operators import significance as s
+from ..operators.folds import local_levels
 from ..operators.windows import Series
 from ..sources import adapters as a
 from .registry import query
@@ -183,12 +184,7 @@ SELECT asset, CAST(date AS VARCHAR) AS date, round(level, 6) AS level FROM f""")
 
 @query(LEVEL.replace("WITH", "WITH RECURSIVE", 1), dates="")
 def sta19_local_level(spark, sf_dir):
-    def run(frame):
-        frame = frame.sort_values("date", ignore_index=True)
-        return frame.assign(level=m.local_level(frame["value"].to_numpy(), 0.1))
-
-    p = a.daily_prices(spark, sf_dir)
-    found = p.groupBy("asset").applyInPandas(run, "asset string, date date, value double, level double")
+    found = local_levels(a.daily_prices(spark, sf_dir), ["asset"], "date", "value", 0.1)
     return found.select("asset", F.col("date").cast("string").alias("date"), F.round("level", 6).alias("level"))
 
 

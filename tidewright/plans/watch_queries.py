@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import signals as g
 from ..operators import ledger as l
+from ..operators.folds import walked
 from ..operators.joins import asof_join
 from ..operators.ranking import has_words
 from ..operators.windows import Series
@@ -270,24 +270,24 @@ l AS (SELECT user_id, max(i) AS n FROM ev GROUP BY 1) SELECT a.user_id, n, round
 def sta24_trading_account(spark, sf_dir):
     """Cash, units and mean cost of accounts that buy on clicks and sell all on refunds, folded in order.
 
-    An account is one user's events; accounts run in parallel.
+    What an event does depends on the cash so far, so an account is a walk; accounts run in parallel.
     """
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ts", "event_id"], ignore_index=True)
-        cash, units, cost, gain, out = 1000.0, 0.0, 0.0, 0.0, []
-        for side, price in zip(frame["side"], frame["price"]):
-            if side == "buy" and cash >= price:
-                cost = (cost * units + price) / (units + 1)
-                units, cash = units + 1, cash - price
-            elif side == "sell" and units:
-                gain += (price - cost) * units
-                cash, units, cost = cash + price * units, 0.0, 0.0
-        out.append((int(frame["user_id"].iloc[0]), len(frame), cash, units, cost, gain))
-        return pd.DataFrame(out, columns=["user_id", "n", "cash", "units", "mean_cost", "realised"])
+
+    def step(state: list, event: tuple) -> None:
+        n, cash, units, cost, gain = state
+        side, price = event
+        if side == "buy" and cash >= price:
+            cost = (cost * units + price) / (units + 1)
+            units, cash = units + 1, cash - price
+        elif side == "sell" and units:
+            gain += (price - cost) * units
+            cash, units, cost = cash + price * units, 0.0, 0.0
+        state[:] = n + 1, cash, units, cost, gain
 
     e = a.table(spark, sf_dir, "events").filter("value is not null")
-    e = e.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.when(F.col("event_id") % 5 == 0, "sell").otherwise("buy").alias("side"), (F.abs("value") + 1).alias("price"))
-    found = e.groupBy("user_id").applyInPandas(run, "user_id long, n long, cash double, units double, mean_cost double, realised double")
+    e = e.select(F.col("user_id").cast("long").alias("user_id"), "event_id", "ts", F.when(F.col("event_id") % 5 == 0, "sell").otherwise("buy").alias("side"), (F.abs("value") + 1).alias("price"))
+    fields = "n long, cash double, units double, mean_cost double, realised double"
+    found = walked(e, ["user_id"], ["ts", "event_id"], ["side", "price"], lambda: [0, 1000.0, 0.0, 0.0, 0.0], step, fields)
     return found.withColumns({c: F.round(c, 4) for c in ("cash", "mean_cost", "realised")})
 
 
