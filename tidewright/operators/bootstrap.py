@@ -87,6 +87,14 @@ def block_draws(df: DataFrame, keys: Sequence[str], order: Sequence[str], values
     return starts.join(sums.unionByName(whole), [*keys, "position"]).groupBy(*keys, "draw").agg(*[F.sum(v).alias(v) for v in values])
 
 
+def cluster_draws(df: DataFrame, keys: Sequence[str], cluster: str, values: Sequence[str], draws: int, seed: str) -> DataFrame:
+    """``keys, draw`` and the sums of the values over as many whole clusters, drawn with replacement, as a key has."""
+    keys = list(keys)
+    sums = positions(df.groupBy(*keys, cluster).agg(*[F.sum(v).alias(v) for v in values]), keys, [cluster])
+    picked = drawn(sums.groupBy(*keys).agg(F.count("*").alias("n")), keys, "n", draws, seed).withColumnRenamed("place", "position")
+    return picked.join(sums, [*keys, "position"]).groupBy(*keys, "draw").agg(*[F.sum(v).alias(v) for v in values])
+
+
 def intervals(draws: DataFrame, keys: Sequence[str], statistics: Sequence[str], level: float = 0.95) -> DataFrame:
     """``<statistic>_low, <statistic>_high`` by percentiles of the draws, and ``<statistic>_p``, twice the lesser share on either side of 0."""
     tail = (1 - level) / 2

@@ -19,8 +19,9 @@ from ..operators import seasonal as sd
 from ..operators import significance as s
 from ..operators.windows import Series
 from ..sources import adapters as a
+from .event_queries import CAR, _after, _states
 from .registry import query
-from .study_queries import _flags, _split
+from .study_queries import _flags, _split, _with_forward
 from .window_queries import RET, O, _returns, last
 
 S = Series(("asset",), "date")
@@ -309,3 +310,64 @@ def udf34_season(spark, sf_dir):
     parts = sd.decomposed(_monthly(spark, sf_dir), ["asset"], "month", "value", 12, robust=2)
     found = parts.join(sd.seasonal_strength(parts, ["asset"]), "asset")
     return found.withColumn("month", F.col("month").cast("string"))
+
+
+# ---- bootstraps whose draws are rows -----------------------------------------
+
+FORWARD = f"""{RET}, f AS (SELECT asset, date, r, lead(value, 5) {O} / value - 1 AS f FROM r), k AS (SELECT * FROM f WHERE f IS NOT NULL AND r IS NOT NULL)"""
+
+
+def _bands(names: str) -> str:
+    return ", ".join(f"round({n}, 6) AS {n}" for n in names.split())
+
+
+@query(sql("p", f"""{FORWARD}, q AS (SELECT asset, quantile_cont(r, 0.1) AS q FROM k GROUP BY 1), v AS (SELECT k.asset, date, CASE WHEN r <= q THEN 1.0 ELSE 0.0 END AS sel, CASE WHEN r <= q THEN f ELSE 0.0 END AS sy, f AS y FROM k JOIN q ON q.asset = k.asset),
+i AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY date) - 1 AS position, count(*) OVER (PARTITION BY asset) AS n FROM v), e AS (SELECT asset, sel, sy, y, position, n FROM i UNION ALL SELECT asset, sel, sy, y, position + n, n FROM i WHERE position < 19),
+c AS (SELECT * FROM (SELECT asset, position, n, sum(sel) OVER w AS sel, sum(sy) OVER w AS sy, sum(y) OVER w AS y, count(*) OVER w AS one FROM e WINDOW w AS (PARTITION BY asset ORDER BY position ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)) WHERE position < n),
+d AS ({bs.drawn_sql("SELECT DISTINCT asset, n FROM i", ["asset"], "ceil(n / 20.0)", 2000, "blocks")}), s AS (SELECT d.asset, draw, sum(sel) AS sel, sum(sy) AS sy, sum(y) AS y, sum(one) AS one FROM d JOIN c ON c.asset = d.asset AND c.position = d.place GROUP BY 1, 2),
+x AS (SELECT asset, sy / sel - y / one AS diff FROM s WHERE sel > 0), b AS ({bs.intervals_sql("x", ["asset"], ["diff"])}), o AS (SELECT asset, sum(sy) / sum(sel) - avg(y) AS diff FROM v GROUP BY 1)
+SELECT b.asset, draws, round(o.diff, 6) AS diff, {_bands('diff_low diff_high diff_p')} FROM b JOIN o ON o.asset = b.asset"""), dates="")
+def udf01_block_draws(spark, sf_dir):
+    """Forward returns after the worst tenth of days less those after all, 2,000 circular block draws."""
+    k = _with_forward(spark, sf_dir)
+    q = k.groupBy("asset").agg(F.percentile("r", F.lit(0.1)).alias("q"))
+    sel = (F.col("r") <= F.col("q")).cast("double")
+    v = k.join(q, "asset").select("asset", "date", sel.alias("sel"), F.when(F.col("r") <= F.col("q"), F.col("f")).otherwise(0.0).alias("sy"), F.col("f").alias("y"), F.lit(1).alias("one"))
+    draws = bs.block_draws(v, ["asset"], ["date"], ["sel", "sy", "y", "one"], 20, 2000, "blocks").filter("sel > 0")
+    found = bs.intervals(draws.withColumn("diff", F.col("sy") / F.col("sel") - F.col("y") / F.col("one")), ["asset"], ["diff"])
+    seen = v.groupBy("asset").agg((F.sum("sy") / F.sum("sel") - F.avg("y")).alias("diff"))
+    return found.join(seen, "asset").select("asset", "draws", *[F.round(c, 6).alias(c) for c in ("diff", "diff_low", "diff_high", "diff_p")])
+
+
+@query(sql("p", f"""{FORWARD}, c AS (SELECT asset, strftime(date, '%Y%m') AS cluster, sum(f) AS y, count(*) AS one FROM k GROUP BY 1, 2), i AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY cluster) - 1 AS position, count(*) OVER (PARTITION BY asset) AS n FROM c),
+d AS ({bs.drawn_sql("SELECT DISTINCT asset, n FROM i", ["asset"], "n", 2000, "clusters")}), x AS (SELECT d.asset, draw, sum(y) / sum(one) AS mean FROM d JOIN i ON i.asset = d.asset AND i.position = d.place GROUP BY 1, 2), b AS ({bs.intervals_sql("x", ["asset"], ["mean"])}),
+o AS (SELECT asset, sum(y) / sum(one) AS mean, count(*) AS clusters FROM c GROUP BY 1) SELECT b.asset, clusters, round(o.mean, 6) AS mean, {_bands('mean_low mean_high')} FROM b JOIN o ON o.asset = b.asset"""), dates="")
+def udf04_cluster_draws(spark, sf_dir):
+    """Mean forward return when whole months are drawn, 2,000 draws."""
+    v = _with_forward(spark, sf_dir).select("asset", F.date_format("date", "yyyyMM").alias("cluster"), F.col("f").alias("y"), F.lit(1).alias("one"))
+    draws = bs.cluster_draws(v, ["asset"], "cluster", ["y", "one"], 2000, "clusters")
+    found = bs.intervals(draws.withColumn("mean", F.col("y") / F.col("one")), ["asset"], ["mean"])
+    seen = v.groupBy("asset").agg(F.avg("y").alias("mean"), F.countDistinct("cluster").alias("clusters"))
+    return found.join(seen, "asset").select("asset", "clusters", *[F.round(c, 6).alias(c) for c in ("mean", "mean_low", "mean_high")])
+
+
+@query(sql("t ev", f"""{CAR}, v AS (SELECT year(event) AS year, event, car AS y, CASE WHEN car > 0 THEN 1.0 ELSE 0.0 END AS up FROM hit WHERE car IS NOT NULL), i AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY event) - 1 AS position, count(*) OVER (PARTITION BY year) AS n FROM v),
+d AS ({bs.drawn_sql("SELECT DISTINCT year, n FROM i", ["year"], "n", 500, "events")}), x AS (SELECT d.year, draw, avg(y) AS mean, avg(up) AS up FROM d JOIN i ON i.year = d.year AND i.position = d.place GROUP BY 1, 2), b AS ({bs.intervals_sql("x", ["year"], ["mean", "up"])}),
+o AS (SELECT year, avg(y) AS mean, avg(up) AS up, count(*) AS n FROM v GROUP BY 1) SELECT b.year, n, round(o.mean, 6) AS mean, {_bands('mean_low mean_high')}, round(o.up, 6) AS up, {_bands('up_low up_high')} FROM b JOIN o ON o.year = b.year"""), dates="")
+def udf05_event_draws(spark, sf_dir):
+    """Mean return after events and share of rising ones when events are drawn again, by year, 500 draws."""
+    v = _after(spark, sf_dir).select(F.year("event").cast("long").alias("year"), "event", F.col("car").alias("y"), (F.col("car") > 0).cast("double").alias("up"), F.lit(1).alias("one"))
+    draws = bs.cluster_draws(v, ["year"], "event", ["y", "up", "one"], 500, "events")
+    found = bs.intervals(draws.select("year", (F.col("y") / F.col("one")).alias("mean"), (F.col("up") / F.col("one")).alias("up")), ["year"], ["mean", "up"])
+    seen = v.groupBy("year").agg(F.avg("y").alias("mean"), F.avg("up").alias("up"), F.count("*").alias("n"))
+    return found.join(seen, "year").select("year", "n", *[F.round(c, 6).alias(c) for c in ("mean", "mean_low", "mean_high", "up", "up_low", "up_high")])
+
+
+@query(dates="")
+def udf07_area_draws(spark, sf_dir):
+    """Difference of two scores' areas with an interval, from weights of blocks of rows, by asset."""
+    rows = _states(spark, sf_dir)
+    one, two = (bs.area_draws(rows, ["asset"], ["date"], "y", x, 20, 1000, 7).select("asset", "draw", F.col("auc").alias(n)) for x, n in (("v", "short"), ("v60", "long")))
+    found = bs.intervals(one.join(two, ["asset", "draw"]).withColumn("diff", F.col("short") - F.col("long")).filter("diff is not null"), ["asset"], ["diff"])
+    seen = s.auc(rows, "v", "y", ["asset"]).select("asset", "auc", "n").join(s.auc(rows, "v60", "y", ["asset"]).select("asset", F.col("auc").alias("other")), "asset")
+    return found.join(seen.select("asset", "n", (F.col("auc") - F.col("other")).alias("diff")), "asset")
