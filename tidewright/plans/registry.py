@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 #: Modules of this package that register queries.
-MODULES = ["window_queries", "aggregate_queries", "join_queries", "state_queries", "study_queries", "stream_queries", "source_queries", "ledger_queries", "signal_queries", "discovery_queries", "event_queries", "watch_queries", "reader_queries", "model_queries"]
+MODULES = ["window_queries", "aggregate_queries", "join_queries", "state_queries", "study_queries", "stream_queries", "source_queries", "ledger_queries", "signal_queries", "discovery_queries", "event_queries", "watch_queries", "reader_queries", "model_queries", "report_queries"]
 
 
 def query(sql: str | None = None, dates: str = "date") -> Callable[[Query], Query]:
