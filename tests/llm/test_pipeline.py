@@ -23,7 +23,7 @@ def plain_score(text, model):
     buckets, weights, bias = sent.value
     weight = dict(zip(buckets.tolist(), weights.tolist()))
     chars, seen = [ord(c) for c in text.lower()], set()
-    for n in (4, 5):
+    for n in (4, 5, 6):
         for i in range(len(chars) - n + 1):
             h = n
             for c in chars[i : i + n]:

@@ -260,3 +260,27 @@ def test_cuts_follow_content():
     assert one[-1] == len(data) and all(64 <= b - a <= 4096 for a, b in zip([0, *one], one[:-1]))
     two = [x - 7 for x in cuts(b"1234567" + data, 64, 512, 4096)]
     assert len(set(one) & set(two)) > 0.9 * len(one)
+
+
+def test_a_weighted_fit_equals_repeated_rows():
+    from tidewright.llm.toxicity import fit_logistic
+
+    rng = np.random.default_rng(1)
+    lists = [np.flatnonzero(rng.random(30) < 0.2) for _ in range(80)]
+    y, counts, scale = (rng.random(80) < 0.4).astype(float), rng.integers(1, 5, 80), rng.normal(size=30)
+    one = fit_logistic(np.concatenate(lists), np.array([len(x) for x in lists]), y, scale, 1e-2, 4000, counts.astype(float))
+    many = [x for x, k in zip(lists, counts) for _ in range(k)]
+    two = fit_logistic(np.concatenate(many), np.array([len(x) for x in many]), np.repeat(y, counts), scale, 1e-2, 4000)
+    assert np.abs(one[0] - two[0]).max() < 1e-6 and abs(one[1] - two[1]) < 1e-6
+
+
+def test_a_rare_label_keeps_its_rows(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    rows = [(i, " ".join(rng.choices(words, k=12) + (["zorkvile"] if i % 20 == 0 else []))) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 20 == 0)) for i in range(3000)], "doc_id long, toxic int")
+    got = toxicity_scores(docs, fit_toxicity(docs, labels, fit_rows=300)).collect()
+    out = [(r["score"], r["doc_id"] % 20 == 0) for r in got if r["held_out"]]
+    assert all(p >= 0.7 for p, bad in out if bad) and all(p < 0.7 for p, bad in out if not bad)
+    assert sum(p for p, bad in out if not bad) / len(out) < 0.1

@@ -7,6 +7,7 @@ the class sizes so that an n-gram never seen weighs nothing.  A logistic
 regression with an L2 penalty is fitted on the features that tell the classes
 apart best; how many is chosen within the training rows, by learning from one
 part of them and taking the number with the least log loss on the other.
+(With all n-grams the loss is far larger: the ratios of rare ones are mostly noise.)
 
 Only the text enters a score.  Rows whose ``crc32`` of the id as text is 1
 modulo 3 are held out and never learned from.  Null and empty texts score what
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, slices, stored
 
-SIZES = (4, 5)
+SIZES = (4, 5, 6)
 
 
 @cache
@@ -90,17 +91,19 @@ def evidence(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarr
     return out
 
 
-def fit_logistic(cols: np.ndarray, sizes: np.ndarray, y: np.ndarray, scale: np.ndarray, penalty: float, steps: int):
+def fit_logistic(cols: np.ndarray, sizes: np.ndarray, y: np.ndarray, scale: np.ndarray, penalty: float, steps: int, counts: np.ndarray | None = None):
     """Weights and bias of an L2-penalised logistic regression, by accelerated gradient steps.
 
     ``cols`` lists the columns present in each row, ``sizes`` how many each row
-    has; column j has value scale[j].
+    has; column j has value scale[j].  ``counts`` says how many rows each stands for.
     """
     of = np.repeat(np.arange(len(sizes)), sizes)
-    values, n, d = scale[cols], len(sizes), len(scale)
+    values, rows, d = scale[cols], len(sizes), len(scale)
+    counts = np.ones(rows) if counts is None else counts
+    n = counts.sum()
 
     def ahead(w):
-        return np.bincount(of, w[cols] * values, n)
+        return np.bincount(of, w[cols] * values, rows)
 
     def back(g):
         return np.bincount(cols, g[of] * values, d)
@@ -108,32 +111,33 @@ def fit_logistic(cols: np.ndarray, sizes: np.ndarray, y: np.ndarray, scale: np.n
     v = np.ones(d) / max(d, 1) ** 0.5
     top = 1.0
     for _ in range(20):  # largest eigenvalue of X'X / n by power iteration
-        v = back(ahead(v)) / n
+        v = back(counts * ahead(v)) / n
         top = float(np.linalg.norm(v)) or 1.0
         v /= top
     rate = 1 / (0.25 * (top * 1.1 + 1) + penalty)
-    w, b = np.zeros(d), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
+    ones = float((counts * y).sum())
+    w, b = np.zeros(d), float(np.log((ones + 0.5) / (n - ones + 0.5)))
     w_old, b_old = w, b
     for k in range(steps):
         m = k / (k + 3)
         wm, bm = w + m * (w - w_old), b + m * (b - b_old)
-        g = 1 / (1 + np.exp(-np.clip(ahead(wm) + bm, -40, 40))) - y
+        g = counts * (1 / (1 + np.exp(-np.clip(ahead(wm) + bm, -40, 40))) - y)
         w_old, b_old = w, b
-        w, b = wm - rate * (back(g) / n + penalty * wm), bm - rate * float(g.mean())
+        w, b = wm - rate * (back(g) / n + penalty * wm), bm - rate * float(g.sum() / n)
     return w, b
 
 
 class Rows:
-    """Sampled rows as lists of ranked features: rank 0 tells the classes apart best."""
+    """Sampled rows as lists of ranked features (rank 0 tells the classes apart best), and how many rows each stands for."""
 
-    def __init__(self, cols: np.ndarray, sizes: np.ndarray, y: np.ndarray):
-        self.cols, self.of, self.y = cols, np.repeat(np.arange(len(sizes)), sizes), y
+    def __init__(self, cols: np.ndarray, sizes: np.ndarray, y: np.ndarray, counts: np.ndarray):
+        self.cols, self.of, self.y, self.counts = cols, np.repeat(np.arange(len(sizes)), sizes), y, counts
 
-    def part(self, rows: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Feature lists of the rows marked, with the ``best`` first features only."""
+    def part(self, rows: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Feature lists, labels and counts of the rows marked, with the ``best`` first features only."""
         keep = rows[self.of] & (self.cols < best)
         sizes = np.bincount(self.of[keep], minlength=len(rows))[rows]
-        return self.cols[keep], sizes, self.y[rows]
+        return self.cols[keep], sizes, self.y[rows], self.counts[rows]
 
 
 def log_ratio(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int, smoothing: float) -> np.ndarray:
@@ -148,11 +152,11 @@ def chosen_number(rows: Rows, inner: np.ndarray, ratio: np.ndarray, numbers: lis
     """
     found = []
     for k in numbers:
-        cols, sizes, y = rows.part(inner, k)
-        w, b = fit_logistic(cols, sizes, y, ratio[:k], penalty, steps)
-        cols, sizes, y = rows.part(~inner, k)
+        cols, sizes, y, counts = rows.part(inner, k)
+        w, b = fit_logistic(cols, sizes, y, ratio[:k], penalty, steps, counts)
+        cols, sizes, y, counts = rows.part(~inner, k)
         z = np.bincount(np.repeat(np.arange(len(sizes)), sizes), (w * ratio[:k])[cols], len(sizes)) + b
-        found.append((float(np.mean(np.logaddexp(0, z) - y * z)), k))
+        found.append((float(np.average(np.logaddexp(0, z) - y * z, weights=counts)), k))
     return min(found)[1]
 
 
@@ -190,8 +194,10 @@ def fit_toxicity(
     """Learn from all labelled rows that aren't held out; returns (bits, broadcast model).
 
     The log-count ratios use every such row.  Only the weights are fitted, and
-    one of the numbers of features in ``columns`` is chosen, on a sample: about
-    ``fit_rows`` rows picked by a hash of the id.  The driver holds 2**bits counts
+    one of the numbers of features in ``columns`` is chosen, on a sample: of each
+    label about half of ``fit_rows`` rows, picked by a hash of the id, or all where
+    there are fewer, so that a rare label keeps its rows; a row counts as often as
+    it stands for others.  The driver holds 2**bits counts
     and the features of that sample.  If a part lacks a class, the third number
     (or the last, if there are fewer) is taken.
     """
@@ -224,8 +230,9 @@ def fit_toxicity(
     if selectable:
         by_inner = np.lexsort((bucket, -evidence(i1, i0, m1, m0)))[: numbers[-1]]
         wanted = np.union1d(best, by_inner)
-    share = min(1.0, fit_rows / (n1 + n0))
-    sample = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    share = [min(1.0, fit_rows / 2 / n) for n in (n0, n1)]
+    limit = F.when(F.col("label") == 1, F.lit(int(share[1] * 1_000_000))).otherwise(F.lit(int(share[0] * 1_000_000)))
+    sample = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < limit)
     sent = spark.sparkContext.broadcast(np.sort(bucket[wanted]))
     rows = sample.select("label", "inner", "text").mapInArrow(partial(_rows, bits=bits, chosen=sent), "label int, inner boolean, x array<int>")
     rows = rows.toArrow()
@@ -234,6 +241,7 @@ def fit_toxicity(
     flat = np.concatenate([c.flatten().to_numpy() for c in lists] or [np.zeros(0, np.int32)])
     sizes = np.concatenate([c.value_lengths().to_numpy() for c in lists] or [np.zeros(0, np.int32)]).astype(np.int64)
     y = rows["label"].to_numpy().astype(np.float64)
+    stands = np.where(y == 1, 1 / share[1], 1 / share[0])
 
     def ranked(by: np.ndarray) -> np.ndarray:
         """For each bucket sent, its rank in an order of places; those not in it last."""
@@ -244,11 +252,11 @@ def fit_toxicity(
     number = numbers[min(2, len(numbers) - 1)]
     if selectable:
         ratio = log_ratio(i1[by_inner], i0[by_inner], m1, m0, smoothing)
-        number = chosen_number(Rows(ranked(by_inner), sizes, y), rows["inner"].to_numpy().astype(bool), ratio, numbers, penalty, steps)
+        number = chosen_number(Rows(ranked(by_inner), sizes, y, stands), rows["inner"].to_numpy().astype(bool), ratio, numbers, penalty, steps)
     best = best[:number]
     ratio = log_ratio(c1[best], c0[best], n1, n0, smoothing)
-    cols, sizes, y = Rows(ranked(best), sizes, y).part(np.ones(len(y), bool), number)
-    w, b = fit_logistic(cols, sizes, y, ratio, penalty, steps)
+    cols, sizes, y, counts = Rows(ranked(best), sizes, y, stands).part(np.ones(len(y), bool), number)
+    w, b = fit_logistic(cols, sizes, y, ratio, penalty, steps, counts)
     return bits, spark.sparkContext.broadcast((bucket[best], w * ratio, b))
 
 
