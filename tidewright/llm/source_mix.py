@@ -149,22 +149,24 @@ def mix_sources(
     schema = "sources array<string>, source_size long, target double, whole long, rest long"
     plan = spark.createDataFrame(plan, schema)
 
-    # The hash range in which each pattern's seeded order ends.
-    place = F.conv(F.substring("at", 1, 3), 16, 10).cast("int")
     # At most ``most_patterns`` rows go to all tasks, so no source is gathered for a join.
-    rows = rows.join(F.broadcast(plan), "sources").withColumn("range", place)
-    sums = rows.groupBy("sources", "range", "rest").agg(F.sum("size").alias("words"))
-    before = F.sum("words").over(Window.partitionBy("sources").orderBy("range")) - F.col("words")
-    sums = sums.withColumn("before", before)
-    last = sums.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
-    last = last.select("sources", F.col("range").alias("last"), "before")
-    rows = rows.join(F.broadcast(last), "sources", "left").withColumn("last", F.coalesce("last", F.lit(-1)))
-    inside = F.col("range") == F.col("last")
+    inside, decided = rows.join(F.broadcast(plan), "sources").withColumn("base", F.lit(0).cast("long")), []
+    # The hash range in which each pattern's seeded order ends, and the range within it: what is left to sort is
+    # one in 16 million of a source.
+    for digit in (1, 4):
+        inside = inside.withColumn("range", F.conv(F.substring("at", digit, 3), 16, 10).cast("int"))
+        sums = inside.groupBy("sources", "range", "rest", "base").agg(F.sum("size").alias("words"))
+        before = F.col("base") + F.sum("words").over(Window.partitionBy("sources").orderBy("range")) - F.col("words")
+        last = sums.withColumn("before", before).filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
+        last = last.select("sources", F.col("range").alias("last"), "before")
+        found = inside.join(F.broadcast(last), "sources", "left").withColumn("last", F.coalesce("last", F.lit(-1)))
+        part = F.when(F.col("range") < F.col("last"), F.col("size")).otherwise(0)
+        decided.append(found.filter(F.col("range") != F.col("last")).withColumn("part", part).drop("base", "range", "last", "before"))
+        inside = found.filter(F.col("range") == F.col("last")).drop("base", "range", "last").withColumnRenamed("before", "base")
     order = Window.partitionBy("sources").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    ending = rows.filter(inside).withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    part = F.least("size", F.greatest(F.col("rest") - F.col("before"), F.lit(0)))
-    rest = rows.filter(~inside).withColumn("part", F.when(F.col("range") < F.col("last"), F.col("size")).otherwise(0))
-    rows = rest.unionByName(ending.withColumn("part", part))
+    before = F.col("base") + F.coalesce(F.sum("size").over(order), F.lit(0))
+    ending = inside.withColumn("part", F.least("size", F.greatest(F.col("rest") - before, F.lit(0)))).drop("base")
+    rows = ending.unionByName(decided[0]).unionByName(decided[1])
     rows = rows.withColumn("taken", F.col("whole") * F.col("size") + F.col("part"))
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     return rows.select("doc_id", "size", "source_size", "target", "taken", copies.alias("copies"), "sources", *keep)
