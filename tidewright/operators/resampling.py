@@ -27,7 +27,7 @@ def chunks(draws: int, rows: int, most: int = 1 << 21) -> list[tuple[int, int]]:
     return [(at, min(at + step, draws)) for at in range(0, draws, step)]
 
 
-def block_bootstrap(sel: np.ndarray, y: np.ndarray, block: int, draws: int, seed: int, least: int = 10) -> dict:
+def block_bootstrap(sel: np.ndarray, y: np.ndarray, block: int, draws: int, seed: int, least: int = 1) -> dict:
     """Mean of a subset less the mean of all, with a circular block bootstrap.
 
     A subset of fewer than ``least`` rows has no result.  Draws in which the subset is empty are dropped.  The p-value is two-sided:
