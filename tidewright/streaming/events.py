@@ -108,3 +108,56 @@ def armed_alerts(events: DataFrame, high: float, low: float) -> DataFrame:
 
     schema = "event_type string, event_id long, value double"
     return events.groupBy("event_type").applyInPandasWithState(step, schema, "armed boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def _in_order(events: DataFrame, key: str, value: str, start, step, out_schema: str, late: str) -> DataFrame:
+    """A walk over each key's rows in time order, whatever the batches they come in.
+
+    Rows wait in the key's state until the watermark passes them, so one that is late
+    by less than ``late`` takes its place; one that is later is dropped.  What waits
+    is a key's rows of the last ``late``; a key without waiting rows keeps one value.
+    ``start`` is that value at first, ``step`` takes it and a row's to the next and
+    says whether to report the row.
+    """
+    kind = events.schema[value].dataType.simpleString()
+    names = [f.split()[0] for f in out_schema.split(", ")]
+
+    def run(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        was, times, ids, values = state.get if state.exists else (start, [], [], [])
+        waiting = list(zip(times, ids, values))
+        for frame in frames:
+            waiting += zip(frame["_ms"].tolist(), frame["event_id"].tolist(), frame[value].tolist())
+        waiting.sort(key=lambda r: r[:2])
+        passed, out = state.getCurrentWatermarkMs(), []
+        while waiting and waiting[0][0] <= passed * 1000:
+            _, event, x = waiting.pop(0)
+            now, told = step(was, x)
+            if told:
+                out.append((keys[0], event, was, x)[: len(names)] if len(names) == 4 else (keys[0], event, x))
+            was = now
+        state.update((was, *([r[i] for r in waiting] for i in range(3))))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000 + 1, passed + 1))
+        yield pd.DataFrame(out, columns=names)
+
+    first = {str: "string", bool: "boolean"}.get(type(start), "string")
+    rows = events.withWatermark("ts", late).withColumn("_ms", F.unix_micros("ts"))
+    schema = f"was {first}, times array<long>, ids array<long>, kept array<{kind}>"
+    return rows.groupBy(key).applyInPandasWithState(run, out_schema, schema, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def ordered_transitions(events: DataFrame, late: str = "2 hours") -> DataFrame:
+    """:func:`transitions` for rows that come late over several batches; rows newer than the watermark are still to come."""
+    step = lambda was, kind: (kind, was is not None and kind != was)
+    return _in_order(events, "user_id", "event_type", None, step, "user_id long, event_id long, was string, now string", late)
+
+
+def ordered_alerts(events: DataFrame, high: float, low: float, late: str = "2 hours") -> DataFrame:
+    """:func:`armed_alerts` for rows that come late over several batches."""
+
+    def step(armed: bool, value: float) -> tuple[bool, bool]:
+        if armed and value >= high:
+            return False, True
+        return armed or value <= low, False
+
+    return _in_order(events, "event_type", "value", True, step, "event_type string, event_id long, value double", late)
