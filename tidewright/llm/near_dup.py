@@ -71,7 +71,7 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 class Words(dict):
     """Numbers of words seen of late, and a keyed 128-bit digest of each as two integers."""
 
-    def __init__(self, key: bytes, limit: int = 500_000):
+    def __init__(self, key: bytes, limit: int = 100_000):
         self.key, self.limit, self.digests = key, limit, np.zeros((4096, 2), np.uint64)
 
     def __missing__(self, word: bytes) -> int:
