@@ -324,7 +324,7 @@ def write_ids(
 ) -> None:
     """Encode every whole text and write its ids, in document order, to ``folder``.
 
-    Rows that share an id are in order of a hash of their texts.
+    Rows that share an id stand in any order.
 
     One range shuffle of the texts orders them.  The driver holds code lengths
     (as many as the vocabulary has ids) and one count per partition.
@@ -334,7 +334,7 @@ def write_ids(
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Rows of one id may fill several ranges, by their text's hash; so may equal rows, by where they were read.
     place = [F.col("doc_id"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row")]
-    ordered = rows.select("text", *place).repartitionByRange(tasks, "doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "row")
+    ordered = rows.select("text", *place).repartitionByRange(tasks, "doc_id", "hash", "row").sortWithinPartitions("doc_id")
     ordered = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text")
     raw = ordered.mapInArrow(partial(_tokenized, path=vocabulary, end_id=end_id, block_ids=block_ids), RAW)
     raw = stored(raw, "ids")
