@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import signals as g
-from ..operators import ledger as l
 from ..operators.folds import walked
 from ..operators.joins import asof_join
 from ..operators.ranking import has_words
@@ -379,7 +378,9 @@ def q56_alerts(spark, sf_dir):
     """Zone changes of every asset and whether its series has gone stale."""
     r = F.col("r")
     z = _returns(spark, sf_dir).withColumn("zone", F.when(r > 0.5, "high").when(r < -0.3, "low").when(r.isNotNull(), "mid")).filter("zone is not null").select("asset", "date", "zone")
-    turns = l.transitions(z, ["asset"], ["date"], "zone").groupBy("asset").agg(F.count("*").alias("changes"), F.count(F.when(F.col("zone") == "low", 1)).alias("to_low"), F.max("date").alias("latest"))
+    # An asset that never leaves its zone has no changes, but a row.
+    turn = S.lagged("zone") != F.col("zone")
+    turns = z.withColumn("turn", turn).groupBy("asset").agg(F.count_if("turn").alias("changes"), F.count_if(F.col("turn") & (F.col("zone") == "low")).alias("to_low"), F.max(F.when(F.col("turn"), F.col("date"))).alias("latest"))
     days = a.daily_prices(spark, sf_dir).groupBy("asset").agg(F.max("date").alias("last"))
     today = days.agg(F.max("last").alias("today"))
     return days.join(today).join(turns, "asset").select("asset", "changes", "to_low", "latest", (F.datediff("today", "last") > 5).alias("stale"))
