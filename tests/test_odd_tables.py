@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidewright.plans import registry, workers
+from tidewright.plans import registry, watch_queries, workers
 
 from .test_registered_queries import plain
 
@@ -37,3 +37,20 @@ def test_alerts_of_series_that_never_leave_their_zone(spark, tmp_path, quiet):
     got, want = rows(spark, tmp_path, "q56_alerts", orders=orders(30, lambda k, d: 1000.0 if k in quiet else 1000.0 + 900 * (d % 3)))
     assert len(want) == 2
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["q42_follow", "sta21_aftermath"])
+def test_asof_joins_see_each_day_once(spark, tmp_path, monkeypatch, name):
+    """However many rows a day has, the ordered streams of the as-of joins hold a priority's days."""
+    seen, join = [], watch_queries.asof_join
+
+    def counted(left, *rest):
+        seen.append(left.count())
+        return join(left, *rest)
+
+    monkeypatch.setattr(watch_queries, "asof_join", counted)
+    frame = pd.concat([orders(80, lambda k, d: 300_000.0 + 1000 * k + 700 * (d % 9))] * 60, ignore_index=True)
+    frame = frame.assign(o_orderkey=range(len(frame)), o_custkey=[i % 2000 for i in range(len(frame))], o_orderstatus=["FPO"[i % 3] for i in range(len(frame))])
+    got, want = rows(spark, tmp_path, name, orders=frame)
+    assert got == want and want
+    assert seen and max(seen) <= 5 * 80

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions import signals as g
 from ..operators.folds import walked
-from ..operators.joins import asof_join
+from ..operators.joins import asof_join, by_instant
 from ..operators.ranking import has_words
 from ..operators.windows import Series
 from ..sources import adapters as a
@@ -160,11 +160,15 @@ def q42_follow(spark, sf_dir):
     p, t = a.daily_prices(spark, sf_dir), a.daily_total(spark, sf_dir)
     end = p.agg(F.max("date").alias("end"))
     o = o.join(end).filter("due <= end").drop("end")  # one row
-    x = asof_join(o, p.select("asset", F.col("date").alias("d"), F.col("value").alias("v")), "filed", "d", ["asset"], "forward").withColumn("entry", F.col("matched.v")).withColumn("entry_day", F.col("matched.d")).drop("matched").filter("entry is not null")
-    x = asof_join(x, p.select("asset", F.col("date").alias("d"), F.col("value").alias("v")), "due", "d", ["asset"]).withColumn("exit", F.col("matched.v")).drop("matched")
-    m = t.select(F.col("date").alias("d"), F.col("value").alias("v"))
-    x = asof_join(x, m, "entry_day", "d").withColumn("bench_in", F.col("matched.v")).drop("matched")
-    x = asof_join(x, m, "due", "d").withColumn("bench_out", F.col("matched.v")).drop("matched")
+    prices, m = p.select("asset", F.col("date").alias("d"), F.col("value").alias("v")), t.select(F.col("date").alias("d"), F.col("value").alias("v"))
+
+    def priced(days):
+        x = asof_join(days, prices, "filed", "d", ["asset"], "forward").withColumn("entry", F.col("matched.v")).withColumn("entry_day", F.col("matched.d")).drop("matched").filter("entry is not null")
+        x = asof_join(x, prices, "due", "d", ["asset"]).withColumn("exit", F.col("matched.v")).drop("matched")
+        x = asof_join(x, m, "entry_day", "d").withColumn("bench_in", F.col("matched.v")).drop("matched")
+        return asof_join(x, m, "due", "d").withColumn("bench_out", F.col("matched.v")).drop("matched")
+
+    x = by_instant(o, ["asset", "filed", "due"], priced)
     ret = F.col("exit") / F.col("entry") - 1
     x = x.withColumn("ret", ret).withColumn("excess", ret - (F.col("bench_out") / F.col("bench_in") - 1)).groupBy("asset")
     return x.agg(F.count("*").alias("n"), F.countDistinct("owner").alias("owners"), *_r(ret=F.avg("ret"), excess=F.avg("excess"), beat=F.avg((F.col("excess") > 0).cast("double"))))
@@ -320,10 +324,14 @@ def sta21_aftermath(spark, sf_dir):
     names = F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")))
     listed = _stages(spark, sf_dir).filter("stage = 'listed'").groupBy("cik").agg(F.min("date").alias("first_seen")).withColumn("asset", F.get(names, (F.col("cik") % 5).cast("int")))
     p = a.daily_prices(spark, sf_dir).withColumns({f"v{h}": F.lead("value", h).over(S.ordered) for h in (1, 5, 20)}).withColumn("end", F.lead("date", 20).over(S.ordered))
-    x = asof_join(listed, p, "first_seen", "date", ["asset"], "forward").select("cik", "asset", "matched.*").filter("value is not null")
     t = a.daily_total(spark, sf_dir).select(F.col("date").alias("d"), F.col("value").alias("m"))
-    x = asof_join(x, t, "date", "d").withColumn("b0", F.col("matched.m")).drop("matched")
-    x = asof_join(x, t, "end", "d").withColumn("b1", F.col("matched.m"))
+
+    def priced(days):
+        x = asof_join(days, p, "first_seen", "date", ["asset"], "forward").select("asset", "first_seen", "matched.*").filter("value is not null")
+        x = asof_join(x, t, "date", "d").withColumn("b0", F.col("matched.m")).drop("matched")
+        return asof_join(x, t, "end", "d").withColumn("b1", F.col("matched.m")).drop("matched")
+
+    x = by_instant(listed, ["asset", "first_seen"], priced)
     rise = {f"d{h}": F.col(f"v{h}") / F.col("value") - 1 for h in (1, 5, 20)}
     over = F.col("v20") / F.col("value") - F.col("b1") / F.col("b0")
     return x.select("cik", "asset", "date", *_r(**rise, over_market=over), F.when(F.col("v20").isNotNull(), "complete").otherwise("open").alias("state"))
