@@ -8,8 +8,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -90,24 +94,77 @@ def transitions(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, schema, "was string", "append", GroupStateTimeout.NoTimeout)
 
 
-def armed_alerts(events: DataFrame, high: float, low: float) -> DataFrame:
-    """An alert when a type's value reaches ``high``; the next only after one at or under ``low``."""
+#: ``event_id`` as text: pandas would round longs beside nulls.
+CHUNKS = pa.schema({"event_type": pa.string(), "chunk": pa.int64(), "given": pa.bool_(), "event_id": pa.string(), "value": pa.float64(), "if_armed": pa.bool_(), "if_not": pa.bool_()})
+
+
+def _chunk_alerts(batches: Iterator[pa.RecordBatch], high: float, low: float) -> Iterator[pa.RecordBatch]:
+    """What the rows of each type and chunk of time do, whatever they start from.
+
+    A row with ``given`` is an alert if the chunk starts so, one without in any
+    case; a chunk's last row has no ``value`` and tells what each start ends in.
+    """
+    keys, kept, most = {}, [], np.iinfo(np.int64).max
+    for batch in batches:
+        kind, chunk, micros, event, value = batch.columns
+        x = value.to_numpy(zero_copy_only=False)
+        told = np.flatnonzero((x >= high) | (x <= low))
+        kind, chunk, micros, event = (c.take(pa.array(told)) for c in (kind, chunk, micros, event))
+        codes = [keys.setdefault(k, len(keys)) for k in zip(kind.to_pylist(), chunk.to_pylist())]
+        ids, times = (pc.fill_null(c, most).to_numpy() for c in (event, micros))  # nulls come last
+        kept.append((np.array(codes, np.int64), times, ids, event.is_null().to_numpy(zero_copy_only=False), x[told]))
+    if not keys:
+        return
+    code, times, ids, lacking, x = map(np.concatenate, zip(*kept))
+    order = np.lexsort((lacking, ids, times, code))
+    code, ids, lacking, x = code[order], ids[order], lacking[order], x[order]
+    names, out = list(keys), []
+    starts = np.flatnonzero(np.diff(code, prepend=-1)).tolist()
+    for at, to in zip(starts, [*starts[1:], len(code)]):
+        name = names[code[at]]
+        now = {True: True, False: False}  # whether armed, by what the chunk starts from
+        for event, no_id, v in zip(ids[at:to].tolist(), lacking[at:to].tolist(), x[at:to].tolist()):
+            told = [start for start, armed in now.items() if armed and v >= high]
+            if told:
+                out.append((*name, told[0] if len(told) == 1 else None, None if no_id else str(event), v, None, None))
+            now = {start: start not in told and (armed or v <= low) for start, armed in now.items()}
+        out.append((*name, None, None, None, now[True], now[False]))
+        if len(out) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), CHUNKS)], schema=CHUNKS)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), CHUNKS)], schema=CHUNKS)
+
+
+def armed_alerts(events: DataFrame, high: float, low: float, seconds: int = 3600) -> DataFrame:
+    """An alert when a type's value reaches ``high``; the next only after one at or under ``low``.
+
+    Rows of one batch are put in time order, by chunks of so many seconds: each is
+    walked on its own from both states, so that its alerts after a row at or under
+    ``low`` are certain.  A type's step passes these on as they come and holds two
+    rows a chunk, however many events a chunk has.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        armed = state.get[0] if state.exists else True
+        armed, held, told = state.get[0] if state.exists else True, [], ["event_type", "event_id", "value"]
+        for frame in frames:
+            certain = frame["given"].isna() & frame["value"].notna()
+            if certain.any():
+                yield frame.loc[certain, told]
+            held.append(frame[~certain])
         out = []
-        for event, value in zip(rows["event_id"], rows["value"]):
-            if armed and value >= high:
-                out.append((key[0], event, value))
-                armed = False
-            elif value <= low:
-                armed = True
+        for _, rows in pd.concat(held).groupby("chunk", dropna=False):
+            out.append(rows.loc[rows["given"] == armed, told])
+            armed = bool(rows.loc[rows["value"].isna(), "if_armed" if armed else "if_not"].iloc[0])
         state.update((armed,))
-        yield pd.DataFrame(out, columns=["event_type", "event_id", "value"])
-
-    schema = "event_type string, event_id long, value double"
-    return events.groupBy("event_type").applyInPandasWithState(step, schema, "armed boolean", "append", GroupStateTimeout.NoTimeout)
+        yield pd.concat(out)
+
+    rows = events.withColumn("_us", F.unix_micros("ts")).withColumn("_chunk", F.expr(f"_us div {seconds * 1_000_000}"))
+    rows = rows.select("event_type", "_chunk", "_us", F.col("event_id").cast("long"), F.col("value").cast("double")).repartition("event_type", "_chunk")
+    fields = "event_type string, chunk long, given boolean, event_id string, value double, if_armed boolean, if_not boolean"
+    chunks = rows.mapInArrow(partial(_chunk_alerts, high=high, low=low), fields).groupBy("event_type")
+    found = chunks.applyInPandasWithState(step, "event_type string, event_id string, value double", "armed boolean", "append", GroupStateTimeout.NoTimeout)
+    return found.withColumn("event_id", F.col("event_id").cast("long"))
 
 
 def _in_order(events: DataFrame, key: str, value: str, start, step, out_schema: str, late: str) -> DataFrame:
