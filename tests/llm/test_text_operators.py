@@ -11,11 +11,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from tidewright.llm.id_files import code_lengths, crc_of_joined, read_ids, write_ids
+from tidewright.llm.id_files import LibraryEncoder, code_lengths, crc_of_joined, read_ids, write_ids
 from tidewright.llm.media_store import cuts, media_round_trip
 from tidewright.llm.secret_scan import redacted, scan, secret_spans
 from tidewright.llm.token_counts import token_counts
@@ -284,3 +285,15 @@ def test_a_rare_label_keeps_its_rows(spark):
     out = [(r["score"], r["doc_id"] % 20 == 0) for r in got if r["held_out"]]
     assert all(p >= 0.7 for p, bad in out if bad) and all(p < 0.7 for p, bad in out if not bad)
     assert sum(p for p, bad in out if not bad) / len(out) < 0.1
+
+
+def test_runs_of_plain_and_accented_words_encode_as_the_library_does():
+    """More than one run of each kind, texts without units between, and a batch of empty texts alone."""
+    path = P.path("byte_bpe_50k.json")
+    enc = LibraryEncoder(path)
+    words = [f"{'aeiou'[i % 5]}{'brst'[i % 4]}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(1300)]
+    words = [w + "éßøÿ"[i % 4] if i % 3 == 0 else w for i, w in enumerate(words)]
+    texts = [" ".join(words), "", " ", "é", "x, y; Ærø! z\n\nq", " ".join(reversed(words))]
+    for part in (texts, ["", ""], []):
+        found = enc.encode(pa.array(part, pa.string())) if part else []
+        assert [x.tolist() for x in found] == [enc.lib.encode(t, add_special_tokens=False).ids for t in part]

@@ -64,7 +64,8 @@ class LibraryEncoder:
         self.word_lib = Tokenizer.from_file(path)
         self.word_lib.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         spelling = byte_spelling()
-        self.space, self.spelling = spelling[32], {i: c for i, c in enumerate(spelling) if c != chr(i)}
+        # Plain words hold no line feed, so it stays to part them.
+        self.space, self.spelling = spelling[32], {i: c for i, c in enumerate(spelling) if c != chr(i) and i != 10}
         self.cache = UnitCache(self.units, 500_000)
 
     def cut(self, encodings: list, sizes: list[np.ndarray]) -> list[bytes]:
@@ -83,10 +84,13 @@ class LibraryEncoder:
     def encoded_words(self, words: list[str]) -> list[bytes]:
         """Ids of words with a space in front, 500 at a time."""
         runs = [words[i : i + 500] for i in range(0, len(words), 500)]
-        spelled = [[w if w.isascii() else w.encode().decode("latin-1").translate(self.spelling) for w in run] for run in runs]
-        joined = ["\n".join([self.space + w for w in run]) for run in spelled]
-        found = self.word_lib.encode_batch_fast(joined, add_special_tokens=False)
-        return self.cut(found, [np.array([len(w) + 1 for w in run]) for run in spelled])
+        joined = ["\n".join([self.space + w for w in run]) for run in runs]
+        sizes = [np.array([len(w) + 1 for w in run]) for run in runs]
+        for i, run in enumerate(runs):
+            if not "".join(run).isascii():
+                spelled = "\n".join([" " + w for w in run]).encode().decode("latin-1").translate(self.spelling)
+                joined[i], sizes[i] = spelled, np.array([len(w) for w in spelled.split("\n")])
+        return self.cut(self.word_lib.encode_batch_fast(joined, add_special_tokens=False), sizes)
 
     def joined(self, texts: list[str]) -> list[bytes]:
         """Ids of stretches that each begin with a space and don't end in white space."""
@@ -100,9 +104,15 @@ class LibraryEncoder:
 
     def units(self, texts: list[str]) -> list[bytes]:
         """Ids of units: plain words, other stretches within texts, what stands apart."""
-        words, inner, marked = [], [], []
+        words, others, inner, marked = [], [], [], []
         for t in texts:
-            (marked if t[0] == " " else words if self.plain and PLAIN_WORD(t) else inner).append(t)
+            if t[0] == " ":
+                marked.append(t)
+            elif not (self.plain and PLAIN_WORD(t)):
+                inner.append(t)
+            else:
+                (words if t.isascii() else others).append(t)
+        words += others  # apart, so that few runs need another spelling
         found = dict(zip(words, self.encoded_words(words)))
         found.update(zip(inner, self.joined(list(map(uncut, inner)))))
         found.update(zip(marked, self.apart(list(map(uncut, marked)))))

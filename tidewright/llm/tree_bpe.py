@@ -154,7 +154,8 @@ def unit_codes(texts: pa.Array, alone: tuple[str, ...] = ()) -> tuple[list[str],
     is_word = parts.is_valid()
     words = pc.if_else(is_word, parts.field(0), flat.dictionary).dictionary_encode()
     signs = pc.if_else(is_word, parts.field(1), "").dictionary_encode()
-    units = [u or " " for u in words.dictionary.to_pylist()]  # nothing: a text that begins with a space
+    units = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+    units = [u or " " for u in units]  # nothing: a text that begins with a space
     at = flat.indices.to_numpy()
     codes = np.empty((len(at), 2), np.int64)
     codes[:, 0] = words.indices.to_numpy()[at]
@@ -183,10 +184,10 @@ def unit_ids(texts: pa.Array, known: UnitCache, alone: tuple[str, ...] = ()) ->
     """Ids of many texts on end, and their number per text; ``known`` gives a unit's ids as bytes."""
     units, codes, n = unit_codes(texts, alone)
     held = known.ready(units)
-    parts = list(map(held.__getitem__, units))
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-    ids = gathered(codes, np.cumsum(lengths) - lengths, lengths, np.frombuffer(b"".join(parts), "<u4"))
-    ends = np.concatenate([[0], np.cumsum(lengths[codes])])
+    parts = pa.array(list(map(held.__getitem__, units)), pa.large_binary()).take(pa.array(codes))
+    _, ends, flat = parts.buffers()
+    ends = np.frombuffer(ends, np.int64)[parts.offset : parts.offset + len(parts) + 1] // 4 if len(parts) else np.zeros(1, np.int64)
+    ids = np.frombuffer(flat, "<u4")[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, "<u4")
     return ids, np.diff(ends[np.concatenate([[0], np.cumsum(n)])])
 
 
