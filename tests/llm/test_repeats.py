@@ -3,7 +3,8 @@ import random
 
 import pytest
 
-from tidewright.llm.repeats import repeated_bytes
+from tidewright.llm.queries import QUERIES
+from tidewright.llm.repeats import repeated_bytes, with_counted_keys
 
 
 def brute(rows, length, keep_first):
@@ -48,3 +49,29 @@ def test_empty_table_and_null_id(spark):
     assert repeated_bytes(df.limit(0), length=60, gram=30).count() == 0
     got = repeated_bytes(df, length=60, gram=30, keep_first=False).collect()
     assert {(r["doc_id"], r["n_removed"]) for r in got} == {(None, 70), (1, 70)}
+
+
+def test_rows_of_a_common_key_stay_spread(spark):
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(0, 8000, 1, 8).selectExpr("id", "if(id % 4 = 0, id div 40, -1) AS key")
+        counted = rows.groupBy("key").count().filter("count > 1 and key != 3")
+        got = with_counted_keys(rows, counted, ["key"], "count", 500)
+        places = got.filter("key = -1").selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
+        assert sorted(r["count"] for r in places) == [750] * 8
+        assert {tuple(r) for r in got.select("id", "key", "count").collect()} == {
+            (i, -1 if i % 4 else i // 40, 6000 if i % 4 else 10) for i in range(8000) if i % 4 or i // 40 != 3
+        }
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+
+
+def test_passages_of_over_50_words_go_from_400_bytes_on(spark, tmp_path):
+    rng = random.Random(400)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(58)]
+    passage = " ".join(words)  # 58 words, 405 bytes
+    rows = [(1, "A" + passage[:399] + "B"), (2, "C" + passage[:399] + "D"), (3, "E" + passage[5:] + "F"), (4, "G" + passage[5:] + "H")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op9_repeats"](spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["n_removed"]) for r in got} == {(1, 0), (2, 0), (3, 400), (4, 400)}
