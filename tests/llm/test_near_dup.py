@@ -1,9 +1,11 @@
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 
+from tidewright.llm import common
 from tidewright.llm import near_dup as n
 from tidewright.llm.near_dup import near_duplicates
 
@@ -88,3 +90,20 @@ def test_extra_columns_and_null_id(spark):
     df = spark.createDataFrame([(None, "a b c", "x"), (3, "a b c", "y")], "doc_id long, text string, cls string")
     found = {tuple(r) for r in near_duplicates(df, width=2).collect()}
     assert found == {(None, 2, 3, False), (3, 2, 3, True)}
+
+
+def test_small_tables_are_not_cut_by_shuffle_partitions(spark):
+    """A component's rounds write a few files, also where every shuffle has many partitions, and lose no row."""
+    held = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for c, v in zip(held, ("40", "false")):
+        spark.conf.set(c, v)
+    try:
+        before = set(Path(common.own_folder(spark)).glob("least-*"))
+        edges = spark.range(1000).selectExpr("id AS a", "id + if(id % 10 = 9, 0, 1) AS b")
+        found = {r["node"]: r["root"] for r in common.connected_components(edges).collect()}
+        assert found == {i: i // 10 * 10 for i in range(1000)}
+        made = set(Path(common.own_folder(spark)).glob("least-*")) - before
+        assert made and max(len(list(f.glob("part-*"))) for f in made) <= 4
+    finally:
+        for c, v in held.items():
+            spark.conf.set(c, v)

@@ -210,13 +210,13 @@ def encoder(path: str, pattern: str) -> tuple[TreeEncoder, UnitCache, tuple]:
     names = [b"%d," % i for i in range(len(e.lengths))]
     lengths = np.array([len(x) for x in names], np.int64)
     decimal = (np.cumsum(lengths) - lengths, lengths, np.frombuffer(b"".join(names), np.uint8))
-    return e, UnitCache(e.units, 500_000), decimal
+    return e, UnitCache(e.units, 200_000), decimal
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     enc, units, decimal = encoder(path, pattern)
     for batch in batches:
-        for part in sized_slices(batch, 1):
+        for part in sized_slices(batch, 1, 1 << 23):
             rows = [[], [], [], []]
             every, sizes = unit_ids(part.column(1), units)
             for ids in np.split(every, np.cumsum(sizes)[:-1]):
